@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import simhash, substring_dedup
+from tallyloom.llm import simhash, substring_dedup, token_output
 from tallyloom.llm.common import read_table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_output.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_output.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +33,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_token_output": op4_token_output,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op8_substring_dedup": op8_substring_dedup,
     }
