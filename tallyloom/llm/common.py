@@ -50,7 +50,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     upstream runs twice.
     """
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import simhash, substring_dedup, token_output
-from tallyloom.llm.common import read_table
+from tallyloom.llm import hmm_lm, simhash, substring_dedup, token_output
+from tallyloom.llm.common import id_remainder, read_table
 
 
 def tokenizer_path() -> str:
@@ -26,6 +26,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (id_remainder("doc_id", 10) != 0).alias("train"))
+    return hmm_lm.score_texts(docs, train="train")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -35,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_output": op4_token_output,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op7_hmm_scoring": op7_hmm_scoring,
         "op8_substring_dedup": op8_substring_dedup,
     }
 

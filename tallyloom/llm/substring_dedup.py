@@ -13,11 +13,11 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import bounded_batches, parts_for
+from tallyloom.llm.wordpack import WordHashes, by_ranges, pack, split_words, unpack
 
 WINDOW = 13
 #: Bytes of text in a chunk, and windows in a hash range, on average: what one task holds.
@@ -26,20 +26,9 @@ RANGE_WINDOWS = 2_000_000
 #: Multiplier of the polynomial hash, modulo 2**64, and the two multipliers of its final mix.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CACHE_WORDS = 400_000
 LAST_ID = np.iinfo(np.int64).max
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered for frequent reuse and forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
 def window_hashes(words: list[bytes], lengths: np.ndarray, width: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every window of ``width`` words that lies within one document.
 
@@ -62,27 +51,6 @@ def window_hashes(words: list[bytes], lengths: np.ndarray, width: int, known: Wo
     return starts, rolled ^ (rolled >> np.uint64(31))
 
 
-def pack(hashes: np.ndarray) -> bytes:
-    """Sorted hashes, byte plane by byte plane: the high planes hardly change and compress well."""
-    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint8).reshape(8, -1).T.copy().view(">u8").ravel().astype(np.uint64)
-
-
-def split_words(texts: pd.Series) -> tuple[list[bytes], np.ndarray]:
-    """The words of all texts one after the other, and how many each text has; null has none."""
-    words: list[bytes] = []
-    lengths = np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        if text:
-            own = text.encode("utf-8").split()
-            lengths[k] = len(own)
-            words += own
-    return words, lengths
-
-
 def _packed_windows(chunked: DataFrame, width: int, ranges: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, found = WordHashes(), {}
@@ -92,8 +60,7 @@ def _packed_windows(chunked: DataFrame, width: int, ranges: int) -> DataFrame:
                 found.setdefault(int(chunk), []).append(np.unique(hashes))
         for chunk in list(found):
             hashes = np.unique(np.concatenate(found.pop(chunk)))
-            cuts = np.searchsorted(hashes, (np.arange(1, ranges, dtype=object) * 2**64 // ranges).astype(np.uint64))
-            rows = [(r, chunk, pack(own)) for r, own in enumerate(np.split(hashes, cuts)) if len(own)]
+            rows = [(r, chunk, pack(own)) for r, own in enumerate(np.split(hashes, by_ranges(hashes, ranges))) if len(own)]
             yield pd.DataFrame(rows, columns=["range", "chunk", "blob"])
 
     return chunked.mapInPandas(run, "range int, chunk int, blob binary")
@@ -104,7 +71,7 @@ def _seen_earlier(packed: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        parts = [unpack(b) for b in pdf["blob"]]
+        parts = [unpack(b, np.uint64) for b in pdf["blob"]]
         hashes = np.concatenate(parts)
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         order = np.argsort(hashes, kind="stable")  # equal hashes stay in the order of the chunks
@@ -124,7 +91,7 @@ def _without_repeats(width: int):
         starts, hashes = window_hashes(words, lengths, width, WordHashes())
         gone = np.zeros(len(words) + 1, np.int64)
         if len(starts):
-            ids = docs["doc_id"].fillna(LAST_ID).to_numpy(np.int64)
+            ids = docs["doc_id"].astype("Int64").fillna(LAST_ID).to_numpy(np.int64)
             owner = np.repeat(ids, lengths)[starts]
             order = np.argsort(hashes, kind="stable")
             first = np.r_[True, hashes[order[1:]] != hashes[order[:-1]]]
@@ -132,7 +99,7 @@ def _without_repeats(width: int):
             least[order] = owner[order[np.flatnonzero(first)]][np.cumsum(first) - 1]
             hit = least < owner
             if len(earlier):
-                seen = np.sort(np.concatenate([unpack(b) for b in earlier["blob"]]))
+                seen = np.sort(np.concatenate([unpack(b, np.uint64) for b in earlier["blob"]]))
                 hit |= seen[np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)] == hashes
             np.add.at(gone, starts[hit], 1)
             np.add.at(gone, starts[hit] + width, -1)
@@ -172,7 +139,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     @F.pandas_udf("int")
     def chunk_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds.value, ids.fillna(LAST_ID).to_numpy(np.int64), side="left").astype(np.int32))
+        return pd.Series(np.searchsorted(bounds.value, ids.astype("Int64").fillna(LAST_ID).to_numpy(np.int64), side="left").astype(np.int32))
 
     chunked = narrow.withColumn("chunk", chunk_of("doc_id")).repartition(chunks, "chunk")
     earlier = _seen_earlier(_packed_windows(chunked, width, ranges))
