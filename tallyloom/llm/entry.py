@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import hmm_lm, simhash, substring_dedup, token_output
+from tallyloom.llm import embedding_dedup, hmm_lm, simhash, substring_dedup, token_output
 from tallyloom.llm.common import id_remainder, read_table
 
 
@@ -36,12 +36,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_output": op4_token_output,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_hmm_scoring": op7_hmm_scoring,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
     }
 
 
