@@ -65,3 +65,14 @@ def text_or_empty(text: str = "text") -> Column:
 
 def parts_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // max(each, 1)))
+
+
+def thinned(rows: DataFrame, by: list[str], key: str, each: int) -> DataFrame:
+    """A sample of about ``each`` rows at most for every value of ``by``, chosen by a hash of ``key``.
+
+    It is for fitting models on labelled rows only; ``by`` is to have few values.  The same rows are
+    chosen in every run, and all of them where there are no more than ``each``.
+    """
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / each).cast("long").alias("_one_in"))
+    chosen = F.pmod(F.xxhash64(key), F.col("_one_in")) == 0
+    return rows.join(F.broadcast(sizes), by).where(chosen).drop("_one_in")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import embedding_dedup, hmm_lm, simhash, substring_dedup, token_output
+from tallyloom.llm import embedding_dedup, hmm_lm, language_id, simhash, substring_dedup, token_output, toxicity
 from tallyloom.llm.common import id_remainder, read_table
 
 
@@ -17,6 +17,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = id_remainder("doc_id", 3) == 1
+    trees = language_id.learn_trees(docs.where(~held_out))
+    return language_id.predict(docs, trees).select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_output.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
     return token_output.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -40,13 +47,26 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def toxic_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+    labels = read_table(spark, sf_dir, "labels").where(id_remainder("doc_id", 4) != 2).select("doc_id", "toxic")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.learn_lexicon(docs.join(labels, "doc_id"), label="toxic")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_texts(read_table(spark, sf_dir, "documents"), toxic_lexicon(spark, sf_dir))
+    return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": op3_language_id,
         "op4_token_output": op4_token_output,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_hmm_scoring": op7_hmm_scoring,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 

@@ -56,7 +56,7 @@ class PieceEncoder:
         if not self.by_pieces:
             return [np.frombuffer(b, self.dtype) for b in self._encode(texts)]
         cut = [t.split(" ") for t in texts]
-        wanted = set().union(*(c[1:] for c in cut)) - self.pieces.keys()
+        wanted = {w for w in set().union(*(c[1:] for c in cut)) if w not in self.pieces}
         extra: dict[str, bytes | None] = {}
         if wanted:
             plain = [w for w in wanted if w and not w[0].isspace()]
