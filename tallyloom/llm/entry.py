@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import embedding_dedup, hmm_lm, language_id, simhash, substring_dedup, token_output, toxicity
-from tallyloom.llm.common import id_remainder, read_table
+from tallyloom.llm import decontamination, embedding_dedup, hmm_lm, language_id, mixing, simhash, substring_dedup, token_output, toxicity
+from tallyloom.llm.common import id_remainder, read_table, stored
 
 
 def tokenizer_path() -> str:
@@ -17,6 +17,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sized = stored(docs.select("doc_id", "source", mixing.words_in("text").alias("size")), "sizes")
+    targets = stored(mixing.targets_by_weight(mixing.source_sizes(sized, size=F.col("size"))), "targets")
+    return mixing.mix(sized, targets, size="size").select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = id_remainder("doc_id", 3) == 1
@@ -29,6 +36,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -60,8 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_entropy_mixing": op2_entropy_mixing,
         "op3_language_id": op3_language_id,
         "op4_token_output": op4_token_output,
+        "op5_decontamination": op5_decontamination,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_hmm_scoring": op7_hmm_scoring,
         "op8_substring_dedup": op8_substring_dedup,

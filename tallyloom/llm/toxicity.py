@@ -26,8 +26,8 @@ from tallyloom.llm.folding import folded
 SAMPLE_ROWS = 6000
 SHORTEST, LONGEST = 3, 8
 LEAST_TEXTS, LEAST_LOG_ODDS = 4, 3.0
-#: Share of the toxic texts that makes a term common.
-COMMON = 0.01
+#: Share of the toxic texts, and log odds, that make a term common.
+COMMON, COMMON_LOG_ODDS = 0.01, 5.0
 #: Texts that must hold a phrase before it becomes an exception.
 EXCEPTION_TEXTS = 3
 MOST_TERMS = 5000
@@ -139,7 +139,7 @@ def _covering(candidates: dict[str, float], texts: list[list[str]]) -> dict[str,
     for term in sorted(candidates, key=lambda t: (-support[t], rank[t])):
         if support[term] < max(LEAST_TEXTS, COMMON * len(texts)):
             break
-        if not any(term.startswith(k) or k.startswith(term.rstrip()) for k in kept):
+        if candidates[term] >= COMMON_LOG_ODDS and not any(term.startswith(k) or k.startswith(term.rstrip()) for k in kept):
             kept[term] = candidates[term]
     return kept
 
