@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, embedding_dedup, hmm_lm, language_id, mixing, simhash, substring_dedup, token_output, toxicity
+from tallyloom.llm import decontamination, embedding_dedup, hmm_lm, html_extraction, language_id, mixing, simhash, substring_dedup, token_output, toxicity
 from tallyloom.llm.common import id_remainder, read_table, stored
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", "source", mixing.words_in("text").alias("size")), "sizes")
@@ -71,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_entropy_mixing": op2_entropy_mixing,
         "op3_language_id": op3_language_id,
         "op4_token_output": op4_token_output,

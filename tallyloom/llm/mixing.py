@@ -22,7 +22,8 @@ SHARE, CAP = 1.5, 2.0
 CHUNK_DOCS = 20_000
 #: Sources in one broadcast table; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
-MOST_ROUNDS, TOLERANCE = 60, 1e-10
+#: Newton's iterations at most, the gap that ends them, and the largest multiplier either way.
+MOST_ROUNDS, TOLERANCE, REACH = 60, 1e-10, 40.0
 
 
 def words_in(text: str = "text") -> Column:
@@ -71,22 +72,26 @@ def _multipliers(groups: DataFrame, targets: DataFrame, cap: float) -> DataFrame
     """``source, multiplier`` by Newton's iterations on the dual, all sources at once.
 
     For each source the dual's gradient is ``sum(size * rate) - target`` and its second derivative the part
-    of that sum whose rates are under the cap.  A step is at most 2 either way; a source whose target is 0,
-    or beyond reach, ends at a multiplier that is low or high enough.
+    of that sum whose rates are under the cap.  A step that leaves the interval known to hold the solution
+    is replaced by its middle; a target of 0, or one beyond reach, ends at the edge of the interval.
     """
     same = F.col("source").eqNullSafe(F.col("_source"))
-    now = targets.select(F.col("source").alias("_source"), "target", F.lit(0.0).alias("multiplier"))
+    now = targets.select(F.col("source").alias("_source"), "target", F.lit(0.0).alias("multiplier"), F.lit(-REACH).alias("low"), F.lit(REACH).alias("high"))
     for _ in range(MOST_ROUNDS):
         tilted = F.col("base") * F.exp("multiplier")
-        sums = groups.join(now, same).groupBy("_source", "target", "multiplier").agg(
+        sums = groups.join(now, same).groupBy(*now.columns).agg(
             F.sum(F.col("size") * F.least(tilted, F.lit(cap))).alias("taken"),
             F.sum(F.when(tilted < cap, F.col("size") * tilted).otherwise(0.0)).alias("slope"),
         )
-        gap = F.col("target") - F.col("taken")
-        step = F.when(F.abs(gap) <= F.lit(TOLERANCE) * F.col("target") + 1e-9, 0.0).when(F.col("slope") > 0, F.least(F.lit(2.0), F.greatest(F.lit(-2.0), gap / F.col("slope")))).when(gap < 0, -2.0).otherwise(0.0)
-        sums = stored(sums.withColumn("step", step), "newton")
-        now = sums.select("_source", "target", (F.col("multiplier") + F.col("step")).alias("multiplier"))
-        if not (sums.agg(F.max(F.abs("step"))).first()[0] or 0) > 1e-12:
+        gap, here = F.col("target") - F.col("taken"), F.col("multiplier")
+        sums = sums.withColumn("low", F.when(gap > 0, here).otherwise(F.col("low"))).withColumn("high", F.when(gap < 0, here).otherwise(F.col("high")))
+        newton = F.when(F.col("slope") > 0, here + gap / F.col("slope"))
+        inside = (newton > F.col("low")) & (newton < F.col("high"))
+        done = F.abs(gap) <= F.lit(TOLERANCE) * F.col("target") + 1e-9
+        following = F.when(done, here).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+        sums = stored(sums.withColumn("following", following), "newton")
+        now = sums.select("_source", "target", F.col("following").alias("multiplier"), "low", "high")
+        if not (sums.agg(F.max(F.abs(F.col("following") - here))).first()[0] or 0) > 1e-12:
             break
     return now.select(F.col("_source").alias("source"), "multiplier")
 
