@@ -64,8 +64,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxic_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
     labels = read_table(spark, sf_dir, "labels").where(id_remainder("doc_id", 4) != 2).select("doc_id", "toxic")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.learn_lexicon(docs.join(labels, "doc_id"), label="toxic")
+    return toxicity.learn_lexicon(read_table(spark, sf_dir, "documents"), labels, label="toxic")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,15 +155,18 @@ def _fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def learn_lexicon(labelled: DataFrame, *, label: str, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Lexicon:
-    """The lexicon of the rows whose label is 0 or 1; rows with another label, or none, are left out.
+def learn_lexicon(docs: DataFrame, labels: DataFrame, *, label: str, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Lexicon:
+    """The lexicon of the texts whose row of ``labels`` says 0 or 1; other labels, and none, are left out.
 
-    Learning takes about ``sample_rows`` rows of each label at most, chosen by a hash of the id, with
-    their whole texts, so all that is collected is bounded by it.  Without toxic rows, or without clean ones, the lexicon is empty.
+    Learning takes about ``sample_rows`` rows of each label at most, chosen by a hash of the id before any
+    text is read, with their whole texts, so all that is broadcast or collected is bounded by it.  Without
+    toxic rows, or without clean ones, the lexicon is empty.
     """
-    bounded_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    sample = stored(thinned(rows, ["label"], "doc_id", sample_rows).select("text", "label"), "toxic-sample")
+    bounded_batches(docs.sparkSession)
+    rows = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    chosen = F.broadcast(stored(thinned(rows, ["label"], "doc_id", sample_rows), "toxic-labels"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sample = stored(texts.join(chosen, "doc_id").select("text", "label"), "toxic-sample")
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Lexicon({})
