@@ -19,7 +19,7 @@ from tallyloom.llm.common import WORD_PATTERN, bounded_batches, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 #: Documents whose copies one task decides together.
-CHUNK_DOCS = 20_000
+CHUNK_DOCS = 2_000
 #: Sources in one broadcast table; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 #: Newton's iterations at most, the gap that ends them, and the largest multiplier either way.
