@@ -47,7 +47,7 @@ class PieceEncoder:
         kind = json.loads(self.tokenizer.to_str())
         split = kind.get("pre_tokenizer") or {}
         self.by_pieces = kind.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        self.pieces: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -56,22 +56,25 @@ class PieceEncoder:
         if not self.by_pieces:
             return [np.frombuffer(b, self.dtype) for b in self._encode(texts)]
         cut = [t.split(" ") for t in texts]
-        wanted = {w for w in set().union(*(c[1:] for c in cut)) if w not in self.pieces}
-        extra: dict[str, bytes | None] = {}
+        found = [list(map(self.pieces.get, c)) for c in cut]  # the first piece of a text has no blank ahead
+        wanted: set[str] = set()
+        for c, own in zip(cut, found, strict=True):
+            own[0] = b"-"
+            if None in own:
+                wanted.update(w for w, b in zip(c, own, strict=True) if b is None)
         if wanted:
             plain = [w for w in wanted if w and not w[0].isspace()]
-            extra = dict.fromkeys(wanted) | dict(zip(plain, self._encode([f" {w}" for w in plain]), strict=True))
-            if len(self.pieces) + len(extra) <= CACHE_PIECES:
-                self.pieces |= extra
-                extra = {}
-        known = self.pieces
-        find = (lambda w: known[w] if w in known else extra[w]) if extra else known.__getitem__
+            fresh = dict.fromkeys(wanted, b"") | dict(zip(plain, self._encode([f" {w}" for w in plain]), strict=True))
+            for c, own in zip(cut, found, strict=True):
+                if None in own:
+                    own[:] = [fresh[w] if b is None else b for w, b in zip(c, own, strict=True)]
+            if len(self.pieces) + len(fresh) <= CACHE_PIECES:
+                self.pieces.update(fresh)
         out = []
-        for head, c, text in zip(self._encode([c[0] for c in cut]), cut, texts, strict=True):
-            try:
-                out.append(head + b"".join(map(find, c[1:])))
-            except TypeError:  # a piece without an encoding of its own
-                out += self._encode([text])
+        for head, own, text in zip(self._encode([c[0] for c in cut]), found, texts, strict=True):
+            own[0] = head
+            # An empty encoding is that of a piece that has none of its own; that of an empty text is right.
+            out += self._encode([text]) if b"" in own[1:] else [b"".join(own)]
         return [np.frombuffer(b, self.dtype) for b in out]
 
 
