@@ -27,6 +27,8 @@ SEQUENCE = 2048
 BATCH_SEQUENCES = 128
 END_ID = 2
 CACHE_PIECES = 800_000
+#: Pieces encoded in one call, and how a byte-level vocabulary writes a blank.
+GROUP, BLANK = 64, "\u0120"
 
 MANIFEST = "part int, path string, index_path string, n_docs long, n_tokens long"
 
@@ -48,10 +50,27 @@ class PieceEncoder:
         split = kind.get("pre_tokenizer") or {}
         self.by_pieces = kind.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.pieces: dict[str, bytes] = {}
+        self.leads = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids of tokens that start with a blank
+        for token, number in self.tokenizer.get_vocab().items():
+            self.leads[number] = token.startswith(BLANK)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The encoding of each piece with a blank before it; many at once, cut where a blank leads."""
+        groups = [pieces[k : k + GROUP] for k in range(0, len(pieces), GROUP)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join([f" {w}" for w in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            starts = np.flatnonzero(self.leads[ids]).tolist()
+            if len(starts) != len(group):
+                out += self._encode([f" {w}" for w in group])
+                continue
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            out += [raw[a * size : b * size] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+        return out
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_pieces:
             return [np.frombuffer(b, self.dtype) for b in self._encode(texts)]
@@ -64,7 +83,7 @@ class PieceEncoder:
                 wanted.update(w for w, b in zip(c, own, strict=True) if b is None)
         if wanted:
             plain = [w for w in wanted if w and not w[0].isspace()]
-            fresh = dict.fromkeys(wanted, b"") | dict(zip(plain, self._encode([f" {w}" for w in plain]), strict=True))
+            fresh = dict.fromkeys(wanted, b"") | dict(zip(plain, self._encode_pieces(plain), strict=True))
             for c, own in zip(cut, found, strict=True):
                 if None in own:
                     own[:] = [fresh[w] if b is None else b for w, b in zip(c, own, strict=True)]
