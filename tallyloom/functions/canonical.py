@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyloom.errors import InvalidTextError, UnsupportedProfileError
 
@@ -28,7 +29,7 @@ def canonical_text(value: str | bytes) -> bytes:
     return unicodedata.normalize("NFC", text).encode("utf-8")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 

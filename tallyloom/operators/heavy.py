@@ -156,7 +156,7 @@ def build_bounded(df: DataFrame, keys: list[str], hashed: Column | str, weight:
         for own, c in groups.items():
             out.append((*own, None, None, c.total, c.error))
             out += [(*own, k, v - c.error, None, None) for k, v in c.estimates.items()]
-        frame = pd.DataFrame(out, columns=[*keys, "hash", "weight", "total_weight", "max_error"])
+        frame = pd.DataFrame(out, columns=[*keys, "hash", "weight", "total_weight", "max_error"], dtype=object)  # floats would round hashes
         yield frame.astype({c: "Int64" for c in ("hash", "weight", "total_weight", "max_error")})
 
     schema = ", ".join([*fields, "hash long", "weight long", "total_weight long", "max_error long"])
