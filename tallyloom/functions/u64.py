@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
@@ -59,13 +60,39 @@ def multiply(x: Column, factor: int) -> Column:
     return F.shiftleft(top.bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(bottom.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _folded(shift: int) -> Callable[[Column], Column]:
+    return lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, shift))
+
+
+def _times(factor: int) -> Callable[[Column], Column]:
+    return lambda v: multiply(v, factor)
+
+
 def mix64(x: Column) -> Column:
     for shift, factor in FINALIZER:
-        x = x.bitwiseXOR(F.shiftrightunsigned(x, shift))
-        x = multiply(x, factor) if factor else x
+        x = _bound(x, _folded(shift))
+        x = _bound(x, _times(factor)) if factor else x
     return x
 
 
+def mixed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``mix64`` of the column ``name`` in its place.
+
+    A projection for each step keeps the expression small, so all of it is compiled: this is the form for
+    many rows.
+    """
+    for shift, factor in FINALIZER:
+        x = F.col(name)
+        df = df.withColumn(name, x.bitwiseXOR(F.shiftrightunsigned(x, shift)))
+        df = df.withColumn(name, multiply(x, factor)) if factor else df
+    return df
+
+
 def modulo(x: Column, n: int) -> Column:
     """Unsigned remainder."""
     return (F.shiftrightunsigned(x, 1) % F.lit(n) * F.lit(2) + x.bitwiseAND(F.lit(1))) % F.lit(n)

@@ -19,10 +19,11 @@ BUCKET_BITS = 32768
 REPRESENTATION = "BLOOM_BITSET"
 
 
-def positions(h: Column, spec: BloomSpec) -> Column:
-    """Array of the bit positions of a hash."""
+def with_positions(df: DataFrame, hashed: str, spec: BloomSpec) -> DataFrame:
+    """A row of ``df`` for every bit ``position`` of its hash."""
     family = F.array(*[F.lit(s).cast("long") for s in u64.seeds(u64.BLOOM_SEED, spec.hashes)])
-    return F.transform(family, lambda s: u64.modulo(u64.mix64(h.bitwiseXOR(s)), spec.bits))
+    each = df.withColumn("_seed", F.explode(family)).withColumn("position", F.col(hashed).bitwiseXOR(F.col("_seed"))).drop("_seed")
+    return u64.mixed(each, "position").withColumn("position", u64.modulo(F.col("position"), spec.bits))
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ class BloomFrame:
         repeat are looked up once.  A null hash, or keys without a sketch, give false.
         """
         distinct = probes.select(*self.keys, hashed).where(F.col(hashed).isNotNull()).distinct()
-        each = distinct.select(*self.keys, hashed, F.explode(positions(F.col(hashed), self.spec)).alias("position"))
+        each = with_positions(distinct, hashed, self.spec)
         each = each.withColumn("bucket", F.floor(F.col("position") / BUCKET_BITS).cast("long")).withColumn("offset", (F.col("position") % BUCKET_BITS).cast("int"))
         met = join_keys(each, self.buckets, [*self.keys, "bucket"], "left")
         byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.shiftright("offset", 3) + 1, F.lit(1))), 16, 10).cast("int")
@@ -81,7 +82,7 @@ def _combined(buckets: DataFrame, counts: DataFrame, keys: list[str], spec: Bloo
 
 def bucket_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: BloomSpec) -> DataFrame:
     """``keys, bucket, bitmap``; also what a streaming aggregation keeps."""
-    each = df.where(named(hashed).isNotNull()).select(*keys, F.explode(positions(named(hashed), spec)).alias("position"))
+    each = with_positions(df.where(named(hashed).isNotNull()).select(*keys, named(hashed).alias("_h")), "_h", spec)
     bucket = F.floor(F.col("position") / BUCKET_BITS).cast("long")
     return each.groupBy(*keys, bucket.alias("bucket")).agg(F.bitmap_construct_agg(F.col("position") % BUCKET_BITS).alias("bitmap"))
 

@@ -65,8 +65,8 @@ def minima_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: MinH
     """``keys, i, low``; also what a streaming aggregation keeps."""
     family = F.array(*[F.lit(s).cast("long") for s in u64.seeds(u64.MINHASH_SEED, spec.k)])
     each = df.where(named(hashed).isNotNull()).select(*keys, named(hashed).alias("_h"), F.posexplode(family).alias("i", "seed"))
-    value = u64.ordered(u64.mix64(F.col("_h").bitwiseXOR(F.col("seed"))))
-    return each.groupBy(*keys, "i").agg(u64.ordered(F.min(value)).alias("low"))
+    each = u64.mixed(each.withColumn("low", F.col("_h").bitwiseXOR(F.col("seed"))), "low")
+    return each.groupBy(*keys, "i").agg(u64.ordered(F.min(u64.ordered(F.col("low")))).alias("low"))
 
 
 def build(df: DataFrame, keys: list[str], hashed: Column | str, spec: MinHashSpec) -> MinHashFrame:
