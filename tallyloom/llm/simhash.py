@@ -118,8 +118,29 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(classes, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def first_rows(marked: DataFrame, groups: DataFrame, *, doc_id: str) -> DataFrame:
+    """The rows of ``marked`` that come first in their group, by id (null last) and then by ``_row``.
+
+    ``groups`` has ``_row, component_id``.  Repeated rows of one id and text share their ``_row`` and
+    their group, and one of them stays.
+    """
+    ids = marked.select("_row", F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id")).distinct()
+    rows = ids.join(groups.select(F.col("doc_id").alias("_row"), "component_id").distinct(), "_row")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("_null", "_id", "_row")).alias("least"))
+    kept = stored(first.select("least._row"), "kept-rows")
+    return marked.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """A hash of id and text, never null, that tells rows apart where ids are null or repeat."""
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
+
+
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that come first, by id, in their group of near-duplicates."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
+    """The rows of ``docs`` that come first, by id, in their group of near-duplicates.
+
+    Rows with a null id are judged too and come last in their group; rows that share an id but are no
+    near-duplicates all stay.
+    """
+    marked = docs.withColumn("_row", row_key(doc_id, text))
+    return first_rows(marked, near_duplicates(marked, doc_id="_row", text=text, **options), doc_id=doc_id)

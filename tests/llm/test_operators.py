@@ -222,6 +222,13 @@ def test_simhash_against_brute_force(spark, bucket):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs(spark, texts)).collect()) == sorted(set(least))
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (7, c), (7, d), (9, c), (7, c), (3, None), (None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (3, None)], key=str)
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------
 
 
