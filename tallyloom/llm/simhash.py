@@ -22,17 +22,24 @@ BITS = 64
 BUCKET = 64
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The SimHash of one text as an unsigned integer: a bit is set if over half the shingles set it."""
+def shingles(text: str | None, shingle_words: int) -> np.ndarray:
+    """A hash for each shingle of the lower-cased words, in order; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts, width = ends - lengths, min(shingle_words, len(words))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], ">u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """The SimHash of one text as an unsigned integer: a bit is set if over half the shingles set it."""
+    hashes = shingles(text, shingle_words).astype(">u8")
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
@@ -124,11 +131,12 @@ def first_rows(marked: DataFrame, groups: DataFrame, *, doc_id: str) -> DataFram
     ``groups`` has ``_row, component_id``.  Repeated rows of one id and text share their ``_row`` and
     their group, and one of them stays.
     """
-    ids = marked.select("_row", F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id")).distinct()
+    ids = marked.select("_row", F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id")).groupBy("_row", "_null", "_id").agg(F.count(F.lit(1)).alias("n"))
     rows = ids.join(groups.select(F.col("doc_id").alias("_row"), "component_id").distinct(), "_row")
-    first = rows.groupBy("component_id").agg(F.min(F.struct("_null", "_id", "_row")).alias("least"))
-    kept = stored(first.select("least._row"), "kept-rows")
-    return marked.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("_null", "_id", "_row", "n")).alias("least"))
+    kept = stored(first.select("least._row", "least.n"), "kept-rows")
+    once = marked.join(kept.where("n = 1"), "_row", "left_semi")  # only repeats need be dealt out
+    return once.unionByName(marked.join(kept.where("n > 1"), "_row", "left_semi").dropDuplicates(["_row"])).drop("_row")
 
 
 def row_key(doc_id: str, text: str) -> Column:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, embedding_dedup, hmm_lm, html_extraction, language_id, mixing, simhash, substring_dedup, token_output, toxicity
+from tallyloom.llm import decontamination, embedding_dedup, hmm_lm, html_extraction, language_id, mixing, shingle_dedup, simhash, substring_dedup, token_output, toxicity
 from tallyloom.llm.entry import tokenizer_path
 
 SCHEMA = "doc_id long, text string, key string, component string"  # the last two clash with inner names
@@ -229,6 +229,31 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     assert sorted(kept, key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (3, None)], key=str)
 
 
+def _similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("bucket", [64, 4])
+def test_shingle_dedup_against_brute_force(spark, bucket):
+    rng = np.random.default_rng(11)
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for k in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 400, 150)]
+        for changes in (0, 0, 1, 1, 1, 2, 2, 3, 4):  # few words changed: far apart for SimHash, alike by shingles
+            own = list(base)
+            for at in rng.integers(0, 150, changes):
+                own[at] = f"c{k}-{rng.integers(1000)}"
+            texts.append(" ".join(own))
+    sets = []
+    for t in texts:
+        w = [x.lower() for x in words(t)]
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    least = _classes(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if _similar(sets[a], sets[b])])
+    kept = shingle_dedup.keep_one(docs(spark, texts), bucket=bucket).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(least))
+    assert len(kept) < simhash.keep_one(docs(spark, texts)).count()  # two bits of 64 leave both copies of many pairs
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------
 
 
