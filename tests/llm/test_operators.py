@@ -275,6 +275,18 @@ def test_hmm_base_and_likelihood(spark):
     assert sum(10 ** hmm_lm.log10_likelihoods(model, [np.array(p, np.uint16) for p in np.ndindex(4, 4)])) == pytest.approx(1)
 
 
+def test_hmm_every_count_class_receives_mass():
+    for counts in (np.arange(1, 200), np.array([1, 2, 5, 8, 9]), np.array([3, 9, 18, 36])):
+        kinds = hmm_lm.count_class(counts)
+        edge = hmm_lm.falls(counts, kinds)
+        tokens, stay = (np.bincount(kinds, weights=w, minlength=hmm_lm.COUNT_CLASSES) for w in (counts, counts * ~edge))
+        got = hmm_lm.left_out(kinds, edge & hmm_lm.falling_classes(tokens, stay)[kinds])
+        assert set(kinds.tolist()) <= set(got.tolist())
+    counts = np.array([8, 9, 10, 17, 18, 19])
+    kinds = hmm_lm.count_class(counts)
+    assert hmm_lm.left_out(kinds, hmm_lm.falls(counts, kinds)).tolist() == [7, 8, 9, 9, 9, 10]
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------
 
 
