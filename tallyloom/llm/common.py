@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What counts as a word everywhere: runs of anything but the six ASCII blanks.  ``bytes.split()``
@@ -27,13 +29,15 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``.  Only where none is set, as in local
-    tests, is a folder of this machine used, and the session is told about it.
+    Only where none is set and the session runs on this machine alone, as in tests, is a folder of this
+    machine used, and the session is told about it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyloom-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -43,15 +47,30 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that ``stored`` wrote, for ``discard``.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: whatever is read later survives the loss of any executor, and nothing
-    upstream runs twice.
+    upstream runs twice.  Tables that no result reads any more are to be given to ``discard``.
     """
     path = new_folder(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[found] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of stored tables; whatever was made of them has to be stored by now."""
+    for table in tables:
+        if (path := _folders.pop(table, None)) is not None:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def id_remainder(doc_id: str, modulus: int) -> Column:
@@ -67,12 +86,56 @@ def parts_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // max(each, 1)))
 
 
+#: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 20_000
+
+
+def small_table(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def thinned(rows: DataFrame, by: list[str], key: str, each: int) -> DataFrame:
-    """A sample of about ``each`` rows at most for every value of ``by``, chosen by a hash of ``key``.
+    """A sample of ``each`` rows for every value of ``by``, all of them if there are no more: those of the
+    smallest hashes of ``key``, and so the same in every run.
+
+    It is for fitting models on labelled rows only.  A first cut by hash leaves about twice as many rows as
+    are wanted, so what is ranked is bounded however frequent a value is.  Null equals null in ``by``.
+    """
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    hashed = rows.withColumn("_hash", F.xxhash64(key, F.lit(23)))
+    sizes = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = small_table(stored(sizes, "label-sizes"))
+    top = F.lit(2.0**63) * (F.least(F.lit(1.0), F.lit(2.0 * each + 50) / F.col("_n")) * 2 - 1)
+    some = hashed.join(sizes, reduce(Column.__and__, map(same, by))).where((F.col("_n") <= each) | (F.col("_hash") <= top))
+    ranked = some.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_hash", key)))
+    return ranked.where(F.col("_rank") <= each).select(*rows.columns)
+
+
+def with_rank(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows``, stored, with ``rank`` from 0 over all of them in the order of ``order``, nulls first.
+
+    Ranks are given within ranges of values and offset by the sizes of the ranges before, so no task sees
+    all rows, and they do not depend on how many ranges there are; only rows that agree in all of
+    ``order`` may swap theirs.
+    """
+    spread = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    offsets = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_offset", F.coalesce(before, F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    placed = spread.withColumn("_within", within).join(offsets, "_part")
+    out = stored(placed.withColumn("rank", F.col("_offset") + F.col("_within") - 1).drop("_part", "_within", "_offset"), "ranked")
+    discard(spread)
+    return out
+
+
+def overlapping_blocks(ranked: DataFrame, size: int, overlap: int) -> DataFrame:
+    """``ranked`` rows in blocks of ``size`` consecutive ranks, each with the ``overlap`` rows before and after it.
 
-    It is for fitting models on labelled rows only; ``by`` is to have few values.  The same rows are
-    chosen in every run, and all of them where there are no more than ``each``.
+    ``block`` is the block's number and ``own`` tells its rows from those that only accompany it.
     """
-    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / each).cast("long").alias("_one_in"))
-    chosen = F.pmod(F.xxhash64(key), F.col("_one_in")) == 0
-    return rows.join(F.broadcast(sizes), by).where(chosen).drop("_one_in")
+    if overlap > size:
+        raise ValueError("an overlap reaches one block at most")
+    here, at = F.floor(F.col("rank") / size).cast("long"), F.pmod(F.col("rank"), F.lit(size))
+    numbers = F.array_compact(F.array(here, F.when((at < overlap) & (here > 0), here - 1), F.when(at >= size - overlap, here + 1)))
+    return ranked.withColumn("block", F.explode(numbers)).withColumn("own", F.col("block") == here)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import stored
+from tallyloom.llm.common import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -29,7 +29,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """``node, component`` for every node that an edge touches; ``component`` is its smallest node.
+    """``node, component``, stored, for every node that an edge touches; ``component`` is its smallest node.
 
     The number of rounds grows with the logarithm of the longest path.  A node with very many
     neighbours is only ever the streamed side of a join whose other side has one row a node, so Spark
@@ -42,7 +42,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if before[0] == 0:
             break
-        now = stored(_small_star(_large_star(now)), "stars")
+        last, now = now, stored(_small_star(_large_star(now)), "stars")
+        discard(last)
         after = _state(now)
         if after == before:
             break
@@ -50,4 +51,6 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     else:
         raise RuntimeError("connected components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+    found = stored(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct(), "components")
+    discard(now)
+    return found

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, stored
+from tallyloom.llm.common import bounded_batches, discard, stored
 from tallyloom.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -118,10 +118,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     edges = _light_links(keyed, sizes, distance, bucket).unionByName(_midpoint_links(crowded))
     edges = edges.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
     found = components(edges, "u", "v")
+    discard(sizes)
     classed = distinct.join(found.withColumnRenamed("node", "bits"), "bits", "left")
     classed = classed.select("bits", "least", F.coalesce("component", "bits").alias("component"))
     least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = stored(classed.join(least, "component").select("bits", "component_id"), "simhash-classes")
+    discard(distinct, found)
     return prints.join(classes, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
