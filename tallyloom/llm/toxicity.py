@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, stored, text_or_empty, thinned
+from tallyloom.llm.common import bounded_batches, discard, stored, text_or_empty, thinned
 from tallyloom.llm.folding import folded
 
 #: Labelled rows of each label that the lexicon is learned from, at most.
