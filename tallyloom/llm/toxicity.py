@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, normalised by length.
 
-The lexicon is learned: word beginnings and whole words that labelled toxic texts hold far more often than
-clean ones, weighted by their log odds.  Phrases around a term that clean texts repeat and toxic texts lack
+The lexicon is learned: word beginnings and whole words that labelled toxic texts use far more than clean ones,
+weighted by their log odds, where a text that uses one often counts for more.  Phrases around a term that clean texts repeat and toxic texts lack
 become exceptions, which cancel the matches inside them.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,13 +25,13 @@ from tallyloom.llm.folding import folded
 #: Labelled rows of each label that the lexicon is learned from, at most.
 SAMPLE_ROWS = 6000
 SHORTEST, LONGEST = 3, 8
-LEAST_TEXTS, LEAST_LOG_ODDS = 4, 3.0
+LEAST_TEXTS, LEAST_LOG_ODDS = 4, 2.5
 #: Share of the toxic texts, and log odds, that make a term common.
 COMMON, COMMON_LOG_ODDS = 0.01, 5.0
 #: Texts that must hold a phrase before it becomes an exception.
 EXCEPTION_TEXTS = 3
-MOST_TERMS = 5000
 THRESHOLD = 0.3
+LOGS = [math.log1p(n) for n in range(64)]
 
 
 @dataclass
@@ -75,37 +75,49 @@ def score(values: np.ndarray, calibration: tuple[float, ...]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(calibration[0] + values @ np.array(calibration[1:]), -40, 40)))
 
 
-def _terms(text: str) -> set[str]:
-    words = set(text.split())
-    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+def _terms(text: str) -> Counter:
+    """How often the words of folded text, and their beginnings, occur."""
+    found: Counter = Counter()
+    for w, n in Counter(text.split()).items():
+        found[f" {w} "] += n
+        for size in range(SHORTEST, min(LONGEST, len(w)) + 1):
+            found[f" {w[:size]}"] += n
+    return found
 
 
-def _phrases(text: str, automaton: ahocorasick.Automaton | None) -> set[str]:
+def _phrases(text: str, automaton: ahocorasick.Automaton | None) -> Counter:
     """Two words each: the one that a match begins and a neighbour."""
-    found = set()
+    found: Counter = Counter()
     for start, _, _ in matches(text, automaton):
         end = text.index(" ", start + 1)
         after, before = text.find(" ", end + 1), text.rfind(" ", 0, start)
         if after > 0:
-            found.add(text[start : after + 1])
+            found[text[start : after + 1]] += 1
         if before >= 0:
-            found.add(text[before : end + 1])
+            found[text[before : end + 1]] += 1
     return found
 
 
 def _counted(sample: DataFrame, terms_of) -> DataFrame:
-    """``term, toxic, clean``: texts of either label that hold the term."""
+    """``term, toxic, clean, toxic_use, clean_use``: texts of either label that hold the term, and the sum over
+    them of the logarithm of one more than how often."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        texts: tuple[Counter, Counter] = (Counter(), Counter())
+        use: tuple[defaultdict, defaultdict] = (defaultdict(float), defaultdict(float))
         for pdf in batches:
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                counts[label].update(terms_of(folded(text)))
-        terms = list(counts[0] | counts[1])
-        yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]}).astype({"term": str})
+                for term, n in terms_of(folded(text)).items():
+                    texts[label][term] += 1
+                    use[label][term] += LOGS[n] if n < len(LOGS) else math.log1p(n)
+        terms = list(texts[0] | texts[1])
+        columns = [[f[t] if t in f else 0 for t in terms] for f in (texts[1], texts[0], use[1], use[0])]
+        names = ("toxic", "clean", "toxic_use", "clean_use")
+        yield pd.DataFrame({"term": terms} | dict(zip(names, columns, strict=True))).astype({"term": str, "toxic": np.int64, "clean": np.int64, "toxic_use": float, "clean_use": float})
 
-    partial = sample.mapInPandas(run, "term string, toxic long, clean long")
-    return partial.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    partial = sample.mapInPandas(run, "term string, toxic long, clean long, toxic_use double, clean_use double")
+    # Rounded, so that no order of adding shows.
+    return partial.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.round(F.sum("toxic_use"), 6).alias("toxic_use"), F.round(F.sum("clean_use"), 6).alias("clean_use"))
 
 
 def _covering(candidates: dict[str, float], texts: list[list[str]]) -> dict[str, float]:
@@ -170,23 +182,23 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, label: str, doc_id: str
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Lexicon({})
-    weight = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
+    weight = F.log((F.col("toxic_use") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean_use") + 0.5) / (n[0] + 1.0))
     often = _counted(sample, _terms).where(f"toxic >= {LEAST_TEXTS}").withColumn("weight", weight).where(f"weight >= {LEAST_LOG_ODDS}")
-    candidates = {r["term"]: r["weight"] for r in often.orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).select("term", "weight").collect()}
+    candidates = {r["term"]: r["weight"] for r in often.select("term", "weight").collect()}  # of the bounded sample
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"terms": [sorted(_terms(folded(t)) & candidates.keys()) for t in pdf["text"]]})
+            yield pd.DataFrame({"terms": [sorted(_terms(folded(t)).keys() & candidates.keys()) for t in pdf["text"]]})
 
     texts = sample.where("label = 1").dropDuplicates(["text"]).mapInPandas(held, "terms array<string>")
     found = Lexicon(_covering(candidates, [r["terms"] for r in texts.collect()]))
 
-    def phrases_of(text: str, made: list = []) -> set[str]:  # noqa: B006  one automaton a task
+    def phrases_of(text: str, made: list = []) -> Counter:  # noqa: B006  one automaton a task
         if not made:
             made.append(found.automaton())
         return _phrases(text, made[0])
 
-    excused = _counted(sample, phrases_of).where(f"toxic = 0 and clean >= {EXCEPTION_TEXTS}").orderBy(F.desc("clean"), "term").limit(MOST_TERMS)
+    excused = _counted(sample, phrases_of).where(f"toxic = 0 and clean >= {EXCEPTION_TEXTS}").select("term")
     found.exceptions = {r["term"] for r in excused.collect()}
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,6 +209,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, label: str, doc_id: str
 
     points = sample.mapInPandas(measured, "a double, b double, label int").groupBy("a", "b", "label").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["a", "b", "label"])
     points = points.loc[points.index.repeat(points["n"])]
+    discard(sample)
     found.calibration = _fitted(points[["a", "b"]].to_numpy(), points["label"].to_numpy())
     return found
 
