@@ -4,19 +4,22 @@ A text holds a benchmark item if some stretch of it differs from the whole item
 for each character.  Such a stretch shares at least ``m - q + 1 - q * e`` q-grams with an item of ``m``
 characters and ``e`` edits, all within ``e + 1`` neighbouring diagonals.  Shared q-grams are counted in
 overlapping bands of diagonals, bands that reach the bound are kept, and banded alignment verifies them.
+Items of fewer than ``q`` characters allow no edit and are searched as they are, by Aho-Corasick.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import bounded_batches, parts_for, stored
+from tallyloom.llm.simhash import marked_rows
 
 Q, BUDGET = 10, 0.06
 #: Characters of benchmark that are compared at once; a larger benchmark takes several passes.
@@ -62,10 +65,25 @@ class Index:
     owner: np.ndarray
     at: np.ndarray
     bitmap: np.ndarray
+    #: Ids of the items that are too short for a q-gram, by text.
+    short: dict[str, list[int]] = field(default_factory=dict)
+
+    def literal(self) -> ahocorasick.Automaton | None:
+        if not self.short:
+            return None
+        found = ahocorasick.Automaton()
+        for text in self.short:
+            found.add_word(text, text)
+        found.make_automaton()
+        return found
 
     @staticmethod
     def of(item_ids: list[int], texts: list[str], q: int, budget: float) -> Index:
-        kept = [(i, t) for i, t in zip(item_ids, map(normalised, texts), strict=True) if len(t) >= q]
+        every = list(zip(item_ids, map(normalised, texts), strict=True))
+        kept, short = [(i, t) for i, t in every if len(t) >= q], {}
+        for i, t in every:
+            if 0 < len(t) < q:
+                short.setdefault(t, []).append(i)
         items = [codes(t) for _, t in kept]
         m = np.array([len(x) for x in items], np.int64)
         edits = np.minimum((m * budget + 1e-9).astype(np.int64), (m - q) // q)  # so that the bound is 1 at least
@@ -77,7 +95,7 @@ class Index:
         distinct, first = np.unique(hashes[order], return_index=True)
         bitmap = np.zeros(1 << 22, bool)
         bitmap[(distinct >> np.uint64(42)).astype(np.int64)] = True
-        return Index([i for i, _ in kept], items, q, edits, m - q + 1 - q * edits, distinct, np.r_[first, len(order)], owner[order], at[order], bitmap)
+        return Index([i for i, _ in kept], items, q, edits, m - q + 1 - q * edits, distinct, np.r_[first, len(order)], owner[order], at[order], bitmap, short)
 
 
 def candidate_bands(symbols: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
@@ -160,8 +178,17 @@ def found_in(text: str, index: Index) -> dict[int, tuple[int, int, int]]:
     return best
 
 
+def short_in(text: str, index: Index, literal: ahocorasick.Automaton | None) -> list[tuple[int, int, int, int]]:
+    """Item, start, end and edits (none) of the first place of every short item that the normalised text holds."""
+    first: dict[str, int] = {}
+    for end, item in literal.iter(text) if literal is not None else ():
+        first.setdefault(item, end + 1)
+    return [(i, end - len(item), end, 0) for item, end in first.items() for i in index.short[item]]
+
+
 def _scan(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        literal = index.literal()
         for pdf in batches:
             rows = []
             # Short texts are counted together, set apart by a character that no item holds.
@@ -182,6 +209,8 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
                 for g in sorted(owners):
                     rows += [(pdf["doc_id"].iloc[g], index.item_ids[item], start, end, edits) for item, (edits, start, end) in sorted(found_in(texts[g], index).items())]
                 group, size = [], 0
+            if literal is not None:
+                rows += [(d, *hit) for d, t in zip(pdf["doc_id"], texts, strict=True) for hit in sorted(short_in(t, index, literal))]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
     return docs.mapInPandas(run, SCHEMA)
@@ -193,7 +222,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     Texts and items are lower-cased and runs of white space made one blank; ``start`` and ``end`` count
     characters of that, and of several places the one with fewest edits, then the first, is given.  An
     item allows ``budget`` edits for each of its characters, and never so many that the bound on shared
-    q-grams falls under one.  Items of fewer than ``q`` characters, and null ones, are held by no text.
+    q-grams falls under one.  Items of fewer than ``q`` characters are held where they stand without an edit,
+    inside words too; null and blank ones are held by no text.
 
     The benchmark goes to the executors in blocks of ``block_chars`` characters, a pass over the texts for
     each.  Null and empty texts hold nothing; repeated rows each give their rows; an empty table gives an
@@ -201,7 +231,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     """
     bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.length("text") >= q)
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     blocks = parts_for(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0], block_chars)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     out = None
@@ -212,9 +242,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     return out
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no item; a row with a null id is judged too."""
-    marked = docs.withColumn("_row", F.xxhash64(F.col(doc_id), F.col(options.get("text", "text"))))
-    found = contaminated(marked, benchmark, **{**options, "doc_id": "_row"})
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no item.
+
+    Rows with null or repeated ids are judged by their own text, null and empty texts stay, repeated rows stay
+    or go together, an empty table stays empty, and columns may have any names.
+    """
+    marked = marked_rows(docs, doc_id, text)
+    found = contaminated(marked, benchmark, doc_id="_row", text="_text", **options)
     bad = stored(found.select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
-    return marked.join(bad, "_row", "left_anti").drop("_row")
+    return marked.join(bad, "_row", "left_anti").select("_doc.*")

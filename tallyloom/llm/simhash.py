@@ -127,30 +127,39 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(classes, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_rows(marked: DataFrame, groups: DataFrame, *, doc_id: str) -> DataFrame:
-    """The rows of ``marked`` that come first in their group, by id (null last) and then by ``_row``.
+def row_key(doc_id: str, text: str) -> Column:
+    """A hash of id and text, never null, that tells rows apart where ids are null or repeat."""
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
+
+
+def marked_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``_doc, _row, _id, _text``: whole rows, whatever their columns are called, with their key, id and text."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("_doc"), row_key(doc_id, text).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+
 
-    ``groups`` has ``_row, component_id``.  Repeated rows of one id and text share their ``_row`` and
-    their group, and one of them stays.
+def first_rows(marked: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``marked_rows`` that come first in their group, by id (null last) and then by key.
+
+    ``groups`` has ``row, component``.  Repeated rows of one id and text share their key and their group, and
+    one of them stays.
     """
-    ids = marked.select("_row", F.col(doc_id).isNull().alias("_null"), F.col(doc_id).alias("_id")).groupBy("_row", "_null", "_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = ids.join(groups.select(F.col("doc_id").alias("_row"), "component_id").distinct(), "_row")
-    first = rows.groupBy("component_id").agg(F.min(F.struct("_null", "_id", "_row", "n")).alias("least"))
+    ids = marked.select("_row", F.col("_id").isNull().alias("_null"), "_id").groupBy("_row", "_null", "_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = ids.join(groups.select(F.col("row").alias("_row"), "component").distinct(), "_row")
+    first = rows.groupBy("component").agg(F.min(F.struct("_null", "_id", "_row", "n")).alias("least"))
     kept = stored(first.select("least._row", "least.n"), "kept-rows")
     once = marked.join(kept.where("n = 1"), "_row", "left_semi")  # only repeats need be dealt out
-    return once.unionByName(marked.join(kept.where("n > 1"), "_row", "left_semi").dropDuplicates(["_row"])).drop("_row")
-
-
-def row_key(doc_id: str, text: str) -> Column:
-    """A hash of id and text, never null, that tells rows apart where ids are null or repeat."""
-    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
+    again = marked.join(kept.where("n > 1"), "_row", "left_semi").dropDuplicates(["_row"])
+    return once.unionByName(again).select("_doc.*")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that come first, by id, in their group of near-duplicates.
+    """The rows of ``docs``, all columns, that come first, by id, in their group of near-duplicates.
 
     Rows with a null id are judged too and come last in their group; rows that share an id but are no
-    near-duplicates all stay.
+    near-duplicates all stay.  Null and empty texts are alike, an empty table stays empty, and columns may
+    have any names.
     """
-    marked = docs.withColumn("_row", row_key(doc_id, text))
-    return first_rows(marked, near_duplicates(marked, doc_id="_row", text=text, **options), doc_id=doc_id)
+    marked = marked_rows(docs, doc_id, text)
+    found = near_duplicates(marked, doc_id="_row", text="_text", **options)
+    return first_rows(marked, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))

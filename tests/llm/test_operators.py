@@ -167,7 +167,7 @@ def _edits(item, text):
 def test_decontamination_against_brute_force(spark):
     rng = np.random.default_rng(3)
     text = lambda n: "".join(rng.choice(list("abcdefg  "), n))
-    items = ["x" + text(n) + "x" for n in (60, 90, 200, 40)] + ["short", None, ""]
+    items = ["x" + text(n) + "x" for n in (60, 90, 200, 40)] + ["qu Ick", None, "", " "]
     bodies = [text(300) for _ in range(12)]
     for k, item in enumerate(items[:4]):
         bodies += [text(50) + item + text(50), "  " + item.upper() + "\n"]
@@ -176,18 +176,25 @@ def test_decontamination_against_brute_force(spark):
             for at in rng.choice(len(bad), edits, replace=False):
                 bad[at] = ("", "z", bad[at] + "y")[k % 3]
             bodies.append(text(80) + "".join(bad) + text(20))
-    bodies += [None, "", items[2] + " " + items[0]]
+    bodies += [None, "", items[2] + " " + items[0], "a  QU\nick b", "aqu icky", "qui ck"]
+    bodies.append("z " * 300_000 + items[0] + " z" * 300_000)  # longer than a piece
     bench = spark.createDataFrame([(i, t, 0) for i, t in enumerate(items)], "item_id long, text string, doc_id long")
     expected = set()
     for d, body in enumerate(bodies):
         for i, item in enumerate(items):
             norm = decontamination.normalised(item)
-            if len(norm) >= decontamination.Q and _edits(norm, decontamination.normalised(body)) <= min(int(len(norm) * decontamination.BUDGET + 1e-9), (len(norm) - decontamination.Q) // decontamination.Q):
+            if 0 < len(norm) < decontamination.Q:
+                if norm in decontamination.normalised(body):
+                    expected.add((d, i))
+            elif norm and len(body or "") < 10_000 and _edits(norm, decontamination.normalised(body)) <= min(int(len(norm) * decontamination.BUDGET + 1e-9), (len(norm) - decontamination.Q) // decontamination.Q):
                 expected.add((d, i))
+    expected.add((len(bodies) - 1, 0))
     for block in (decontamination.BLOCK_CHARS, 100):
         found = decontamination.contaminated(docs(spark, bodies), bench, block_chars=block).collect()
         assert {(r["doc_id"], r["item_id"]) for r in found} == expected and len(found) == len(expected)
-    kept = decontamination.without_benchmark(docs(spark, bodies), bench)
+    kept = decontamination.without_benchmark(docs(spark, bodies).withColumn("_row", F.lit("mine")), bench)
+    assert {r["_row"] for r in kept.collect()} == {"mine"}
+    kept = kept.drop("_row")
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(bodies))) - {d for d, _ in expected} and kept.columns == ["doc_id", "text", "key", "component"]
     assert decontamination.contaminated(docs(spark, bodies), bench.limit(0)).count() == 0
 
