@@ -95,6 +95,15 @@ def small_table(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+#: Keys of rows that may be broadcast: two numbers each, 16 MB in all.
+BROADCAST_KEYS = 1_000_000
+
+
+def small_keys(keys: DataFrame) -> DataFrame:
+    """A stored table of one or two numbers a row, marked for broadcast if it is small enough to be."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def thinned(rows: DataFrame, by: list[str], key: str, each: int) -> DataFrame:
     """A sample of ``each`` rows for every value of ``by``, all of them if there are no more: those of the
     smallest hashes of ``key``, and so the same in every run.

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, discard, stored
+from tallyloom.llm.common import bounded_batches, discard, small_keys, stored
 from tallyloom.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -145,12 +145,16 @@ def first_rows(marked: DataFrame, groups: DataFrame) -> DataFrame:
     one of them stays.
     """
     ids = marked.select("_row", F.col("_id").isNull().alias("_null"), "_id").groupBy("_row", "_null", "_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = ids.join(groups.select(F.col("row").alias("_row"), "component").distinct(), "_row")
-    first = rows.groupBy("component").agg(F.min(F.struct("_null", "_id", "_row", "n")).alias("least"))
-    kept = stored(first.select("least._row", "least.n"), "kept-rows")
-    once = marked.join(kept.where("n = 1"), "_row", "left_semi")  # only repeats need be dealt out
-    again = marked.join(kept.where("n > 1"), "_row", "left_semi").dropDuplicates(["_row"])
-    return once.unionByName(again).select("_doc.*")
+    rows = stored(ids.join(groups.select(F.col("row").alias("_row"), "component").distinct(), "_row"), "row-groups")
+    first = rows.groupBy("component").agg(F.min(F.struct("_null", "_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
+    repeats = stored(rows.where("n > 1").join(first, "_row", "left_semi").select("_row"), "repeated-rows")
+    gone = stored(rows.join(first, "_row", "left_anti").select("_row").union(repeats), "gone-rows")
+    discard(rows)
+    kept = marked.join(small_keys(gone), "_row", "left_anti").select("_doc")
+    if not repeats.isEmpty():  # of rows that agree in id and text
+        once = marked.join(small_keys(repeats), "_row", "left_semi").dropDuplicates(["_row"])
+        kept = kept.unionByName(once.select("_doc"))
+    return kept.select("_doc.*")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
