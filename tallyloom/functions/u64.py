@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,11 +15,6 @@ BLOOM_SEED, MINHASH_SEED = 0x83984A98FD448A39, 0xEA59F2718F8069A6
 FINALIZER = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None))
 
 
-def seed_of(tag: str) -> int:
-    """The first eight bytes of a tag's SHA-256."""
-    return int.from_bytes(hashlib.sha256(tag.encode()).digest()[:8], "big")
-
-
 def signed(value: int) -> int:
     value &= MASK
     return value - (1 << 64) if value >> 63 else value

@@ -91,4 +91,4 @@ def build(df: DataFrame, keys: list[str], hashed: Column | str, spec: BloomSpec)
     """Sketches of the hashes in ``hashed``; null hashes add nothing."""
     rows = df.where(named(hashed).isNotNull())
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("inserted_count"))
-    return BloomFrame(bucket_rows(rows.select(*keys, named(hashed).alias("_h")).distinct(), keys, "_h", spec), counts, keys, spec)
+    return BloomFrame(bucket_rows(rows, keys, hashed, spec), counts, keys, spec)

@@ -15,13 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.errors import InvalidQueryModeError
+from tallyloom.errors import InvalidQueryModeError, NegativeWeightError
 from tallyloom.functions import u64
 from tallyloom.operators.frames import join_keys, named, require_mergeable, union
 from tallyloom.profiles import HeavySpec
 
 NO_FALSE_POSITIVES, NO_FALSE_NEGATIVES = "NO_FALSE_POSITIVES", "NO_FALSE_NEGATIVES"
 REPRESENTATION = "FREQUENT_ITEMS_BOUNDED_MAP"
+#: Parts of a group that are cut before they meet.
+PARTS = 32
 
 
 @dataclass(frozen=True)
@@ -82,13 +84,28 @@ class HeavyFrame:
         return found.select(*wanted.columns, F.coalesce("estimate", F.lit(0)).alias("estimate"), lower.alias("lower_bound"), F.coalesce("estimate", "max_error").alias("upper_bound"))
 
 
+def _first(summed: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """The ``size + 1`` heaviest rows of each group, with their ``_rank``.
+
+    Tasks first cut the parts of a group that they hold, so that no task ranks all keys of a large one.
+    """
+    order = [F.desc("weight"), u64.ordered(F.col("hash"))]
+    if not keys:
+        few = summed.orderBy(*order).limit(size + 1)
+        return few.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))  # of size + 1 rows
+    part = F.pmod(F.xxhash64("hash", F.lit(3)), F.lit(PARTS))
+    parts = summed.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    few = parts.where(F.col("_rank") <= size + 1).drop("_part", "_rank")
+    return few.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= size + 1)
+
+
 def _cut(residuals: DataFrame, totals: DataFrame, keys: list[str], spec: HeavySpec) -> HeavyFrame:
     """Sum by key, keep what lies above the weight ranked one past the last place."""
     summed = residuals.groupBy(*keys, "hash").agg(F.sum("weight").alias("weight")).where("weight > 0")
-    order = Window.partitionBy(*keys).orderBy(F.desc("weight"), u64.ordered(F.col("hash")))
-    first = summed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= spec.map_size + 1)
+    first = _first(summed, keys, spec.map_size)
     errors = first.where(F.col("_rank") == spec.map_size + 1).select(*keys, F.col("weight").alias("_cut"))
-    sums = totals.groupBy(*keys).agg(F.sum("total_weight").alias("total_weight"), F.sum("max_error").alias("_error"))
+    none = F.lit(0).cast("long")  # the sums of no rows at all, which without keys are still a sketch
+    sums = totals.groupBy(*keys).agg(F.coalesce(F.sum("total_weight"), none).alias("total_weight"), F.coalesce(F.sum("max_error"), none).alias("_error"))
     sums = join_keys(sums, errors, keys, "left").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
     kept = join_keys(first, sums, keys).where("weight > _cut")
     return HeavyFrame(
@@ -121,6 +138,8 @@ class Counters:
         self.size, self.estimates, self.error, self.total = size, {}, 0, 0
 
     def add(self, key: int, weight: int) -> None:
+        if weight < 0:
+            raise NegativeWeightError("a weight is negative")
         self.total += weight
         if key in self.estimates:
             self.estimates[key] += weight

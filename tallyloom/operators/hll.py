@@ -85,30 +85,47 @@ def dense_estimate(occupied: Column, power_sum: Column, p: int) -> Column:
 
 @dataclass(frozen=True)
 class HllFrame:
-    """Distinct-count sketches, one for each value of ``keys``."""
+    """Distinct-count sketches, one for each value of ``keys``.
+
+    ``groups`` names groups that may have no register; without keys there is one sketch, empty or not.
+    """
 
     registers: DataFrame
     keys: list[str]
     spec: HllSpec
+    groups: DataFrame | None = None
 
     def merge(self, *others: HllFrame) -> HllFrame:
         """Groups of equal keys become one; a group is dense if any part is, or the union is large."""
         require_mergeable(self, list(others))
-        return _settled(union([self.registers, *(o.registers for o in others)]), self.keys, self.spec)
+        parts = [self, *others]
+        groups = [p.groups for p in parts if p.groups is not None]
+        groups += [p.registers.select(*self.keys) for p in parts if groups and p.groups is None]
+        return _settled(union([p.registers for p in parts]), self.keys, self.spec, union(groups) if groups else None)
 
     def rollup(self, keys: list[str]) -> HllFrame:
         """Merge over the keys that are left out."""
-        return _settled(self.registers.select(*keys, "dense", "idx", "rank"), keys, self.spec)
+        return _settled(self.registers.select(*keys, "dense", "idx", "rank"), keys, self.spec, None if self.groups is None else self.groups.select(*keys))
+
+    def grouped(self, *aggregates: Column) -> DataFrame:
+        """``keys, dense`` and the aggregates of every sketch's registers; those of an empty one are null."""
+        if not self.keys:
+            return self.registers.agg(F.coalesce(F.max("dense"), F.lit(False)).alias("dense"), *aggregates)
+        found = self.registers.groupBy(*self.keys, "dense").agg(*aggregates)
+        if self.groups is None:
+            return found
+        every = join_keys(self.groups.select(*self.keys).distinct(), found, self.keys, "left")
+        return every.withColumn("dense", F.coalesce("dense", F.lit(False)))
 
     def force_dense(self) -> HllFrame:
         idx, rank = to_dense(F.col("idx"), F.col("rank"), self.spec)
         dense = self.registers.select(*self.keys, F.lit(True).alias("dense"), F.when(F.col("dense"), F.col("idx")).otherwise(idx).alias("idx"), F.when(F.col("dense"), F.col("rank")).otherwise(rank).alias("rank"))
-        return HllFrame(dense.groupBy(*self.keys, "dense", "idx").agg(F.max("rank").alias("rank")), self.keys, self.spec)
+        return HllFrame(dense.groupBy(*self.keys, "dense", "idx").agg(F.max("rank").alias("rank")), self.keys, self.spec, self.groups)
 
     def summary(self) -> DataFrame:
         """``keys, representation_mode, sparse_count, dense_nonzero_count, storage_bytes, estimate``."""
         n, powers = F.count(F.lit(1)), F.sum(F.pow(F.lit(2.0), -F.col("rank")))
-        grouped = self.registers.groupBy(*self.keys, "dense").agg(n.alias("n"), powers.alias("powers"))
+        grouped = self.grouped(n.alias("n"), powers.alias("powers")).withColumns({"n": F.coalesce("n", F.lit(0)), "powers": F.coalesce("powers", F.lit(0.0))})
         estimate = F.when(F.col("dense"), dense_estimate(F.col("n"), F.col("powers"), self.spec.p)).otherwise(linear_count(1 << self.spec.sp, F.col("n")))
         return grouped.select(
             *self.keys,
@@ -120,7 +137,7 @@ class HllFrame:
         )
 
     def estimate(self) -> DataFrame:
-        """``keys, estimate``; a group without hashes has no row, and no keys at all count as 0."""
+        """``keys, estimate``; 0 for an empty sketch."""
         return self.summary().select(*self.keys, "estimate")
 
     def sparse_registers(self) -> DataFrame:
@@ -130,14 +147,14 @@ class HllFrame:
         return self.registers.where("dense").select(*self.keys, "idx", "rank")
 
 
-def _settled(rows: DataFrame, keys: list[str], spec: HllSpec) -> HllFrame:
+def _settled(rows: DataFrame, keys: list[str], spec: HllSpec, groups: DataFrame | None = None) -> HllFrame:
     merged = rows.groupBy(*keys, "dense", "idx").agg(F.max("rank").alias("rank"))
     sizes = merged.groupBy(*keys).agg((F.max("dense") | (F.count(F.lit(1)) > spec.promotion)).alias("_to_dense"))
     placed = join_keys(merged, sizes, keys)
     idx, rank = to_dense(F.col("idx"), F.col("rank"), spec)
     promote = F.col("_to_dense") & ~F.col("dense")
     placed = placed.select(*keys, F.col("_to_dense").alias("dense"), F.when(promote, idx).otherwise(F.col("idx")).alias("idx"), F.when(promote, rank).otherwise(F.col("rank")).alias("rank"))
-    return HllFrame(placed.groupBy(*keys, "dense", "idx").agg(F.max("rank").alias("rank")), keys, spec)
+    return HllFrame(placed.groupBy(*keys, "dense", "idx").agg(F.max("rank").alias("rank")), keys, spec, groups)
 
 
 def sparse_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: HllSpec) -> DataFrame:
@@ -148,7 +165,7 @@ def sparse_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: HllS
 
 
 def build(df: DataFrame, keys: list[str], hashed: Column | str, spec: HllSpec) -> HllFrame:
-    """Sketches of the 64-bit hashes in ``hashed``; null hashes add nothing."""
+    """Sketches of the 64-bit hashes in ``hashed``; null hashes add nothing, and no group by themselves."""
     return _settled(sparse_rows(df, keys, hashed, spec), keys, spec)
 
 

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.errors import SketchError
 from tallyloom.functions import u64
 from tallyloom.functions.canonical import canonical
-from tallyloom.functions.keyed import Secret, hash64, tool_error_key
+from tallyloom.functions.keyed import EnvSecret, Secret, hash64, tool_error_key
 from tallyloom.operators import bloom, heavy, hll, minhash
 from tallyloom.plans import sql
 from tallyloom.profiles import BloomSpec, HeavySpec, HllSpec, MinHashSpec, domains
-from tallyloom.sources import packed, wire
+from tallyloom.sources import packed
 from tallyloom.streaming import windows
 
 #: Public by design: it is in the plans and in the SQL below.
@@ -64,6 +62,14 @@ def hash64_users(spark, sf_dir):
     return events(spark, sf_dir).select("user_id", u64.hex16(F.col("h")).alias("digest")).distinct()
 
 
+def hash64_env_users(spark, sf_dir):
+    """Keys under a secret that workers read from their environment: the plan holds its name only."""
+    variable = "TALLYLOOM_QUERY_SECRET"
+    spark.sparkContext.environment[variable] = SECRET.value.decode()
+    key = hash64(canonical(F.col("user_id").cast("string")), "user:v1", EnvSecret(variable))
+    return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", u64.hex16(key).alias("digest"))
+
+
 def hash64_docs(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", u64.hex16(F.col("h")).alias("digest"))
 
@@ -113,6 +119,18 @@ def hll_distinct_parts_dense(spark, sf_dir):
     return rounded(found.select("l_returnflag", "representation_mode", "dense_nonzero_count", "estimate"), "estimate")
 
 
+def hll_distinct_orders_dense(spark, sf_dir):
+    """Beyond linear counting: raw estimates with their bias taken off."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("h", keyed("l_orderkey", "tool:v1"))
+    return rounded(hll.build(rows, ["l_returnflag"], "h", PARTS).force_dense().estimate(), "estimate")
+
+
+def hll_empty(spark, sf_dir):
+    """The sketch of no rows: packed, read back, counted."""
+    none = hll.build(events(spark, sf_dir).where("event_type = 'no such type'"), [], "h", USERS)
+    return packed.parse(packed.pack(none), [], USERS).summary().select("representation_mode", "sparse_count", "estimate")
+
+
 def hll_merge_windows(spark, sf_dir):
     daily = hll.build(events(spark, sf_dir).withColumn("day", F.to_date("ts")), ["event_type", "day"], "h", USERS)
     halves = [hll.HllFrame(daily.registers.where(side), daily.keys, USERS) for side in ("day(day) <= 15", "day(day) > 15")]
@@ -144,7 +162,18 @@ def heavy_pruned_parts(spark, sf_dir):
 
 
 def heavy_nfp(spark, sf_dir):
-    return _shown(parts_by_quantity(spark, sf_dir).frequent_items(heavy.NO_FALSE_POSITIVES))
+    """Every fiftieth part weighs ten times, so that some stand out for certain."""
+    boosted = lineitem(spark, sf_dir).withColumn("quantity", F.expr("quantity * if(l_partkey % 50 = 0, 10, 1)"))
+    return _shown(heavy.build(boosted, [], "h", "quantity", HEAVY_PARTS).frequent_items(heavy.NO_FALSE_POSITIVES))
+
+
+def heavy_default(spark, sf_dir):
+    return _shown(heavy.build(lineitem(spark, sf_dir), [], "h", "quantity", HeavySpec("default", "tool:v1")).items())
+
+
+def heavy_empty(spark, sf_dir):
+    none = heavy.build(lineitem(spark, sf_dir).where("l_returnflag = 'none'"), [], "h", "quantity", HEAVY_PARTS)
+    return packed.parse(packed.pack(none), [], HEAVY_PARTS).totals
 
 
 def heavy_threshold(spark, sf_dir):
@@ -227,8 +256,8 @@ def minhash_merge(spark, sf_dir):
 
 def minhash_jaccard_types(spark, sf_dir):
     frame = minhash.build(events(spark, sf_dir), ["event_type"], "h", MinHashSpec("k256", "user:v1"))
-    types = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]
-    pairs = spark.createDataFrame(list(combinations(types, 2)), "left_event_type string, right_event_type string")
+    types = frame.counts.select(F.col("event_type").alias("left_event_type"))
+    pairs = types.join(frame.counts.select(F.col("event_type").alias("right_event_type")), F.expr("left_event_type < right_event_type"))
     return rounded(frame.jaccard(pairs), "jaccard")
 
 
@@ -254,37 +283,30 @@ def wire_roundtrip_minhash(spark, sf_dir):
     return packed.parse(cells, ["lang"], MIN_DOCS).minima.withColumn("low", u64.hex16(F.col("low")))
 
 
-def _refused(what: Callable) -> bool:
-    try:
-        what()
-    except SketchError:
-        return True
-    return False
-
-
 def wire_rejects(spark, sf_dir):
-    """Which of some broken sketches are refused: all."""
-    good = wire.encode(HllSpec("micro"), wire.HllState(False, [(1, 2), (5, 1)]))
-    broken = {
-        "oversize": b"\0" * (wire.LARGEST + 1),
-        "cut off": good[:-1],
-        "no body": wire.blob(1, wire._metadata(HllSpec("micro"), wire.HLL_SPARSE)),
-        "index out of range": wire.encode(HllSpec("micro"), wire.HllState(False, [(1 << 16, 1)])),
-        "rank out of range": wire.encode(HllSpec("micro"), wire.HllState(False, [(3, 60)])),
-        "too many registers": wire.encode(HllSpec("micro"), wire.HllState(False, [(i, 1) for i in range(257)])),
-        "unknown field": good + wire.number(9, 1),
-        "valid": good,
+    """Packed sketches of the events, whole and broken in several ways, and which are refused."""
+    cells = packed.pack(users_by_type(spark, sf_dir))
+    raw, size = F.col("sketch"), F.octet_length("sketch")
+    head = F.conv(F.hex(F.substring(raw, 2, F.lit(1))), 16, 10).cast("int") + 2  # the metadata, less than 128 bytes of it
+    ways = {
+        "valid": raw,
+        "cut off": F.substring(raw, 1, size - 1),
+        "no body": F.substring(raw, 1, head),
+        "unknown field": F.concat(raw, F.unhex(F.lit("4801"))),
+        "metadata twice": F.concat(F.substring(raw, 1, head), raw),
+        "body first": F.concat(F.substring(raw, head + 1, size - head), F.substring(raw, 1, head)),
+        "oversize": F.concat(raw, F.unhex(F.repeat(F.lit("00"), (4 << 20) + 1))),
     }
-    rows = [(name, _refused(lambda raw=raw: wire.decode(raw, HllSpec))) for name, raw in broken.items()]
-    return spark.createDataFrame(rows, "name string, refused boolean")
+    broken = cells.select("event_type", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), b.alias("sketch")) for n, b in ways.items()])).alias("x"))
+    return broken.select("event_type", "x.name", packed.verdict(F.col("x.sketch"), USERS).isNotNull().alias("refused"))
 
 
 def incompatible_merge_rejected(spark, sf_dir):
-    pairs = {
-        "profile": (HllSpec("micro"), HllSpec("small")), "domain": (HeavySpec("micro", "user:v1"), HeavySpec("micro", "tool:v1")),
-        "kind": (HeavySpec("micro"), MinHashSpec("micro")), "equal shape": (MinHashSpec("small"), MinHashSpec("default")), "same": (BloomSpec("micro"), BloomSpec("micro")),
-    }
-    return spark.createDataFrame([(n, _refused(lambda a=a, b=b: a.require_same(b))) for n, (a, b) in pairs.items()], "name string, refused boolean")
+    """Which packed sketches can't be merged with sketches of some specifications."""
+    cells = packed.pack(users_by_type(spark, sf_dir))
+    others = {"same": USERS, "profile": HllSpec("micro", "user:v1"), "domain": HllSpec("small", "tool:v1"), "kind": HeavySpec("small", "user:v1")}
+    judged = cells.select("event_type", *[packed.verdict("sketch", spec).isNotNull().alias(name) for name, spec in others.items()])
+    return judged.unpivot("event_type", list(others), "name", "refused")
 
 
 # --- streaming -----------------------------------------------------------------------------------------------
@@ -312,9 +334,9 @@ def stream_daily_users(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        canon_docs, hash64_users, hash64_docs, tool_error_keys, domain_separation, mix64_family,
-        hll_registers_sparse, hll_registers_dense, hll_distinct_users_by_type, hll_distinct_docs_by_lang, hll_distinct_parts_dense,
-        hll_merge_windows, hll_representation, heavy_users_by_value, heavy_pruned_parts, heavy_nfp, heavy_threshold, heavy_merge_flags,
+        canon_docs, hash64_users, hash64_env_users, hash64_docs, tool_error_keys, domain_separation, mix64_family,
+        hll_registers_sparse, hll_registers_dense, hll_distinct_users_by_type, hll_distinct_docs_by_lang, hll_distinct_parts_dense, hll_distinct_orders_dense, hll_empty,
+        hll_merge_windows, hll_representation, heavy_users_by_value, heavy_pruned_parts, heavy_nfp, heavy_default, heavy_empty, heavy_threshold, heavy_merge_flags,
         heavy_bounds_lookup, heavy_top, heavy_topk_share, heavy_guarantees, bloom_set_bits, bloom_fpr, bloom_merge, bloom_probe_parts,
         bloom_probe_benchmark_in_docs, minhash_signature, minhash_merge, minhash_jaccard_types, wire_roundtrip_hll, wire_roundtrip_heavy,
         wire_roundtrip_bloom, wire_roundtrip_minhash, wire_rejects, incompatible_merge_rejected, stream_daily_users,
@@ -345,6 +367,7 @@ SELECT {sql.hex16('hash')} AS hash, residual + e AS estimate, residual - cut AS
     return {
         "canon_docs": f"SELECT doc_id, length({sql.canonical('text')})::BIGINT AS length, md5({sql.canonical('text')}) AS md5 FROM documents",
         "hash64_users": f"WITH {ev} SELECT DISTINCT user_id, {sql.hex16('h')} AS digest FROM e",
+        "hash64_env_users": f"WITH {ev} SELECT DISTINCT user_id, {sql.hex16('h')} AS digest FROM e",
         "hash64_docs": f"WITH {docs} SELECT doc_id, {sql.hex16('h')} AS digest FROM d0",
         "tool_error_keys": f"SELECT l_returnflag, l_linestatus, {sql.hex16(sql.hashed('l_returnflag || chr(0) || l_linestatus', 'tool-error:v1', SECRET.value))} AS digest FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)",
         "domain_separation": "SELECT n_name, " + ", ".join(f"{sql.hex16(key('n_name', d))} AS {d.split(':')[0].replace('-', '_')}" for d in domains()) + " FROM nation",
@@ -354,13 +377,17 @@ SELECT {sql.hex16('hash')} AS hash, residual + e AS estimate, residual - cut AS
         "hll_distinct_users_by_type": users,
         "hll_distinct_docs_by_lang": f"WITH {docs} {sql.sparse_estimates('d0', 'lang', 'h', HllSpec('default', 'prompt:v1'))}",
         "hll_distinct_parts_dense": f"WITH {items} SELECT l_returnflag, 'HLLPP_DENSE' AS representation_mode, n::BIGINT AS dense_nonzero_count, round({sql.linear(1 << PARTS.p, 'n')}, 6) AS estimate FROM (SELECT l_returnflag, {count_dense})",
+        "hll_distinct_orders_dense": f"WITH o AS (SELECT *, {key('l_orderkey', 'tool:v1')} AS h FROM lineitem), {sql.dense_estimates('o', 'l_returnflag', 'h', PARTS)}",
+        "hll_empty": "SELECT 'HLLPP_SPARSE' AS representation_mode, 0::BIGINT AS sparse_count, 0.0::DOUBLE AS estimate",
         "hll_merge_windows": users,
         "hll_representation": f"""WITH o AS (SELECT o_orderstatus, {key('o_custkey', 'user:v1')} AS h FROM orders),
 s AS (SELECT o_orderstatus, count(*) AS n FROM ({sql.sparse_registers('o', 'o_orderstatus', 'h', PARTS)}) GROUP BY 1), t AS (SELECT o_orderstatus, count(*) AS m FROM ({sql.dense_registers('o', 'o_orderstatus', 'h', PARTS)}) GROUP BY 1)
 SELECT o_orderstatus, CASE WHEN n > {PARTS.promotion} THEN 'HLLPP_DENSE' ELSE 'HLLPP_SPARSE' END AS representation_mode, CASE WHEN n > {PARTS.promotion} THEN 0 ELSE n END::BIGINT AS sparse_count, CASE WHEN n > {PARTS.promotion} THEN m ELSE 0 END::BIGINT AS dense_nonzero_count FROM s JOIN t USING (o_orderstatus)""",
         "heavy_users_by_value": f"WITH {ev}, {sql.heavy('e', 'h', 'cents', HEAVY_USERS)} {shown}",
         "heavy_pruned_parts": f"{parts} {shown}",
-        "heavy_nfp": f"{parts} {shown} WHERE lower_bound > error",
+        "heavy_nfp": f"WITH {items.replace('l_quantity::BIGINT', '(l_quantity * CASE WHEN l_partkey % 50 = 0 THEN 10 ELSE 1 END)::BIGINT')}, {sql.heavy('l', 'h', 'quantity', HEAVY_PARTS)} {shown} WHERE lower_bound > error",
+        "heavy_default": f"WITH {items}, {sql.heavy('l', 'h', 'quantity', HeavySpec('default', 'tool:v1'))} {shown}",
+        "heavy_empty": "SELECT 0::BIGINT AS total_weight, 0::BIGINT AS max_error",
         "heavy_threshold": f"{parts} {shown} WHERE upper_bound > 1000",
         "heavy_merge_flags": flags,
         "heavy_bounds_lookup": f"{parts} SELECT p_partkey, coalesce(estimate, 0)::BIGINT AS estimate, greatest(0, coalesce(estimate - d.max_error, 0))::BIGINT AS lower_bound, coalesce(estimate, d.max_error)::BIGINT AS upper_bound FROM (SELECT p_partkey, {key('p_partkey', 'tool:v1')} AS hash FROM part) CROSS JOIN d LEFT JOIN held USING (hash)",
@@ -381,7 +408,7 @@ SELECT item_id, bool_and(held.position IS NOT NULL) AS may_contain FROM ({sql.bl
         "wire_roundtrip_heavy": f"{parts} {shown}",
         "wire_roundtrip_bloom": f"WITH {ev} SELECT event_type, position FROM {bits('event_type')}",
         "wire_roundtrip_minhash": signature,
-        "wire_rejects": "SELECT * FROM (VALUES ('oversize', true), ('cut off', true), ('no body', true), ('index out of range', true), ('rank out of range', true), ('too many registers', true), ('unknown field', true), ('valid', false)) t(name, refused)",
-        "incompatible_merge_rejected": "SELECT * FROM (VALUES ('profile', true), ('domain', true), ('kind', true), ('equal shape', true), ('same', false)) t(name, refused)",
+        "wire_rejects": "SELECT event_type, name, name <> 'valid' AS refused FROM (SELECT DISTINCT event_type FROM events), (VALUES ('valid'), ('cut off'), ('no body'), ('unknown field'), ('metadata twice'), ('body first'), ('oversize')) t(name)",
+        "incompatible_merge_rejected": "SELECT event_type, name, name <> 'same' AS refused FROM (SELECT DISTINCT event_type FROM events), (VALUES ('same'), ('profile'), ('domain'), ('kind')) t(name)",
         "stream_daily_users": f"WITH {ev}, days AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM e) {sql.sparse_estimates('days', 'day, event_type', 'h', USERS)}",
     }

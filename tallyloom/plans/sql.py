@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 
 from tallyloom.functions import u64
-from tallyloom.operators.hll import alpha
-from tallyloom.profiles import BloomSpec, HeavySpec, HllSpec, MinHashSpec
+from tallyloom.operators.hll import NEIGHBOURS, alpha, bias_points
+from tallyloom.profiles import LINEAR_LIMITS, BloomSpec, HeavySpec, HllSpec, MinHashSpec
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || " + " || ".join(f"chr({c})" for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
@@ -67,6 +67,17 @@ def raw_estimate(spec: HllSpec) -> str:
     return f"{alpha(m) * m * m!r} / (sum(pow(2.0, -rank)) + {m} - count(*))"
 
 
+def dense_estimates(source: str, keys: str, h: str, spec: HllSpec) -> str:
+    """CTEs and a query: estimates of dense sketches, by linear counting or less the bias of the nearest points."""
+    m, (points, biases) = 1 << spec.p, bias_points(spec.p)
+    return f"""r AS ({dense_registers(source, keys, h, spec)}),
+e AS (SELECT {keys}, count(*) AS n, {raw_estimate(spec)} AS raw FROM r GROUP BY ALL),
+points AS (SELECT unnest({points}) AS x, unnest({biases}) AS y),
+near AS (SELECT {keys}, y, row_number() OVER (PARTITION BY {keys} ORDER BY (x - raw) * (x - raw), y) AS rn FROM e, points),
+b AS (SELECT {keys}, avg(y) AS bias FROM near WHERE rn <= {NEIGHBOURS} GROUP BY ALL)
+SELECT {keys}, round(CASE WHEN n < {m} AND {linear(m, 'n')} <= {LINEAR_LIMITS[spec.p]} THEN {linear(m, 'n')} WHEN raw <= {5 * m} THEN raw - bias ELSE raw END, 6) AS estimate FROM e JOIN b USING ({keys})"""
+
+
 def heavy(source: str, h: str, weight: str, spec: HeavySpec) -> str:
     """CTEs: ``w`` sums by key, ``d`` the cut, ``held`` the items."""
     return f"""w AS (SELECT {h} AS hash, sum({weight})::BIGINT AS weight FROM {source} GROUP BY 1 HAVING sum({weight}) > 0),

@@ -7,10 +7,10 @@ no more.  Files are Parquet with a ``sketch`` column, or single ``.pb`` files re
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.errors import IncompatibleMergeError
+from tallyloom.errors import IncompatibleMergeError, SketchError
 from tallyloom.functions import u64
 from tallyloom.operators import bloom, heavy, hll, minhash
 from tallyloom.operators.frames import join_keys
@@ -26,7 +26,8 @@ def pack_hll(frame: hll.HllFrame) -> DataFrame:
     def encode(dense: pd.Series, idx: pd.Series, rank: pd.Series) -> pd.Series:
         return pd.Series([wire.encode(spec, wire.HllState(bool(d), list(zip(map(int, i), map(int, r), strict=True)))) for d, i, r in zip(dense, idx, rank, strict=True)])
 
-    each = frame.registers.groupBy(*frame.keys, "dense").agg(F.array_sort(F.collect_list(F.struct("idx", "rank"))).alias("r"))
+    each = frame.grouped(F.array_sort(F.collect_list(F.struct("idx", "rank"))).alias("r"))
+    each = each.withColumn("r", F.coalesce("r", F.array().cast("array<struct<idx:int,rank:int>>")))
     return each.select(*frame.keys, encode("dense", F.col("r.idx"), F.col("r.rank")).alias("sketch"))
 
 
@@ -77,6 +78,25 @@ def pack(frame) -> DataFrame:
     return kinds[type(frame)](frame)
 
 
+def verdict(cells: Column | str, spec: Spec) -> Column:
+    """Why packed sketches can't be read as ``spec``, or merged with such: null where they can, or are null."""
+    kind = type(spec)
+
+    @F.pandas_udf("string")
+    def judge(raw: pd.Series) -> pd.Series:
+        def one(value: bytes | None) -> str | None:
+            try:
+                if value is not None and wire.decode(bytes(value), kind)[0] != spec:
+                    return f"{IncompatibleMergeError.__name__}: another profile or domain"
+            except SketchError as e:
+                return f"{type(e).__name__}: {e}"
+            return None
+
+        return pd.Series([one(v) for v in raw], dtype=object)
+
+    return judge(cells)
+
+
 _PARSED = "profile string, domain string, dense boolean, idx array<int>, rank array<int>, hash array<bigint>, estimate array<bigint>, total bigint, error bigint, bitset binary"
 
 
@@ -84,7 +104,8 @@ def parse(cells: DataFrame, keys: list[str], spec: Spec, column: str = "sketch")
     """The frame of packed sketches; cells of equal keys are merged.
 
     Bytes that are no canonical sketch of this kind fail the query, and so do sketches whose profile or
-    domain isn't that of ``spec``: they couldn't be merged.  Null cells add nothing.
+    domain isn't that of ``spec``: they couldn't be merged.  ``verdict`` tells such rows apart beforehand.
+    Null cells add nothing; empty sketches keep their group.
     """
     kind = type(spec)
 
@@ -113,7 +134,7 @@ def parse(cells: DataFrame, keys: list[str], spec: Spec, column: str = "sketch")
     parsed = cells.where(F.col(column).isNotNull()).select(*keys, decode(column).alias("p")).select(*keys, "p.*")
     if kind is HllSpec:
         rows = parsed.select(*keys, "dense", F.explode(F.arrays_zip("idx", "rank")).alias("r")).select(*keys, "dense", "r.idx", "r.rank")
-        return hll._settled(rows, keys, spec)
+        return hll._settled(rows, keys, spec, parsed.select(*keys) if keys else None)
     if kind is HeavySpec:
         totals = parsed.select(*keys, F.col("total").alias("total_weight"), F.col("error").alias("max_error"))
         entries = parsed.select(*keys, "error", F.explode(F.arrays_zip("hash", "estimate")).alias("r"))

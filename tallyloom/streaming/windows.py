@@ -19,7 +19,7 @@ from tallyloom.profiles import BloomSpec, HeavySpec, HllSpec, MinHashSpec
 
 
 def windowed(events: DataFrame, time: str, width: str, late: str) -> DataFrame:
-    """Events with ``window_start``, after a watermark; times without a zone are read in the session's."""
+    """Events with their ``window``, after a watermark; times without a zone are read in the session's."""
     stamped = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     return stamped.withColumn("window", F.window(time, width))
 
@@ -59,8 +59,6 @@ class HeavyProcessor(StatefulProcessor):
             counters.estimates = {int(k): v for k, v in found["estimates"].items()}
         for pdf in rows:
             for h, w in pdf.groupby("hash", sort=True)["weight"].sum().items():
-                if w < 0:
-                    raise ValueError("a weight is negative")
                 counters.add(int(h), int(w))
         self.state.update((json.dumps({"total": counters.total, "error": counters.error, "estimates": counters.estimates}),))
         out = pd.DataFrame(sorted(counters.estimates.items()), columns=["hash", "estimate"])

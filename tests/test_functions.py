@@ -111,3 +111,17 @@ def test_unsigned_arithmetic(spark, values):
     for v, (mixed, rest, text, back, same) in zip(values, rows, strict=True):
         assert mixed == u64.signed(u64.mix64_int(v)) and rest == v % 143_776
         assert text == f"{v:016x}" and back == same == u64.signed(v)
+
+
+def test_trimming_long_inner_blanks_is_fast(spark):
+    import time
+
+    text = "a" + " " * 200_000 + "b　\n"
+    start = time.time()
+    assert spark.createDataFrame([(text,)], "t string").select(canonical("t")).first()[0] == text[:-2]
+    assert time.time() - start < 20
+
+
+def test_other_types_are_no_text(spark):
+    with pytest.raises(Exception, match="no text but"):
+        spark.createDataFrame([(1,)], "n long").select(canonical("n")).collect()

@@ -192,3 +192,40 @@ def test_streaming_heavy_items(spark, tmp_path):
         key = ("a" if i % 2 else "b", k)
         exact[key] = exact.get(key, 0) + w
     assert last == exact
+
+
+def test_empty_sketches(spark):
+    none = hashes(spark, []).withColumn("w", F.lit(1)).withColumn("k", F.lit("a"))
+    empty = hll.build(none, [], "h", MICRO)
+    assert tuple(empty.summary().select("representation_mode", "sparse_count", "estimate").first()) == (hll.SPARSE, 0, 0.0)
+    back = packed.parse(packed.pack(empty).withColumn("k", F.lit("a")), ["k"], MICRO)
+    assert [tuple(r) for r in back.estimate().collect()] == [("a", 0.0)]
+    full = hll.build(hashes(spark, [5]).withColumn("k", F.lit("b")), ["k"], "h", MICRO)
+    assert sorted(r["k"] for r in back.merge(full).estimate().collect()) == ["a", "b"]
+    heavy_none = heavy.build(none, [], "h", "w", HeavySpec("micro"))
+    assert tuple(heavy_none.totals.first()) == (0, 0)
+    assert packed.parse(packed.pack(heavy_none), [], HeavySpec("micro")).items().count() == 0
+
+
+def test_heavy_default_needs_no_single_task(spark):
+    rows = spark.createDataFrame([(i % 3000, i % 7 + 1) for i in range(9000)], "h long, w long")
+    for keys in ([], ["k"]):
+        frame = heavy.build(rows.withColumn("k", F.lit(1)), keys, "h", "w", HeavySpec("default"))
+        sums = {}
+        for i in range(9000):
+            sums[i % 3000] = sums.get(i % 3000, 0) + i % 7 + 1
+        cut = sorted(sums.values(), reverse=True)[1024]
+        assert frame.totals.first()["max_error"] == cut
+        assert {r["hash"]: r["estimate"] for r in frame.entries.collect()} == {h: w for h, w in sums.items() if w > cut}
+
+
+def test_verdicts_tell_rows_apart(spark):
+    good = packed.pack(hll.build(hashes(spark, [1, 2]), [], "h", MICRO))
+    cells = good.union(good.select(F.substring("sketch", 1, 9))).union(good.select(F.lit(None).cast("binary")))
+    found = [r[0] for r in cells.select(packed.verdict("sketch", MICRO)).collect()]
+    assert found[0] is None and found[1].startswith("WireError") and found[2] is None
+
+
+def test_negative_weights_are_refused():
+    with pytest.raises(errors.NegativeWeightError):
+        heavy.Counters(4).add(1, -1)
