@@ -87,5 +87,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_REPEATS = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, k, s, array_to_string(w[s:s + 12], ' ') AS g FROM (SELECT r, k, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT g, min(k) AS first FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 13)) AS p FROM windows JOIN firsts USING (g) WHERE first < k),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r)"""
+
+_LINKS = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+good AS (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {embedding_dedup.THRESHOLD}),
+reach AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT links.u, reach.c FROM reach JOIN links ON links.v = reach.vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE u = vec_id)::BIGINT AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM reach GROUP BY vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Plain SQL for the operators whose whole result it can say."""
+    return {"op8_substring_dedup": _REPEATS, "op9_embedding_near_dedup": _LINKS}
