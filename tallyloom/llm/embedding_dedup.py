@@ -1,9 +1,13 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Each pass hashes every vector with random hyperplanes, sorts all vectors by the concatenated bits and
-compares each with a bounded window of neighbours in that order; pairs whose exact cosine reaches the
-threshold are joined over the passes into components.  Inside a component every link is then counted
-exactly, so that a crowd larger than the window loses none: links never leave a component.
+Each pass hashes every vector with random hyperplanes, sorts all by the concatenated bits, and compares each
+with a bounded window of neighbours in that order: first by how many bits differ, then, for the few pairs left,
+by the exact cosine.  Verified pairs are joined over the passes into components.  Inside a component every link
+is then counted exactly, so that a crowd larger than the window loses none: links never leave a component.
+
+Only hashes and node numbers travel and are sorted; vectors are fetched for candidates alone.  The number of
+passes grows with the logarithm of the number of vectors, so that a lone pair at the threshold is missed no more
+often in a large table than in a small one.
 """
 
 from __future__ import annotations
@@ -16,13 +20,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, stored
+from tallyloom.llm.common import bounded_batches, discard, overlapping_blocks, stored, with_rank
 from tallyloom.llm.components import components
 
 THRESHOLD = 0.95
-PASSES, WINDOW, BITS = 16, 16, 64
+WINDOW, BITS = 16, 64
+#: Passes at least, and how often a lone pair at the threshold may be missed by all.
+PASSES, MISSED = 16, 1e-3
+#: Passes whose next neighbours are joined first: later ones skip what is in one component by then.
+FIRST_PASSES = 4
+#: Neighbours that are compared in one task, beside the window around them.
+BLOCK = 8192
 #: Components of more distinct vectors than this are counted by blocks of at most this many.
-CROWD = 2048
+CROWD = 512
 SEED = 11
 
 
@@ -32,8 +42,18 @@ def _unit(raw: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def passes_for(rows: int, threshold: float, window: int) -> int:
+    """Passes that leave a lone pair at the threshold apart with probability ``MISSED`` at most.
+
+    In one pass the two are in a window if they agree in about ``log2(rows / window)`` bits, each of which
+    they do with probability ``1 - angle / pi``.
+    """
+    met = (1 - math.acos(threshold) / math.pi) ** math.log2(max(2.0, rows / window))
+    return max(PASSES, math.ceil(math.log(MISSED) / math.log(1 - met)))
+
+
 def _keyed(classes: DataFrame, passes: int) -> DataFrame:
-    """A row for each vector and pass, with its bits in that pass."""
+    """``dim, pass, bits, node``: the bits of each vector in each pass, as a number that sorts like them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -41,30 +61,56 @@ def _keyed(classes: DataFrame, passes: int) -> DataFrame:
                 unit = _unit(own["vector"])
                 for p in range(passes):
                     planes = np.random.default_rng([SEED, p, int(dim)]).standard_normal((int(dim), BITS))
-                    bits = np.packbits(unit @ planes > 0, axis=1)
-                    yield pd.DataFrame({"dim": own["dim"], "pass": p, "bits": [b.tobytes() for b in bits], "node": own["node"], "vector": own["vector"]})
+                    bits = np.packbits(unit @ planes > 0, axis=1).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
+                    yield pd.DataFrame({"dim": own["dim"], "pass": p, "bits": bits.view(np.int64), "node": own["node"]})
+
+    return classes.select("dim", "node", "vector").mapInPandas(run, "dim int, pass int, bits long, node long")
+
+
+def _window_pairs(ranked: DataFrame, threshold: float, window: int) -> DataFrame:
+    """``u, v``, once each, of neighbours in a window whose bits differ little; rows of one ``component`` are no pairs."""
+    share = math.acos(threshold) / math.pi
+    far = math.ceil(BITS * share + 4 * math.sqrt(BITS * share * (1 - share)))
 
-    return classes.select("dim", "node", "vector").mapInPandas(run, "dim int, pass int, bits binary, node long, vector binary")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        order = pdf["dim"].to_numpy(np.int64) << 32 | pdf["pass"].to_numpy(np.int64)
+        bits, node, own = pdf["bits"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64), pdf["own"].to_numpy(bool)
+        part, ends = pdf["component"].to_numpy(np.int64), []
+        for w in range(1, min(window, len(pdf) - 1) + 1):
+            near = (np.bitwise_count(bits[:-w] ^ bits[w:]) <= far) & own[w:] & (order[:-w] == order[w:]) & (part[:-w] != part[w:])
+            ends.append(np.stack([node[:-w][near], node[w:][near]]))
+        both = np.sort(np.concatenate([np.zeros((2, 0), np.int64), *ends], axis=1), axis=0)
+        return pd.DataFrame({"u": both[0], "v": both[1]}).drop_duplicates()
+
+    return overlapping_blocks(ranked, BLOCK, window).groupBy("block").applyInPandas(run, "u long, v long").distinct()
 
 
-def _window_links(keyed: DataFrame, threshold: float, window: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs whose cosine reaches the threshold, stored."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
         for pdf in batches:
-            old = 0 if tail is None else len(tail)
-            pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
-            for _, own in pdf.groupby(["dim", "pass"], sort=False):
-                unit, node = _unit(own["vector"]), own["node"].to_numpy(np.int64)
-                fresh = own.index.to_numpy() >= old
-                for w in range(1, min(window, len(own) - 1) + 1):
-                    close = ((unit[:-w] * unit[w:]).sum(1) >= threshold) & fresh[w:]
-                    a, b = node[:-w][close], node[w:][close]
-                    if len(a):
-                        yield pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)})
-            tail = pdf.tail(window).reset_index(drop=True)
-
-    ordered = keyed.repartitionByRange("dim", "pass", "bits", "node").sortWithinPartitions("dim", "pass", "bits", "node")
-    return ordered.mapInPandas(run, "u long, v long")
+            if len(pdf):
+                close = (_unit(pdf["a"]) * _unit(pdf["b"])).sum(1) >= threshold
+                yield pdf.loc[close, ["u", "v"]]
+
+    both = pairs.join(classes.select(F.col("node").alias("u"), F.col("vector").alias("a")), "u")
+    both = both.join(classes.select(F.col("node").alias("v"), F.col("vector").alias("b")), "v")
+    return stored(both.select("u", "v", "a", "b").mapInPandas(run, "u long, v long"), "vector-links")
+
+
+def _components(classes: DataFrame, threshold: float, passes: int, window: int) -> DataFrame:
+    """``node, component``, stored, over the links that the passes find."""
+    ranked = with_rank(_keyed(classes, passes), ["dim", "pass", "bits", "node"])
+    first = ranked.where(F.col("pass") < min(FIRST_PASSES, passes)).withColumn("component", F.col("node"))
+    links = _verified(_window_pairs(first, threshold, 1), classes, threshold)
+    found = components(links, "u", "v")
+    placed = ranked.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = _verified(_window_pairs(placed, threshold, window), classes, threshold)
+    whole = components(links.unionByName(more), "u", "v")
+    discard(ranked, links, found, more)
+    return whole
 
 
 def _small_counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -127,12 +173,15 @@ def _crowd_counts(members: DataFrame, threshold: float, crowd: int) -> DataFrame
     return inside.unionByName(outside).groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     Cosines are in double precision.  ``n_links`` counts the other rows linked directly, ``component_id``
     is the smallest id reachable by links, the row's own included, ``kept`` says that it is the row's own.
 
+    ``passes`` follows from the number of vectors by default.  Links of sparse vectors are found with the
+    probability stated above, more often the closer they are; inside a component none is lost.
+
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, and
     vectors of different lengths don't link.  Equal vectors count as so many rows but are compared once.
     An empty table gives an empty result, and further columns are ignored whatever their names.
@@ -149,9 +198,9 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     node = F.xxhash64("x")
     classes = rows.where(good).groupBy("x").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
     classes = stored(classes.select(node.alias("node"), F.size("x").alias("dim"), "least", "weight", "x", as_bytes("x").alias("vector")), "vectors")
-    edges = _window_links(_keyed(classes, passes), threshold, window)
-    joined = classes.join(components(edges, "u", "v"), "node")
-    joined = stored(joined, "vector-components")
+    whole = _components(classes, threshold, passes or passes_for(classes.count(), threshold, window), window)
+    joined = stored(classes.join(whole, "node"), "vector-components")
+    discard(whole)
     sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("component_id"))
     sized = joined.join(sizes, "component")
     counts = _small_counts(sized.where(f"n <= {crowd}"), threshold)
@@ -159,6 +208,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
         counts = counts.unionByName(_crowd_counts(sized.where(f"n > {crowd}").select("component", "node", "weight", "x", "vector"), threshold, crowd))
     found = classes.select("node", "least", "weight").join(counts, "node", "left").join(sized.select("node", "component_id"), "node", "left")
     found = stored(found.select("node", (F.coalesce("linked", "weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "vector-classes")
+    discard(classes, joined)
     return (
         rows.select("vec_id", F.when(good, node).alias("node"))
         .join(found, "node", "left")
