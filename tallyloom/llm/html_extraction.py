@@ -9,7 +9,6 @@ like go even if the neighbour differs there, and lines of an article stay even i
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -22,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches
+from tallyloom.llm.common import bounded_batches, discard, overlapping_blocks, stored, with_rank
 
 # Element names of HTML.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -43,32 +42,54 @@ BOILERPLATE = {
     "newsletter", "notice", "pagination", "pager", "popup", "promo", "promotion", "related", "respond", "search", "share", "sharing", "sidebar",
     "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Words that may stand before, or after, one of those in a compound, as in ``site-header`` and ``comment-list``.
+BEFORE = {"site", "page", "main", "top", "bottom", "left", "right", "global", "post", "article", "entry", "blog"}
+AFTER = {"list", "box", "area", "block", "container", "wrapper", "wrap", "bar", "section", "links", "item", "form", "slot", "unit", "button", "buttons", "posts", "articles", "inner", "thread", "body"}
+#: What no article can be inside of; in other boilerplate, a wrapper of the whole page for one, it can.
+NEVER = {"ad", "ads", "adv", "advert", "advertisement", "advertising", "comment", "comments", "disqus", "respond", "related", "sponsor", "sponsored", "promo", "promotion"}
+#: Elements whose class counts inside an article; that of a paragraph or a heading does not.
+CONTAINERS = {"div", "section", "aside", "ul", "ol", "dl", "table", "nav", "header", "footer"}
 #: Those that inside an article may hold its heading.
 HEADINGS = {"header", "masthead", "banner"}
 #: Elements that end when another of their group begins.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_MARK = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
+_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+_UNSEEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|(?<![\w-])style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
-GONE, MAINLY, OPEN = 0, 1, 2
+GONE, MAINLY, OPEN, WRAPPED = 0, 1, 2, 3
+
+
+def boilerplate_words(token: str) -> set[str]:
+    """The words of a class or id that make it boilerplate: all its parts are such words or go with them."""
+    parts = re.split("[-_]+", token.lower())
+    rest = parts[1:] if len(parts) > 1 and parts[0] in BEFORE else parts
+    found = BOILERPLATE.intersection(rest)
+    return found if all(p in BOILERPLATE or p in AFTER for p in rest) else set()
 
 
 def _kind(name: str, attributes: str, kind: int) -> int:
     if kind == GONE or name in DROPPED or (name == "header" and kind != MAINLY):
         return GONE
+    inner = MAINLY if name in MAIN else kind
     if attributes:
         for mark in _MARK.finditer(attributes):
-            words = BOILERPLATE.intersection(_WORD.findall((mark[2] or mark[3] or mark[4] or "").lower()))
-            if words - (HEADINGS if kind == MAINLY else set()) and name not in ("html", "body"):
-                return GONE
-            if mark[1].lower() == "role" and (mark[2] or mark[3] or mark[4]) in MAIN:
+            value = mark[2] or mark[3] or mark[4] or ""
+            if mark[1].lower() == "role" and value.lower() in MAIN:
                 return MAINLY
-        if _HIDDEN.search(attributes):
+            if name in ("html", "body") or kind == MAINLY and name not in CONTAINERS:
+                continue
+            words = set().union(*map(boilerplate_words, value.split())) - (HEADINGS if kind == MAINLY else set())
+            if words & NEVER or words and (kind == MAINLY or name in MAIN):
+                return GONE
+            if words:
+                inner = WRAPPED
+        if _HIDDEN.search(_VALUE.sub("=", attributes)) or _UNSEEN.search(attributes):
             return GONE
-    return MAINLY if name in MAIN else kind
+    return inner
 
 
 def lines_of(html: str | None) -> list[tuple[str, int]]:
@@ -234,75 +255,82 @@ def main_text(lines: list[str], kinds: np.ndarray, shared: np.ndarray) -> str:
     return " ".join(x for x, k in zip(lines, keep.tolist(), strict=True) if k)
 
 
-def _bounds(pages: DataFrame, page_id: str, url: str, ranges: int) -> list[tuple[str, str, int]]:
-    """Places that cut all pages into about ``ranges`` even ranges, from a sample of at most 50 for each."""
-    if ranges < 2:
-        return []
-    n = pages.count()
-    one_in = max(1, n // (50 * ranges))
-    sample = pages.where(F.pmod(F.xxhash64(url, page_id), F.lit(one_in)) == 0).select(F.col(url), F.col(page_id).cast("long")).limit(200 * ranges).collect()
-    places = sorted((*place_of(r[0]), r[1] if r[1] is not None else -1) for r in sample)
-    return [places[len(places) * k // ranges] for k in range(1, ranges)] if places else []
-
-
-PARSED = "range int, host string, path string, page_id long, url string, lines binary, kinds binary, hashes binary"
-
-
-def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", ranges: int | None = None) -> DataFrame:
-    """``page_id, url, text, n_chars, n_shared`` for every row of ``pages``.
+PARSED = "key long, host string, path string, page_id long, url string, lines binary, kinds binary, hashes binary"
+#: Pages in the order of host and path that one task compares.
+BLOCK = 2000
 
-    ``text`` is the page's lines that stay, joined by one space, and empty if none do; ``n_chars`` counts
-    its code points, ``n_shared`` the lines that its partner has too.  The partner is the page before or
-    after in the order of host, path and id within one of ``ranges`` ranges of that order, whichever
-    shares the longer beginning of the path; a page alone with its host in its range has none.
 
-    Null and empty pages give the empty text, null URLs are a host of their own, pages without any markup
-    are one line.  Repeated rows each get their row; an empty table gives an empty result; further columns
-    are ignored whatever their names.  However many pages a host has, no task holds more than two at once.
-    """
-    spark = pages.sparkSession
-    bounded_batches(spark)
-    ranges = ranges or max(1, 4 * pages.rdd.getNumPartitions())
-    bounds = spark.sparkContext.broadcast(_bounds(pages, page_id, url, ranges))
+def _parsed(pages: DataFrame) -> DataFrame:
+    """``key`` and the rest of ``PARSED``: a page's place, its lines, their kinds and hashes."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = zstandard.ZstdCompressor(level=6)
         for pdf in batches:
             rows = []
-            for own_id, own_url, own_html in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], strict=True):
+            for key, own_id, own_url, own_html in zip(pdf["key"], pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], strict=True):
                 lines = lines_of(own_html)
-                key = (*place_of(own_url), -1 if own_id is pd.NA else int(own_id))
-                kept = [x if kind != GONE else "" for x, kind in lines]
+                kept = [x if kind in (MAINLY, OPEN) else "" for x, kind in lines]
                 hashes = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x, _ in lines], np.uint64)
-                rows.append((bisect.bisect_right(bounds.value, key), key[0], key[1], own_id, own_url, squeeze.compress("\n".join(kept).encode("utf-8", "surrogatepass")), bytes(k for _, k in lines), hashes.tobytes()))
-            yield pd.DataFrame(rows, columns=["range", "host", "path", "page_id", "url", "lines", "kinds", "hashes"]).astype({"page_id": "Int64"})
+                rows.append((key, *place_of(own_url), own_id, own_url, squeeze.compress("\n".join(kept).encode("utf-8", "surrogatepass")), bytes(k for _, k in lines), hashes.tobytes()))
+            yield pd.DataFrame(rows, columns=["key", "host", "path", "page_id", "url", "lines", "kinds", "hashes"]).astype({"page_id": "Int64"})
+
+    return pages.withColumn("key", F.monotonically_increasing_id()).mapInPandas(run, PARSED)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        expand = zstandard.ZstdDecompressor()
 
-        def finish(page, before, after) -> tuple:
-            lines = expand.decompress(page.lines).decode("utf-8", "surrogatepass").split("\n") if page.kinds else []
-            kinds, hashes = np.frombuffer(page.kinds, np.uint8), np.frombuffer(page.hashes, np.uint64)
-            partners = [x for x in (before, after) if x is not None and (x.range, x.host) == (page.range, page.host)]
+def _compared(ranked: DataFrame) -> DataFrame:
+    """``key, shared``: a bit for each line of a page that its partner has too."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values("rank").itertuples(index=False))
+        out = []
+        for k, page in enumerate(rows):
+            if not page.own:
+                continue
+            partners = [x for x in (*rows[max(k - 1, 0) : k], *rows[k + 1 : k + 2]) if x.host == page.host]
             partners.sort(key=lambda x: -_alike(x.path, page.path))
             # A copy of the page tells nothing about the site, if the other neighbour is none.
             partners.sort(key=lambda x: x.hashes == page.hashes)
-            shared = _shared(hashes, np.frombuffer(partners[0].hashes, np.uint64)) if partners else np.zeros(len(hashes), bool)
-            text = main_text(lines, kinds, shared)
-            return page.page_id, page.url, text, len(text), int(shared.sum())
+            mine = np.frombuffer(page.hashes, np.uint64)
+            shared = _shared(mine, np.frombuffer(partners[0].hashes, np.uint64)) if partners else np.zeros(len(mine), bool)
+            out.append((page.key, np.packbits(shared).tobytes()))
+        return pd.DataFrame(out, columns=["key", "shared"])
 
-        before, now = None, None
-        for pdf in batches:
-            rows = []
-            for after in pdf.itertuples(index=False):
-                if now is not None:
-                    rows.append(finish(now, before, after))
-                before, now = now, after
-            yield pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars", "n_shared"]).astype({"page_id": "Int64"})
-        if now is not None:
-            yield pd.DataFrame([finish(now, before, None)], columns=["page_id", "url", "text", "n_chars", "n_shared"]).astype({"page_id": "Int64"})
+    return overlapping_blocks(ranked, BLOCK, 1).groupBy("block").applyInPandas(run, "key long, shared binary")
+
+
+def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``page_id, url, text, n_chars, n_shared`` for every row of ``pages``.
+
+    ``text`` is the page's lines that stay, joined by one space, and empty if none do; ``n_chars`` counts
+    its code points, ``n_shared`` the lines that its partner has too.  The partner is the page before or
+    after in the order of host, path and id, whichever shares the longer beginning of the path; a page
+    alone with its host has none.
 
+    Null and empty pages give the empty text, null URLs are a host of their own, pages without any markup
+    are one line.  Repeated rows each get their row; an empty table gives an empty result; further columns
+    are ignored whatever their names.  Pages are compared by hashes of their lines, in blocks of the order
+    that overlap, so the result depends on no partitioning and a host may have any number of pages.
+    """
+    bounded_batches(pages.sparkSession)
     narrow = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    order = ["range", "host", "path", "page_id", "hashes"]
-    dealt = narrow.mapInPandas(parse, PARSED).repartition(ranges, "range").sortWithinPartitions(*order)
-    return dealt.mapInPandas(compare, "page_id long, url string, text string, n_chars long, n_shared long")
+    parsed = stored(_parsed(narrow), "pages")
+    ranked = with_rank(parsed.select("key", "host", "path", "page_id", "hashes"), ["host", "path", "page_id", "key"])
+    compared = stored(_compared(ranked), "compared-pages")
+    discard(ranked)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        expand = zstandard.ZstdDecompressor()
+        for pdf in batches:
+            rows = []
+            for page in pdf.itertuples(index=False):
+                lines = expand.decompress(page.lines).decode("utf-8", "surrogatepass").split("\n") if page.kinds else []
+                kinds = np.frombuffer(page.kinds, np.uint8)
+                shared = np.unpackbits(np.frombuffer(page.shared, np.uint8), count=len(kinds)).astype(bool)
+                text = main_text(lines, kinds, shared)
+                rows.append((page.url, text, len(text), int(shared.sum())))
+            out = pd.DataFrame(rows, columns=["url", "text", "n_chars", "n_shared"])
+            out.insert(0, "page_id", pdf["page_id"].astype("Int64").to_numpy())
+            yield out.astype({"page_id": "Int64"})
+
+    both = parsed.select("key", "page_id", "url", "lines", "kinds").join(compared, "key").drop("key")
+    return both.mapInPandas(finish, "page_id long, url string, text string, n_chars long, n_shared long")

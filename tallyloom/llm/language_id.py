@@ -16,16 +16,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import bounded_batches, text_or_empty, thinned
 from tallyloom.llm.folding import letters_only
 
 ORDER = 4
-#: Rows of each language that the trees are counted on, at most, and their nodes, over all languages.
+#: Rows of each language that the trees are counted on, at most, and the nodes of each, the most frequent.
 SAMPLE_ROWS = 1500
-MOST_NODES = 200_000
+MOST_NODES = 100_000
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
 
@@ -134,12 +134,15 @@ def learn_trees(docs: DataFrame, *, lang: str = "lang", doc_id: str = "doc_id",
     """Context trees of every non-null value of ``lang``.
 
     Counting takes about ``sample_rows`` rows of each language at most, chosen by a hash of the id, with
-    their whole texts; of all nodes the ``most_nodes`` most frequent are kept, which bounds the model.
+    their whole texts; of a language's nodes the ``most_nodes`` most frequent are kept, which bounds the
+    model.  What a rarer node would have coded takes an escape and a shorter context instead.  No language
+    loses nodes to another, and one without any letter in its sample has none and is never predicted.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null")
     counts = _counted(thinned(rows, ["lang"], "doc_id", sample_rows).select("text", "lang"))
-    frequent = counts.orderBy(F.desc("n"), "lang", "context", "symbol").limit(most_nodes).collect()
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "context", "symbol")  # of a bounded sample
+    frequent = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_nodes).collect()
     found = [(r["lang"], bytes(r["context"]), r["symbol"], r["n"]) for r in frequent]
     return Trees(found, sorted({r[0] for r in found}))
 

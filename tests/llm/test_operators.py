@@ -35,13 +35,47 @@ def test_html_lines_and_differencing(spark):
         (3, "http://b.org/", "<article><h1>H</h1><script>var t='</p>'</script><p>Body<div class='comments'>no</div></article><div>out</div>"),
         (4, None, None), (5, "http://c.org/", ""), (6, "::bad[", "plain text"), (6, "::bad[", "plain text"),
     ]
-    found = html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("lines", F.lit(1)), ranges=1)
+    found = html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("lines", F.lit(1)))
     rows = sorted((r["page_id"], r["text"], r["n_chars"]) for r in found.collect())
     texts = ["One & two", "Three four five", "H Body", "", "", "plain text", "plain text"]
     assert rows == [(p[0], t, len(t)) for p, t in zip(pages, texts, strict=True)]
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<body style="overflow-x:hidden"><div class="overflow-hidden has-sidebar search-page"><article><p>One</p></article></div>', "One"),
+        ('<div class="sidebar-wrapper"><main><p>Two</p></main>side</div>', "Two"),
+        ("<article><p class='share price'>Three</p><section id='related-work'>Four</section><div class='comment-list'>no</div></article>", "Three Four"),
+        ('<article><p hidden>no</p><p style="display: none">no</p><p data-hidden="1">Five</p><div class="comments"><article>no</article></div></article>', "Five"),
+        ('<div class="site-header">no</div><p>Six</p><div id="cookie-notice">no</div>', "Six"),
+    ],
+)
+def test_html_marks(html, text):
+    lines = html_extraction.lines_of(html)
+    kinds = np.array([k for _, k in lines], np.uint8)
+    assert html_extraction.main_text([x for x, _ in lines], kinds, np.zeros(len(lines), bool)) == text
+
+
+def test_pages_are_paired_whatever_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    frames = [f"<div>top {k}</div>{{}}<div>end {k}</div>" for k in range(3)]
+    pages = [(i, f"http://h{i % 4}.org/a/{rng.integers(60)}", frames[i % 3].format(f"<p>own {i}</p>")) for i in range(80)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
+    order = sorted(pages, key=lambda p: (*html_extraction.place_of(p[1]), p[0]))
+    for k, (i, u, h) in enumerate(order):
+        host, path = html_extraction.place_of(u)
+        near = [p for p in (*order[max(k - 1, 0) : k], *order[k + 1 : k + 2]) if html_extraction.place_of(p[1])[0] == host]
+        near.sort(key=lambda p: -html_extraction._alike(html_extraction.place_of(p[1])[1], path))
+        lines = [x for x, _ in html_extraction.lines_of(h)]
+        other = [x for x, _ in html_extraction.lines_of(near[0][2])] if near else []
+        assert found[i] == " ".join(x for x in lines if x not in other)
+    monkeypatch.setattr(html_extraction, "BLOCK", 3)
+    assert {r["page_id"]: r["text"] for r in html_extraction.extract(df.repartition(7)).collect()} == found
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -128,6 +162,23 @@ def test_language_code_lengths_are_exact(spark):
     assert language_id.predict(docs(spark, ["a"]).limit(0), trees).count() == 0
 
 
+def test_every_language_keeps_its_trees(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + i % 7)} zz", f"l{i:03d}") for i in range(300)]
+    rows += [(1000 + i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}" for k in range(26)), "l000") for i in range(40)]
+    trees = language_id.learn_trees(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_nodes=6)
+    assert len(trees.languages) == 300
+
+
+def test_samples_are_exact(spark):
+    from tallyloom.llm.common import thinned
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 10 = 0, 'rare', null) as label")
+    for each, sizes in ((501, {"rare": 500, None: 501}), (100, {"rare": 100, None: 100})):
+        found = thinned(rows, ["label"], "id", each)
+        assert {r["label"]: r["count"] for r in found.groupBy("label").count().collect()} == sizes
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, thinned(rows.repartition(3), ["label"], "id", each).collect()), key=str)
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------
 
 
