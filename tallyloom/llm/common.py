@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 #: separates on exactly these, and ``bytes.lower()`` touches A-Z only.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
-#: Rows of one Arrow batch.  Whole texts travel in these batches, so the default of 10,000 rows
-#: could put gigabytes of very long documents into one worker at once.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch.  Whole texts travel in these batches, and a worker holds several copies.
+ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +23,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for very long texts."""
+    """Keep Arrow batches of this session small enough for very long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

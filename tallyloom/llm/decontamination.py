@@ -25,7 +25,7 @@ Q, BUDGET = 10, 0.06
 #: Characters of benchmark that are compared at once; a larger benchmark takes several passes.
 BLOCK_CHARS = 4_000_000
 #: Characters of text that are counted together, and slots of the first, hashed count.
-PIECE_CHARS, SLOTS = 400_000, 1 << 22
+PIECE_CHARS, SLOTS = 400_000, 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
 

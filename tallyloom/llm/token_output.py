@@ -26,7 +26,7 @@ from tallyloom.llm.common import bounded_batches, new_folder, stored
 SEQUENCE = 2048
 BATCH_SEQUENCES = 128
 END_ID = 2
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Pieces encoded in one call, and how a byte-level vocabulary writes a blank.
 GROUP, BLANK = 64, "\u0120"
 

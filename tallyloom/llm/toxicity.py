@@ -31,6 +31,8 @@ COMMON, COMMON_LOG_ODDS = 0.01, 5.0
 #: Texts that must hold a phrase before it becomes an exception.
 EXCEPTION_TEXTS = 3
 THRESHOLD = 0.3
+#: Terms that a task counts before it hands them on.
+HELD_TERMS = 100_000
 LOGS = [math.log1p(n) for n in range(64)]
 
 
@@ -102,18 +104,23 @@ def _counted(sample: DataFrame, terms_of) -> DataFrame:
     """``term, toxic, clean, toxic_use, clean_use``: texts of either label that hold the term, and the sum over
     them of the logarithm of one more than how often."""
 
+    def frame(texts: list[Counter], use: list[defaultdict]) -> pd.DataFrame:
+        terms = list(texts[0] | texts[1])
+        columns = [[f[t] if t in f else 0 for t in terms] for f in (texts[1], texts[0], use[1], use[0])]
+        names = ("toxic", "clean", "toxic_use", "clean_use")
+        return pd.DataFrame({"term": terms} | dict(zip(names, columns, strict=True))).astype({"term": str, "toxic": np.int64, "clean": np.int64, "toxic_use": float, "clean_use": float})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts: tuple[Counter, Counter] = (Counter(), Counter())
-        use: tuple[defaultdict, defaultdict] = (defaultdict(float), defaultdict(float))
+        texts, use = [Counter(), Counter()], [defaultdict(float), defaultdict(float)]
         for pdf in batches:
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
                 for term, n in terms_of(folded(text)).items():
                     texts[label][term] += 1
                     use[label][term] += LOGS[n] if n < len(LOGS) else math.log1p(n)
-        terms = list(texts[0] | texts[1])
-        columns = [[f[t] if t in f else 0 for t in terms] for f in (texts[1], texts[0], use[1], use[0])]
-        names = ("toxic", "clean", "toxic_use", "clean_use")
-        yield pd.DataFrame({"term": terms} | dict(zip(names, columns, strict=True))).astype({"term": str, "toxic": np.int64, "clean": np.int64, "toxic_use": float, "clean_use": float})
+                if len(texts[0]) + len(texts[1]) > HELD_TERMS:
+                    yield frame(texts, use)
+                    texts, use = [Counter(), Counter()], [defaultdict(float), defaultdict(float)]
+        yield frame(texts, use)
 
     partial = sample.mapInPandas(run, "term string, toxic long, clean long, toxic_use double, clean_use double")
     # Rounded, so that no order of adding shows.
