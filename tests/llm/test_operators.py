@@ -127,6 +127,24 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), mixing.targets_by_weight(mixing.source_sizes(df.limit(0), size=F.col("size"))), size="size").count() == 0
 
 
+def test_mixing_reaches_the_optimum_of_a_dense_solver(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "ab"[i % 2], int(n)) for i, n in enumerate(rng.integers(0, 900, 400))]
+    total = [sum(n for _, s, n in rows if s == x) for x in "ab"]
+    targets = spark.createDataFrame([("a", total[0], 0.3 * total[0]), ("b", total[1], 1.6 * total[1])], "source string, source_size long, target double")
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), targets, size="size").collect()
+    for x, target in (("a", 0.3 * total[0]), ("b", 1.6 * total[1])):
+        own = np.array([n for _, s, n in rows if s == x], float)
+        low, high = -1.0, 1.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (own * np.minimum(2, np.exp(middle * own))).sum() < target else (low, middle)
+        rates = {r["doc_id"]: r["rate"] for r in found}
+        best = {i: min(2.0, math.exp(low * n)) for i, s, n in rows if s == x}
+        assert {i: rates[i] for i in best} == pytest.approx(best, rel=1e-5)
+        assert len({round(v, 6) for v in best.values()}) > 50  # rates differ within a source
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------
 
 
