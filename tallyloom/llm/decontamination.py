@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, parts_for, stored
+from tallyloom.llm.common import bounded_batches, parts_for, small_keys, stored
 from tallyloom.llm.simhash import marked_rows
 
 Q, BUDGET = 10, 0.06
@@ -251,4 +251,4 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "d
     marked = marked_rows(docs, doc_id, text)
     found = contaminated(marked, benchmark, doc_id="_row", text="_text", **options)
     bad = stored(found.select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
-    return marked.join(bad, "_row", "left_anti").select("_doc.*")
+    return marked.join(small_keys(bad), "_row", "left_anti").select("_doc.*")
