@@ -78,6 +78,16 @@ def id_remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def id_text(doc_id: str) -> Column:
+    """An integer id as text, for the way through pandas, where a null beside them turns integers into
+    doubles; ``with_ids`` makes it an integer again."""
+    return F.col(doc_id).cast("long").cast("string")
+
+
+def with_ids(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    return found.withColumn(doc_id, F.col(doc_id).cast("long"))
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

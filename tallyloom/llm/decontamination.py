@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, parts_for, small_keys, stored
+from tallyloom.llm.common import bounded_batches, id_text, parts_for, small_keys, stored, with_ids
 from tallyloom.llm.simhash import marked_rows
 
 Q, BUDGET = 10, 0.06
@@ -27,7 +27,7 @@ BLOCK_CHARS = 4_000_000
 #: Characters of text that are counted together, and slots of the first, hashed count.
 PIECE_CHARS, SLOTS = 400_000, 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
+SCHEMA = "doc_id string, item_id string, start long, end long, edits int"
 
 
 def normalised(text: str | None) -> str:
@@ -55,7 +55,7 @@ def gram_hashes(symbols: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """Items, their q-grams sorted by hash, and a bitmap that most other q-grams miss."""
 
-    item_ids: list[int]
+    item_ids: list[str | None]
     items: list[np.ndarray]
     q: int
     edits: np.ndarray
@@ -66,7 +66,7 @@ class Index:
     at: np.ndarray
     bitmap: np.ndarray
     #: Ids of the items that are too short for a q-gram, by text.
-    short: dict[str, list[int]] = field(default_factory=dict)
+    short: dict[str, list[str | None]] = field(default_factory=dict)
 
     def literal(self) -> ahocorasick.Automaton | None:
         if not self.short:
@@ -78,7 +78,7 @@ class Index:
         return found
 
     @staticmethod
-    def of(item_ids: list[int], texts: list[str], q: int, budget: float) -> Index:
+    def of(item_ids: list[str | None], texts: list[str], q: int, budget: float) -> Index:
         every = list(zip(item_ids, map(normalised, texts), strict=True))
         kept, short = [(i, t) for i, t in every if len(t) >= q], {}
         for i, t in every:
@@ -211,9 +211,9 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
                 group, size = [], 0
             if literal is not None:
                 rows += [(d, *hit) for d, t in zip(pdf["doc_id"], texts, strict=True) for hit in sorted(short_in(t, index, literal))]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
 
-    return docs.mapInPandas(run, SCHEMA)
+    return with_ids(with_ids(docs.mapInPandas(run, SCHEMA)), "item_id")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -230,13 +230,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     empty result; further columns are ignored whatever their names.
     """
     bounded_batches(docs.sparkSession)
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    narrow = docs.select(id_text(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    items = benchmark.select(id_text(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     blocks = parts_for(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0], block_chars)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    block = F.pmod(F.xxhash64(F.col("item_id").cast("long"), "text"), F.lit(blocks))
     out = None
     for k in range(blocks):
-        own = items.where(block == k).orderBy("item_id", "text").toPandas()
+        own = items.where(block == k).orderBy(F.col("item_id").cast("long"), "text").toPandas()
         found = _scan(narrow, Index.of(own["item_id"].tolist(), own["text"].tolist(), q, budget))
         out = found if out is None else out.unionByName(found)
     return out

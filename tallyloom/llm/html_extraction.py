@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, discard, overlapping_blocks, stored, with_rank
+from tallyloom.llm.common import bounded_batches, discard, id_text, overlapping_blocks, stored, with_ids, with_rank
 
 # Element names of HTML.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -255,7 +255,7 @@ def main_text(lines: list[str], kinds: np.ndarray, shared: np.ndarray) -> str:
     return " ".join(x for x, k in zip(lines, keep.tolist(), strict=True) if k)
 
 
-PARSED = "key long, host string, path string, page_id long, url string, lines binary, kinds binary, hashes binary"
+PARSED = "key long, host string, path string, page_id string, url string, lines binary, kinds binary, hashes binary"
 #: Pages in the order of host and path that one task compares.
 BLOCK = 2000
 
@@ -267,14 +267,14 @@ def _parsed(pages: DataFrame) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=6)
         for pdf in batches:
             rows = []
-            for key, own_id, own_url, own_html in zip(pdf["key"], pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], strict=True):
+            for key, own_id, own_url, own_html in zip(pdf["key"], pdf["page_id"], pdf["url"], pdf["html"], strict=True):
                 lines = lines_of(own_html)
                 kept = [x if kind in (MAINLY, OPEN) else "" for x, kind in lines]
                 hashes = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x, _ in lines], np.uint64)
                 rows.append((key, *place_of(own_url), own_id, own_url, squeeze.compress("\n".join(kept).encode("utf-8", "surrogatepass")), bytes(k for _, k in lines), hashes.tobytes()))
-            yield pd.DataFrame(rows, columns=["key", "host", "path", "page_id", "url", "lines", "kinds", "hashes"]).astype({"page_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["key", "host", "path", "page_id", "url", "lines", "kinds", "hashes"])
 
-    return pages.withColumn("key", F.monotonically_increasing_id()).mapInPandas(run, PARSED)
+    return pages.withColumn("key", F.monotonically_increasing_id()).mapInPandas(run, PARSED).withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def _compared(ranked: DataFrame) -> DataFrame:
@@ -312,7 +312,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     that overlap, so the result depends on no partitioning and a host may have any number of pages.
     """
     bounded_batches(pages.sparkSession)
-    narrow = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    narrow = pages.select(id_text(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     parsed = stored(_parsed(narrow), "pages")
     ranked = with_rank(parsed.select("key", "host", "path", "page_id", "hashes"), ["host", "path", "page_id", "key"])
     compared = stored(_compared(ranked), "compared-pages")
@@ -329,8 +329,8 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
                 text = main_text(lines, kinds, shared)
                 rows.append((page.url, text, len(text), int(shared.sum())))
             out = pd.DataFrame(rows, columns=["url", "text", "n_chars", "n_shared"])
-            out.insert(0, "page_id", pdf["page_id"].astype("Int64").to_numpy())
-            yield out.astype({"page_id": "Int64"})
+            out.insert(0, "page_id", pdf["page_id"].to_numpy())
+            yield out
 
-    both = parsed.select("key", "page_id", "url", "lines", "kinds").join(compared, "key").drop("key")
-    return both.mapInPandas(finish, "page_id long, url string, text string, n_chars long, n_shared long")
+    both = parsed.select("key", id_text("page_id").alias("page_id"), "url", "lines", "kinds").join(compared, "key").drop("key")
+    return with_ids(both.mapInPandas(finish, "page_id string, url string, text string, n_chars long, n_shared long"), "page_id")

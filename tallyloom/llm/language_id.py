@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, text_or_empty, thinned
+from tallyloom.llm.common import bounded_batches, id_text, text_or_empty, thinned, with_ids
 from tallyloom.llm.folding import letters_only
 
 ORDER = 4
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, trees: Trees, *, doc_id: str = "doc_id", text: str
                 best = int(bits.argmin())
                 gap = (bits - bits[best]) * min(1.0, 50 / max(bits[best], 1.0))
                 rows.append((trees.languages[best], float(1 / np.exp2(-gap).sum()), float(bits[best])))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "bits"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())[["doc_id", "lang_pred", "score", "bits"]]
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "bits"]).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "lang_pred", "score", "bits"]]
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, lang_pred string, score double, bits double")
+    narrow = docs.select(id_text(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return with_ids(narrow.mapInPandas(run, "doc_id string, lang_pred string, score double, bits double"))

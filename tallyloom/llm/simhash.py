@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, discard, small_keys, stored
+from tallyloom.llm.common import bounded_batches, discard, id_text, small_keys, stored, with_ids
 from tallyloom.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -53,10 +53,10 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bits = np.fromiter((fingerprint(t, shingle_words) for t in pdf["text"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "bits": bits.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "bits": bits.view(np.int64)})
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, bits long")
+    narrow = docs.select(id_text(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return with_ids(narrow.mapInPandas(run, "doc_id string, bits long"))
 
 
 def _block_keys(bits: Column, distance: int) -> Column:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, new_folder, stored
+from tallyloom.llm.common import bounded_batches, id_text, new_folder, stored, with_ids
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 128
@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None,
                 data.add(ids)
                 data.add(end)
                 lengths[k] = len(ids) + 1
-            index.write_batch(pa.record_batch([pa.array(pdf["doc_id"].astype("Int64")), pa.array(lengths)], schema=schema))
+            index.write_batch(pa.record_batch([pa.array(pdf["doc_id"], pa.string()).cast(pa.int64()), pa.array(lengths)], schema=schema))
             n_docs, n_tokens = n_docs + len(pdf), n_tokens + int(lengths.sum())
         if data is not None:
             data.close()
@@ -187,7 +187,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None,
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInPandas(run, MANIFEST), "token-manifest")
+    return stored(ordered.select(id_text("doc_id").alias("doc_id"), "text").mapInPandas(run, MANIFEST), "token-manifest")
 
 
 def _opened(uri: str) -> Any:
@@ -229,8 +229,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     ids, ends = np.concatenate(parts), np.cumsum(lengths)
                     held = ids[ends[-1] :] if len(ends) else ids
                     cut = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, lengths, strict=True)]
-                    yield pd.DataFrame({"doc_id": batch.column("doc_id").to_pandas().astype("Int64"), "start": start + ends - lengths, "n_tokens": lengths, "ids": cut})
+                    yield pd.DataFrame({"doc_id": batch.column("doc_id").cast(pa.string()).to_pandas(), "start": start + ends - lengths, "n_tokens": lengths, "ids": cut})
                     start += int(lengths.sum())
 
     files = max(1, manifest.count())
-    return placed.repartition(files).mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    return with_ids(placed.repartition(files).mapInPandas(run, "doc_id string, start long, n_tokens long, ids binary"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, discard, stored, text_or_empty, thinned
+from tallyloom.llm.common import bounded_batches, discard, id_text, stored, text_or_empty, thinned, with_ids
 from tallyloom.llm.folding import folded
 
 #: Labelled rows of each label that the lexicon is learned from, at most.
@@ -235,10 +235,10 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, *, doc_id: str = "doc_id", te
         for pdf in batches:
             texts = [folded(t) for t in pdf["text"]]
             p = score(np.array([features(t, automaton) for t in texts]).reshape(-1, 2), lexicon.calibration)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": p, "predicted": (p >= threshold).astype(np.int32), "n_matches": [len(matches(t, automaton)) if x >= threshold else 0 for t, x in zip(texts, p, strict=True)]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= threshold).astype(np.int32), "n_matches": [len(matches(t, automaton)) if x >= threshold else 0 for t, x in zip(texts, p, strict=True)]})
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, score double, predicted int, n_matches long")
+    narrow = docs.select(id_text(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    return with_ids(narrow.mapInPandas(run, "doc_id string, score double, predicted int, n_matches long"))
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

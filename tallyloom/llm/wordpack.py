@@ -31,9 +31,16 @@ def unpack(blob: bytes, kind: type[np.unsignedinteger]) -> np.ndarray:
     return planes.T.copy().view(np.dtype(kind).newbyteorder(">")).ravel().astype(kind)
 
 
-def by_ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """Where sorted 64-bit hashes are to be cut into ``ranges`` even ranges."""
-    return np.searchsorted(hashes, (np.arange(1, ranges, dtype=object) * 2**64 // ranges).astype(np.uint64))
+def in_ranges(hashes: np.ndarray, ranges: int) -> tuple[list[int], np.ndarray]:
+    """Which of ``ranges`` even ranges sorted 64-bit hashes lie in, and where to cut them between two.
+
+    Only ranges that have a hash are told, so the work follows the hashes however many ranges there are.
+    """
+    if not 0 < ranges < 1 << 31:
+        raise ValueError("ranges are counted in 31 bits")
+    own = (hashes >> np.uint64(33)) * np.uint64(ranges) >> np.uint64(31)
+    cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+    return own[np.r_[0, cuts]].tolist() if len(own) else [], cuts
 
 
 def split_words(texts: pd.Series, lower: bool = False) -> tuple[list[bytes], np.ndarray]:

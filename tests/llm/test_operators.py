@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, embedding_dedup, hmm_lm, html_extraction, language_id, mixing, shingle_dedup, simhash, substring_dedup, token_output, toxicity
+from tallyloom.llm import decontamination, embedding_dedup, hmm_lm, html_extraction, language_id, mixing, shingle_dedup, simhash, substring_dedup, token_output, toxicity, wordpack
 from tallyloom.llm.entry import tokenizer_path
 
 SCHEMA = "doc_id long, text string, key string, component string"  # the last two clash with inner names
@@ -386,6 +386,38 @@ def test_substring_dedup_against_brute_force(spark, chunk_bytes):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["sha"]) for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("chunk_bytes", [substring_dedup.CHUNK_BYTES, 300])
+def test_substring_dedup_with_null_and_repeated_ids(spark, chunk_bytes):
+    rng = np.random.default_rng(5)
+    ids = [None] * 12 + [7] * 12 + [-(2**63), 2**63 - 1, 3, 8, 9]
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 9, 20)) for _ in range(6)]
+    rows = [(i, f"r{k} {pool[k % 6]} e{k}") for k, i in enumerate(ids)]
+    place = [2**63 - 1 if i is None else i for i in ids]
+    first: dict = {}
+    for p, (_, t) in zip(place, rows, strict=True):
+        for k in range(len(words(t)) - 12):
+            g = tuple(words(t)[k : k + 13])
+            first[g] = min(first.get(g, p), p)
+    expected = []
+    for p, (i, t) in zip(place, rows, strict=True):
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < p for j in range(13)}
+        expected.append((str(i), len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.remove_repeats(table, chunk_bytes=chunk_bytes, range_windows=40).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in found) == sorted(expected)
+    assert substring_dedup.remove_repeats(table.where("false"), chunk_bytes=chunk_bytes).collect() == []
+
+
+def test_ranges_of_hashes():
+    hashes = np.sort(np.random.default_rng(6).integers(0, 2**64, 500, np.uint64))
+    for ranges in (1, 3, 7, 64, 100_000):
+        expected = [int(h) // 2**33 * ranges >> 31 for h in hashes]
+        numbers, cuts = wordpack.in_ranges(hashes, ranges)
+        assert [r for r, part in zip(numbers, np.split(hashes, cuts), strict=True) for _ in part] == expected
+    assert wordpack.in_ranges(hashes[:0], 9)[0] == []
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------
 
 
@@ -429,3 +461,26 @@ def test_crc_of_ids_as_text(spark):
 
     found = spark.range(50).select("id", id_remainder("id", 10).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 10 for r in found)
+
+
+def test_large_ids_beside_null_ones(spark):
+    ids = [2**60 + 1, None, 2**60 + 3, -(2**62) - 1]
+    table = spark.createDataFrame([(i, f"some words of text number {k} here", True) for k, i in enumerate(ids)], "doc_id long, text string, train boolean").coalesce(1)
+    expected = sorted(map(str, ids))
+    pages = table.selectExpr("doc_id as page_id", "'http://a.b/c' as url", "text as html")
+    trees = language_id.learn_trees(table.withColumn("lang", F.lit("en")))
+    tokenizer = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    items = spark.createDataFrame([(2**60 + 7, "words of text number"), (None, "some words of text")], "item_id long, text string").coalesce(1)
+    found = {
+        "op1": html_extraction.extract(pages).withColumnRenamed("page_id", "doc_id"),
+        "op3": language_id.predict(table, trees),
+        "op4": token_output.read_tokens(token_output.write_tokens(table, tokenizer)),
+        "op6": simhash.near_duplicates(table),
+        "op7": hmm_lm.score_texts(table, train="train"),
+        "op8": substring_dedup.remove_repeats(table),
+        "op10": toxicity.score_texts(table, toxicity.Lexicon({})),
+    }
+    for name, result in found.items():
+        assert sorted(str(r["doc_id"]) for r in result.select("doc_id").collect()) == expected, name
+    hits = decontamination.contaminated(table, items).select("doc_id", "item_id").collect()
+    assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in hits) == sorted((i, j) for i in expected for j in (str(2**60 + 7), "None"))
