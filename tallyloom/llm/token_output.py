@@ -29,6 +29,8 @@ END_ID = 2
 CACHE_PIECES = 300_000
 #: Pieces encoded in one call, and how a byte-level vocabulary writes a blank.
 GROUP, BLANK = 64, "\u0120"
+#: Characters of text that are cut into pieces at once; a longer text is cut alone.
+SLICE_CHARS = 500_000
 
 MANIFEST = "part int, path string, index_path string, n_docs long, n_tokens long"
 
@@ -97,6 +99,16 @@ class PieceEncoder:
         return [np.frombuffer(b, self.dtype) for b in out]
 
 
+def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """The texts in order, about ``chars`` characters at a time."""
+    start = size = 0
+    for k, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= chars or k == len(texts):
+            yield texts[start:k]
+            start, size = k, 0
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -173,7 +185,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, folder: str | None = None,
                 index = pa.ipc.new_file(sink := store.open_output_stream(path), schema)
             end = np.array([end_id], encode.dtype)
             lengths = np.zeros(len(pdf), np.int64)
-            for k, ids in enumerate(encode([t or "" for t in pdf["text"]])):
+            every = (ids for own in slices([t or "" for t in pdf["text"]]) for ids in encode(own))
+            for k, ids in enumerate(every):
                 data.add(ids)
                 data.add(end)
                 lengths[k] = len(ids) + 1
