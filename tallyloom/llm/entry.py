@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, embedding_dedup, hmm_lm, html_extraction, language_id, mixing, simhash, substring_dedup, token_output, toxicity
+from tallyloom.llm import decontamination, embedding_dedup, filter_audit, hmm_lm, html_extraction, language_id, mixing, packing, simhash, substring_dedup, token_output, toxicity, whitening
 from tallyloom.llm.common import id_remainder, read_table, stored
 
 
@@ -72,6 +72,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    spread = found.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return spread.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", "at").alias("explained"), "identity_error")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -84,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -103,6 +121,27 @@ reach AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT links.u, reach.c FROM r
 SELECT vec_id, (SELECT count(*) FROM links WHERE u = vec_id)::BIGINT AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM reach GROUP BY vec_id"""
 
 
+_AUDIT = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, coalesce(doc_id, 9223372036854775807) AS k FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(k) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN k > first THEN 'E' ELSE '' END AS failed
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+o AS (SELECT '' AS s UNION ALL SELECT s || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE strpos(s, x) = 0),
+steps AS (SELECT s AS filter_order, unnest(range(1, 6)) AS step FROM o WHERE len(s) = 5),
+p AS (SELECT part, filter_order, step, s AS letter, n, good, toxic, failed, strpos(failed, s) > 0 AS fails,
+  list_min(list_transform(range(1, len(failed) + 1), lambda i: strpos(filter_order, failed[i]))) AS goes FROM c, (SELECT *, filter_order[step] AS s FROM steps)),
+a AS (SELECT part, filter_order, step, any_value(letter) AS letter, sum(CASE WHEN goes IS NULL OR goes > step THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN goes = step THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND goes < step THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN failed = letter THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN goes = step THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN goes = step THEN toxic ELSE 0 END) AS toxic_lost FROM p GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM a"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Plain SQL for the operators whose whole result it can say."""
-    return {"op8_substring_dedup": _REPEATS, "op9_embedding_near_dedup": _LINKS}
+    return {"op8_substring_dedup": _REPEATS, "op9_embedding_near_dedup": _LINKS, "op13_filter_audit": _AUDIT}
