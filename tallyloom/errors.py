@@ -41,6 +41,10 @@ class NegativeWeightError(SketchError):
     """Weights are not negative."""
 
 
+class SketchOverflowError(SketchError):
+    """A count or a sum of weights is beyond 64 bits."""
+
+
 class InvalidQueryModeError(SketchError):
     """Heavy hitters are asked for without false positives, or without false negatives."""
 

@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.errors import InvalidQueryModeError, NegativeWeightError
+from tallyloom.errors import InvalidQueryModeError
 from tallyloom.functions import u64
+from tallyloom.operators.counters import Counters
 from tallyloom.operators.frames import join_keys, named, require_mergeable, union
 from tallyloom.profiles import HeavySpec
 
@@ -28,7 +29,7 @@ PARTS = 32
 
 @dataclass(frozen=True)
 class HeavyFrame:
-    """``entries``: ``keys, hash, estimate``; ``totals``: ``keys, total_weight, max_error``."""
+    """``entries``: ``keys, _hash, _estimate``; ``totals``: ``keys, total_weight, max_error``."""
 
     entries: DataFrame
     totals: DataFrame
@@ -38,50 +39,64 @@ class HeavyFrame:
     def merge(self, *others: HeavyFrame) -> HeavyFrame:
         require_mergeable(self, list(others))
         parts = [self, *others]
-        residuals = union([join_keys(p.entries, p.totals, self.keys).select(*self.keys, "hash", (F.col("estimate") - F.col("max_error")).alias("weight")) for p in parts])
-        totals = union([p.totals for p in parts])
-        return _cut(residuals, totals, self.keys, self.spec)
+        return _cut(union([p._residuals(self.keys) for p in parts]), union([p.totals for p in parts]), self.keys, self.spec)
 
     def rollup(self, keys: list[str]) -> HeavyFrame:
         """Merge over the keys that are left out."""
-        residuals = join_keys(self.entries, self.totals, self.keys).select(*keys, "hash", (F.col("estimate") - F.col("max_error")).alias("weight"))
-        return _cut(residuals, self.totals.select(*keys, "total_weight", "max_error"), keys, self.spec)
+        return _cut(self._residuals(keys), self.totals.select(*keys, "total_weight", "max_error"), keys, self.spec)
+
+    def _residuals(self, keys: list[str]) -> DataFrame:
+        return join_keys(self.entries, self.totals, self.keys).select(*keys, "_hash", (F.col("_estimate") - F.col("max_error")).alias("_weight"))
+
+    def _bounded(self) -> DataFrame:
+        """``keys, _hash, _upper, _lower, _error``."""
+        lower = F.greatest(F.lit(0), F.col("_estimate") - F.col("max_error"))
+        return join_keys(self.entries, self.totals, self.keys).select(*self.keys, "_hash", F.col("_estimate").alias("_upper"), lower.alias("_lower"), F.col("max_error").alias("_error"))
+
+    def _frequent(self, mode: str, threshold: int | None = None) -> DataFrame:
+        if mode not in (NO_FALSE_POSITIVES, NO_FALSE_NEGATIVES):
+            raise InvalidQueryModeError(f"no mode {mode!r}")
+        bound = F.col("_lower" if mode == NO_FALSE_POSITIVES else "_upper")
+        return self._bounded().where(bound > (F.col("_error") if threshold is None else F.lit(threshold)))
+
+    def _shown(self, found: DataFrame, *more: Column) -> DataFrame:
+        names = {"_hash": "hash", "_upper": "estimate", "_lower": "lower_bound"}
+        shown = [F.col(c).alias(n) for c, n in names.items()]
+        return found.select(*self.keys, *shown, F.col("_upper").alias("upper_bound"), F.col("_error").alias("error"), *more)
 
     def items(self) -> DataFrame:
         """``keys, hash, estimate, lower_bound, upper_bound, error`` of all items that are held."""
-        found = join_keys(self.entries, self.totals, self.keys)
-        lower = F.greatest(F.lit(0), F.col("estimate") - F.col("max_error"))
-        return found.select(*self.keys, "hash", "estimate", lower.alias("lower_bound"), F.col("estimate").alias("upper_bound"), F.col("max_error").alias("error"))
+        return self._shown(self._bounded())
 
     def frequent_items(self, mode: str, threshold: int | None = None) -> DataFrame:
         """Items whose upper bound (no false negatives) or lower bound (no false positives) is above.
 
         Above ``threshold``, or above the group's ``max_error`` if there is none.
         """
-        if mode not in (NO_FALSE_POSITIVES, NO_FALSE_NEGATIVES):
-            raise InvalidQueryModeError(f"no mode {mode!r}")
-        bound = F.col("lower_bound" if mode == NO_FALSE_POSITIVES else "upper_bound")
-        return self.items().where(bound > (F.col("error") if threshold is None else F.lit(threshold)))
+        return self._shown(self._frequent(mode, threshold))
+
+    def _top(self, n: int, mode: str) -> DataFrame:
+        order = Window.partitionBy(*self.keys).orderBy(F.desc("_upper"), u64.ordered(F.col("_hash")))
+        return self._frequent(mode).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
 
     def top(self, n: int, mode: str = NO_FALSE_NEGATIVES) -> DataFrame:
         """The ``n`` first items of each group with their ``rank``, by estimate, then unsigned hash."""
-        order = Window.partitionBy(*self.keys).orderBy(F.desc("estimate"), u64.ordered(F.col("hash")))
-        return self.frequent_items(mode).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+        return self._shown(self._top(n, mode), F.col("_rank").alias("rank"))
 
     def top_share(self, n: int) -> DataFrame:
         """``keys, low, high``: bounds of the share that the ``n`` first items have in the total."""
-        sums = self.top(n).groupBy(*self.keys).agg(F.sum("lower_bound").alias("lower"), F.sum("upper_bound").alias("upper"))
+        sums = self._top(n, NO_FALSE_NEGATIVES).groupBy(*self.keys).agg(F.sum("_lower").alias("_lower"), F.sum("_upper").alias("_upper"))
         joined = join_keys(self.totals, sums, self.keys, "left")
         share = lambda c: F.when(F.col("total_weight") > 0, F.coalesce(F.col(c), F.lit(0)) / F.col("total_weight")).otherwise(0.0)
-        return joined.select(*self.keys, share("lower").alias("low"), F.least(share("upper"), F.lit(1.0)).alias("high"))
+        return joined.select(*self.keys, share("_lower").alias("low"), F.least(share("_upper"), F.lit(1.0)).alias("high"))
 
     def lookup(self, wanted: DataFrame, hashed: str = "hash") -> DataFrame:
         """``wanted`` with ``estimate, lower_bound, upper_bound``; what is not held is 0, 0, ``max_error``."""
         known = join_keys(wanted, self.totals.select(*self.keys, "max_error"), self.keys)
-        held = self.entries.select(*self.keys, F.col("hash").alias(hashed), "estimate")
+        held = self.entries.select(*self.keys, F.col("_hash").alias(hashed), "_estimate")
         found = join_keys(known, held, [*self.keys, hashed], "left")
-        lower = F.greatest(F.lit(0), F.coalesce(F.col("estimate") - F.col("max_error"), F.lit(0)))
-        return found.select(*wanted.columns, F.coalesce("estimate", F.lit(0)).alias("estimate"), lower.alias("lower_bound"), F.coalesce("estimate", "max_error").alias("upper_bound"))
+        lower = F.greatest(F.lit(0), F.coalesce(F.col("_estimate") - F.col("max_error"), F.lit(0)))
+        return found.select(*wanted.columns, F.coalesce("_estimate", F.lit(0)).alias("estimate"), lower.alias("lower_bound"), F.coalesce("_estimate", "max_error").alias("upper_bound"))
 
 
 def _first(summed: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -89,11 +104,11 @@ def _first(summed: DataFrame, keys: list[str], size: int) -> DataFrame:
 
     Tasks first cut the parts of a group that they hold, so that no task ranks all keys of a large one.
     """
-    order = [F.desc("weight"), u64.ordered(F.col("hash"))]
+    order = [F.desc("_weight"), u64.ordered(F.col("_hash"))]
     if not keys:
         few = summed.orderBy(*order).limit(size + 1)
         return few.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))  # of size + 1 rows
-    part = F.pmod(F.xxhash64("hash", F.lit(3)), F.lit(PARTS))
+    part = F.pmod(F.xxhash64("_hash", F.lit(3)), F.lit(PARTS))
     parts = summed.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
     few = parts.where(F.col("_rank") <= size + 1).drop("_part", "_rank")
     return few.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= size + 1)
@@ -101,15 +116,15 @@ def _first(summed: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 def _cut(residuals: DataFrame, totals: DataFrame, keys: list[str], spec: HeavySpec) -> HeavyFrame:
     """Sum by key, keep what lies above the weight ranked one past the last place."""
-    summed = residuals.groupBy(*keys, "hash").agg(F.sum("weight").alias("weight")).where("weight > 0")
+    summed = residuals.groupBy(*keys, "_hash").agg(F.sum("_weight").alias("_weight")).where("_weight > 0")
     first = _first(summed, keys, spec.map_size)
-    errors = first.where(F.col("_rank") == spec.map_size + 1).select(*keys, F.col("weight").alias("_cut"))
+    errors = first.where(F.col("_rank") == spec.map_size + 1).select(*keys, F.col("_weight").alias("_cut"))
     none = F.lit(0).cast("long")  # the sums of no rows at all, which without keys are still a sketch
     sums = totals.groupBy(*keys).agg(F.coalesce(F.sum("total_weight"), none).alias("total_weight"), F.coalesce(F.sum("max_error"), none).alias("_error"))
     sums = join_keys(sums, errors, keys, "left").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
-    kept = join_keys(first, sums, keys).where("weight > _cut")
+    kept = join_keys(first, sums, keys).where("_weight > _cut")
     return HeavyFrame(
-        kept.select(*keys, "hash", (F.col("weight") + F.col("_error")).alias("estimate")),
+        kept.select(*keys, "_hash", (F.col("_weight") + F.col("_error")).alias("_estimate")),
         sums.select(*keys, "total_weight", (F.col("_error") + F.col("_cut")).alias("max_error")),
         keys,
         spec,
@@ -120,53 +135,30 @@ def _weighed(df: DataFrame, keys: list[str], hashed: Column | str, weight: Colum
     """Rows with a weight; null hashes and weights add nothing, a negative weight fails the query."""
     w = named(weight).cast("long")
     safe = F.when(w < 0, F.raise_error(F.lit("a weight is negative")).cast("long")).otherwise(w)
-    return df.select(*keys, named(hashed).alias("hash"), safe.alias("weight")).where("hash is not null and weight is not null")
+    return df.select(*keys, named(hashed).alias("_hash"), safe.alias("_weight")).where("_hash is not null and _weight is not null")
 
 
 def build(df: DataFrame, keys: list[str], hashed: Column | str, weight: Column | str, spec: HeavySpec) -> HeavyFrame:
     """Sketches from exact sums: one row for each key is shuffled, combined before."""
     rows = _weighed(df, keys, hashed, weight)
-    summed = rows.groupBy(*keys, "hash").agg(F.sum("weight").alias("weight"))
-    totals = summed.groupBy(*keys).agg(F.sum("weight").alias("total_weight"), F.lit(0).cast("long").alias("max_error"))
+    summed = rows.groupBy(*keys, "_hash").agg(F.sum("_weight").alias("_weight"))
+    totals = summed.groupBy(*keys).agg(F.sum("_weight").alias("total_weight"), F.lit(0).cast("long").alias("max_error"))
     return _cut(summed, totals, keys, spec)
 
 
-class Counters:
-    """A bounded map of estimates: what one pass with fixed memory keeps."""
-
-    def __init__(self, size: int) -> None:
-        self.size, self.estimates, self.error, self.total = size, {}, 0, 0
-
-    def add(self, key: int, weight: int) -> None:
-        if weight < 0:
-            raise NegativeWeightError("a weight is negative")
-        self.total += weight
-        if key in self.estimates:
-            self.estimates[key] += weight
-            return
-        while weight > 0:
-            if len(self.estimates) < self.size:
-                self.estimates[key] = self.error + weight
-                return
-            least = min(self.estimates.values()) - self.error
-            self.error += min(least, weight)
-            weight -= min(least, weight)
-            self.estimates = {k: v for k, v in self.estimates.items() if v > self.error}
-
-
 def build_bounded(df: DataFrame, keys: list[str], hashed: Column | str, weight: Column | str, spec: HeavySpec, batch: int = 4096) -> HeavyFrame:
     """Sketches in one pass with bounded memory: each task keeps a map for each group, then they merge.
 
     Nothing is shuffled but the maps.  The bounds hold as with ``build``; which keys are held, and the
     error, depend on how rows are spread over tasks.
     """
-    rows = _weighed(df, keys, hashed, weight).withColumn("part", F.spark_partition_id())
+    rows = _weighed(df, keys, hashed, weight)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups: dict[tuple, Counters] = {}
         for pdf in batches:
-            sums = pdf.groupby([*keys, "hash"], dropna=False, sort=True)["weight"].sum()
+            sums = pdf.groupby([*keys, "_hash"], dropna=False, sort=True)["_weight"].sum()
             for index, w in sums.items():
                 index = index if isinstance(index, tuple) else (index,)
                 own = tuple(None if pd.isna(k) else k for k in index[:-1])
@@ -175,9 +167,9 @@ def build_bounded(df: DataFrame, keys: list[str], hashed: Column | str, weight:
         for own, c in groups.items():
             out.append((*own, None, None, c.total, c.error))
             out += [(*own, k, v - c.error, None, None) for k, v in c.estimates.items()]
-        frame = pd.DataFrame(out, columns=[*keys, "hash", "weight", "total_weight", "max_error"], dtype=object)  # floats would round hashes
-        yield frame.astype({c: "Int64" for c in ("hash", "weight", "total_weight", "max_error")})
+        frame = pd.DataFrame(out, columns=[*keys, "_hash", "_weight", "total_weight", "max_error"], dtype=object)  # floats would round hashes
+        yield frame.astype({c: "Int64" for c in ("_hash", "_weight", "total_weight", "max_error")})
 
-    schema = ", ".join([*fields, "hash long", "weight long", "total_weight long", "max_error long"])
-    found = rows.drop("part").mapInPandas(run, schema)
-    return _cut(found.where("hash is not null").select(*keys, "hash", "weight"), found.where("hash is null").select(*keys, "total_weight", "max_error"), keys, spec)
+    schema = ", ".join([*fields, "_hash long", "_weight long", "total_weight long", "max_error long"])
+    found = rows.mapInPandas(run, schema)
+    return _cut(found.where("_hash is not null").select(*keys, "_hash", "_weight"), found.where("_hash is null").select(*keys, "total_weight", "max_error"), keys, spec)

@@ -1,6 +1,6 @@
 """Approximate distinct counts: HLL++ registers as rows.
 
-A sketch is the set of rows ``(keys, dense, idx, rank)`` of its group.  Building is one hash aggregation by
+A sketch is the set of rows ``(keys, _dense, _idx, _rank)`` of its group.  Building is one hash aggregation by
 ``max``, which Spark combines before the shuffle, so a hot group never meets in one task; merging is the
 same aggregation over a union.  The rows of a group number ``2**p`` at most once it is dense.
 """
@@ -83,11 +83,25 @@ def dense_estimate(occupied: Column, power_sum: Column, p: int) -> Column:
     return F.when((zeros > 0) & (linear <= LINEAR_LIMITS[p]), linear).otherwise(corrected)
 
 
+def estimate_of(spec: HllSpec, dense: bool, occupied: int, power_sum: float) -> float:
+    """The same for one sketch, outside Spark's expressions."""
+    m = 1 << (spec.p if dense else spec.sp)
+    linear = 0.0 if not occupied else float(m) if occupied >= m else m * math.log(m / (m - occupied))
+    if not dense or (occupied < m and linear <= LINEAR_LIMITS[spec.p]):
+        return linear
+    raw = alpha(m) * m * m / (power_sum + m - occupied)
+    if raw > 5.0 * m:
+        return raw
+    near = sorted(((x - raw) * (x - raw), y) for x, y in zip(*bias_points(spec.p), strict=True))[:NEIGHBOURS]
+    return raw - sum(y for _, y in near) / NEIGHBOURS
+
+
 @dataclass(frozen=True)
 class HllFrame:
     """Distinct-count sketches, one for each value of ``keys``.
 
-    ``groups`` names groups that may have no register; without keys there is one sketch, empty or not.
+    ``registers`` has ``keys, _dense, _idx, _rank``; the names of all inner columns start with ``_``, so that keys may be
+    called anything else.  ``groups`` names groups that may have no register; without keys there is one sketch, empty or not.
     """
 
     registers: DataFrame
@@ -105,34 +119,34 @@ class HllFrame:
 
     def rollup(self, keys: list[str]) -> HllFrame:
         """Merge over the keys that are left out."""
-        return _settled(self.registers.select(*keys, "dense", "idx", "rank"), keys, self.spec, None if self.groups is None else self.groups.select(*keys))
+        return _settled(self.registers.select(*keys, "_dense", "_idx", "_rank"), keys, self.spec, None if self.groups is None else self.groups.select(*keys))
 
     def grouped(self, *aggregates: Column) -> DataFrame:
-        """``keys, dense`` and the aggregates of every sketch's registers; those of an empty one are null."""
+        """``keys, _dense`` and the aggregates of every sketch's registers; those of an empty one are null."""
         if not self.keys:
-            return self.registers.agg(F.coalesce(F.max("dense"), F.lit(False)).alias("dense"), *aggregates)
-        found = self.registers.groupBy(*self.keys, "dense").agg(*aggregates)
+            return self.registers.agg(F.coalesce(F.max("_dense"), F.lit(False)).alias("_dense"), *aggregates)
+        found = self.registers.groupBy(*self.keys, "_dense").agg(*aggregates)
         if self.groups is None:
             return found
         every = join_keys(self.groups.select(*self.keys).distinct(), found, self.keys, "left")
-        return every.withColumn("dense", F.coalesce("dense", F.lit(False)))
+        return every.withColumn("_dense", F.coalesce("_dense", F.lit(False)))
 
     def force_dense(self) -> HllFrame:
-        idx, rank = to_dense(F.col("idx"), F.col("rank"), self.spec)
-        dense = self.registers.select(*self.keys, F.lit(True).alias("dense"), F.when(F.col("dense"), F.col("idx")).otherwise(idx).alias("idx"), F.when(F.col("dense"), F.col("rank")).otherwise(rank).alias("rank"))
-        return HllFrame(dense.groupBy(*self.keys, "dense", "idx").agg(F.max("rank").alias("rank")), self.keys, self.spec, self.groups)
+        idx, rank = to_dense(F.col("_idx"), F.col("_rank"), self.spec)
+        dense = self.registers.select(*self.keys, F.lit(True).alias("_dense"), F.when(F.col("_dense"), F.col("_idx")).otherwise(idx).alias("_idx"), F.when(F.col("_dense"), F.col("_rank")).otherwise(rank).alias("_rank"))
+        return HllFrame(dense.groupBy(*self.keys, "_dense", "_idx").agg(F.max("_rank").alias("_rank")), self.keys, self.spec, self.groups)
 
     def summary(self) -> DataFrame:
         """``keys, representation_mode, sparse_count, dense_nonzero_count, storage_bytes, estimate``."""
-        n, powers = F.count(F.lit(1)), F.sum(F.pow(F.lit(2.0), -F.col("rank")))
-        grouped = self.grouped(n.alias("n"), powers.alias("powers")).withColumns({"n": F.coalesce("n", F.lit(0)), "powers": F.coalesce("powers", F.lit(0.0))})
-        estimate = F.when(F.col("dense"), dense_estimate(F.col("n"), F.col("powers"), self.spec.p)).otherwise(linear_count(1 << self.spec.sp, F.col("n")))
+        n, powers = F.count(F.lit(1)), F.sum(F.pow(F.lit(2.0), -F.col("_rank")))
+        grouped = self.grouped(n.alias("_n"), powers.alias("_powers")).withColumns({"_n": F.coalesce("_n", F.lit(0)), "_powers": F.coalesce("_powers", F.lit(0.0))})
+        estimate = F.when(F.col("_dense"), dense_estimate(F.col("_n"), F.col("_powers"), self.spec.p)).otherwise(linear_count(1 << self.spec.sp, F.col("_n")))
         return grouped.select(
             *self.keys,
-            F.when(F.col("dense"), DENSE).otherwise(SPARSE).alias("representation_mode"),
-            F.when(F.col("dense"), 0).otherwise(F.col("n")).cast("long").alias("sparse_count"),
-            F.when(F.col("dense"), F.col("n")).otherwise(0).cast("long").alias("dense_nonzero_count"),
-            F.when(F.col("dense"), F.lit(self.spec.dense_bytes)).otherwise(F.col("n") * 5).cast("long").alias("storage_bytes"),
+            F.when(F.col("_dense"), DENSE).otherwise(SPARSE).alias("representation_mode"),
+            F.when(F.col("_dense"), 0).otherwise(F.col("_n")).cast("long").alias("sparse_count"),
+            F.when(F.col("_dense"), F.col("_n")).otherwise(0).cast("long").alias("dense_nonzero_count"),
+            F.when(F.col("_dense"), F.lit(self.spec.dense_bytes)).otherwise(F.col("_n") * 5).cast("long").alias("storage_bytes"),
             estimate.alias("estimate"),
         )
 
@@ -141,27 +155,27 @@ class HllFrame:
         return self.summary().select(*self.keys, "estimate")
 
     def sparse_registers(self) -> DataFrame:
-        return self.registers.where("not dense").select(*self.keys, "idx", "rank")
+        return self.registers.where("not _dense").select(*self.keys, F.col("_idx").alias("idx"), F.col("_rank").alias("rank"))
 
     def dense_registers(self) -> DataFrame:
-        return self.registers.where("dense").select(*self.keys, "idx", "rank")
+        return self.registers.where("_dense").select(*self.keys, "_idx", "_rank")
 
 
 def _settled(rows: DataFrame, keys: list[str], spec: HllSpec, groups: DataFrame | None = None) -> HllFrame:
-    merged = rows.groupBy(*keys, "dense", "idx").agg(F.max("rank").alias("rank"))
-    sizes = merged.groupBy(*keys).agg((F.max("dense") | (F.count(F.lit(1)) > spec.promotion)).alias("_to_dense"))
+    merged = rows.groupBy(*keys, "_dense", "_idx").agg(F.max("_rank").alias("_rank"))
+    sizes = merged.groupBy(*keys).agg((F.max("_dense") | (F.count(F.lit(1)) > spec.promotion)).alias("_to_dense"))
     placed = join_keys(merged, sizes, keys)
-    idx, rank = to_dense(F.col("idx"), F.col("rank"), spec)
-    promote = F.col("_to_dense") & ~F.col("dense")
-    placed = placed.select(*keys, F.col("_to_dense").alias("dense"), F.when(promote, idx).otherwise(F.col("idx")).alias("idx"), F.when(promote, rank).otherwise(F.col("rank")).alias("rank"))
-    return HllFrame(placed.groupBy(*keys, "dense", "idx").agg(F.max("rank").alias("rank")), keys, spec, groups)
+    idx, rank = to_dense(F.col("_idx"), F.col("_rank"), spec)
+    promote = F.col("_to_dense") & ~F.col("_dense")
+    placed = placed.select(*keys, F.col("_to_dense").alias("_dense"), F.when(promote, idx).otherwise(F.col("_idx")).alias("_idx"), F.when(promote, rank).otherwise(F.col("_rank")).alias("_rank"))
+    return HllFrame(placed.groupBy(*keys, "_dense", "_idx").agg(F.max("_rank").alias("_rank")), keys, spec, groups)
 
 
 def sparse_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: HllSpec) -> DataFrame:
     """Sparse registers before promotion; also what a streaming aggregation keeps."""
     idx, rank = register(named(hashed), spec.sp)
-    rows = df.where(named(hashed).isNotNull()).select(*keys, F.lit(False).alias("dense"), idx.alias("idx"), rank.alias("rank"))
-    return rows.groupBy(*keys, "dense", "idx").agg(F.max("rank").alias("rank"))
+    rows = df.where(named(hashed).isNotNull()).select(*keys, F.lit(False).alias("_dense"), idx.alias("_idx"), rank.alias("_rank"))
+    return rows.groupBy(*keys, "_dense", "_idx").agg(F.max("_rank").alias("_rank"))
 
 
 def build(df: DataFrame, keys: list[str], hashed: Column | str, spec: HllSpec) -> HllFrame:

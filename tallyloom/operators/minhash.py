@@ -16,7 +16,7 @@ REPRESENTATION = "MINHASH_SIGNATURE"
 
 @dataclass(frozen=True)
 class MinHashFrame:
-    """``minima``: ``keys, i, low`` (the unsigned minimum as a long); ``counts``: ``keys, populated_count``."""
+    """``minima``: ``keys, _i, _low`` (the unsigned minimum as a long); ``counts``: ``keys, populated_count``."""
 
     minima: DataFrame
     counts: DataFrame
@@ -30,12 +30,13 @@ class MinHashFrame:
 
     def rollup(self, keys: list[str]) -> MinHashFrame:
         """Merge over the keys that are left out."""
-        return _combined(self.minima.select(*keys, "i", "low"), self.counts.select(*keys, "populated_count"), keys, self.spec)
+        return _combined(self.minima.select(*keys, "_i", "_low"), self.counts.select(*keys, "populated_count"), keys, self.spec)
 
     def signatures(self) -> DataFrame:
         """``keys, populated_count, signature``: the minima in order, all ones where nothing was added."""
-        ordered = F.array_sort(F.collect_list(F.struct("i", "low")))
-        arrays = self.minima.groupBy(*self.keys).agg(F.transform(ordered, lambda s: s["low"]).alias("signature"))
+        ordered = F.array_sort(F.collect_list(F.struct("_i", "_low")))
+        lows = F.transform(ordered, lambda s: s["_low"])
+        arrays = self.minima.groupBy(*self.keys).agg(F.when(F.size(lows) > 0, lows).alias("signature"))  # without keys a row even of none
         empty = F.array_repeat(F.lit(-1).cast("long"), self.spec.k)
         return join_keys(self.counts, arrays, self.keys, "left").withColumn("signature", F.coalesce("signature", empty))
 
@@ -56,17 +57,17 @@ def similarity(a: Column, b: Column, n_a: Column, n_b: Column, spec: MinHashSpec
 
 
 def _combined(minima: DataFrame, counts: DataFrame, keys: list[str], spec: MinHashSpec) -> MinHashFrame:
-    low = u64.ordered(F.min(u64.ordered(F.col("low"))))
-    merged = minima.groupBy(*keys, "i").agg(low.alias("low"))
-    return MinHashFrame(merged, counts.groupBy(*keys).agg(F.sum("populated_count").alias("populated_count")), keys, spec)
+    low = u64.ordered(F.min(u64.ordered(F.col("_low"))))
+    merged = minima.groupBy(*keys, "_i").agg(low.alias("_low"))
+    return MinHashFrame(merged, counts.groupBy(*keys).agg(F.coalesce(F.sum("populated_count"), F.lit(0)).alias("populated_count")), keys, spec)
 
 
 def minima_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: MinHashSpec) -> DataFrame:
-    """``keys, i, low``; also what a streaming aggregation keeps."""
+    """``keys, _i, _low``; also what a streaming aggregation keeps."""
     family = F.array(*[F.lit(s).cast("long") for s in u64.seeds(u64.MINHASH_SEED, spec.k)])
-    each = df.where(named(hashed).isNotNull()).select(*keys, named(hashed).alias("_h"), F.posexplode(family).alias("i", "seed"))
-    each = u64.mixed(each.withColumn("low", F.col("_h").bitwiseXOR(F.col("seed"))), "low")
-    return each.groupBy(*keys, "i").agg(u64.ordered(F.min(u64.ordered(F.col("low")))).alias("low"))
+    each = df.where(named(hashed).isNotNull()).select(*keys, named(hashed).alias("_h"), F.posexplode(family).alias("_i", "_seed"))
+    each = u64.mixed(each.withColumn("_low", F.col("_h").bitwiseXOR(F.col("_seed"))), "_low")
+    return each.groupBy(*keys, "_i").agg(u64.ordered(F.min(u64.ordered(F.col("_low")))).alias("_low"))
 
 
 def build(df: DataFrame, keys: list[str], hashed: Column | str, spec: MinHashSpec) -> MinHashFrame:

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from tallyloom.functions import u64
 from tallyloom.functions.canonical import canonical
 from tallyloom.functions.keyed import EnvSecret, Secret, hash64, tool_error_key
+from tallyloom.functions.registered import register
 from tallyloom.operators import bloom, heavy, hll, minhash
+from tallyloom.operators.frames import union
+from tallyloom.operators.probe import probe
 from tallyloom.plans import sql
-from tallyloom.profiles import BloomSpec, HeavySpec, HllSpec, MinHashSpec, domains
+from tallyloom.profiles import KIND_NAMES, BloomSpec, HeavySpec, HllSpec, MinHashSpec, domains
 from tallyloom.sources import packed
+from tallyloom.sources.datasource import register_source
+from tallyloom.sources.folders import shared_folder
 from tallyloom.streaming import windows
 
 #: Public by design: it is in the plans and in the SQL below.
@@ -99,7 +104,7 @@ def users_by_type(spark, sf_dir) -> hll.HllFrame:
 
 
 def hll_registers_sparse(spark, sf_dir):
-    return hll.sparse_rows(events(spark, sf_dir), ["event_type"], "h", USERS).drop("dense")
+    return hll.sparse_rows(events(spark, sf_dir), ["event_type"], "h", USERS).select("event_type", F.col("_idx").alias("idx"), F.col("_rank").alias("rank"))
 
 
 def hll_registers_dense(spark, sf_dir):
@@ -238,6 +243,14 @@ def bloom_probe_benchmark_in_docs(spark, sf_dir):
     return held.may_contain(probes).select("item_id", "may_contain")
 
 
+def bloom_probe_packed(spark, sf_dir):
+    """Users of each event type that were there in the first two days, by bitsets that tasks hold."""
+    rows = events(spark, sf_dir)
+    held = bloom.build(rows.where("day(ts) <= 2"), ["event_type"], "h", BLOOM_USERS)
+    probes = rows.select("event_type", "user_id", F.col("h").alias("hash")).distinct()
+    return probe(held, probes).select("event_type", "user_id", "may_contain")
+
+
 # --- similarity ----------------------------------------------------------------------------------------------
 
 
@@ -245,8 +258,12 @@ def docs_by_lang(spark, sf_dir) -> minhash.MinHashFrame:
     return minhash.build(documents(spark, sf_dir), ["lang"], "h", MIN_DOCS)
 
 
+def _shown_minima(frame: minhash.MinHashFrame, key: str) -> DataFrame:
+    return frame.minima.select(key, F.col("_i").alias("i"), u64.hex16(F.col("_low")).alias("low"))
+
+
 def minhash_signature(spark, sf_dir):
-    return docs_by_lang(spark, sf_dir).minima.withColumn("low", u64.hex16(F.col("low")))
+    return _shown_minima(docs_by_lang(spark, sf_dir), "lang")
 
 
 def minhash_merge(spark, sf_dir):
@@ -280,7 +297,7 @@ def wire_roundtrip_bloom(spark, sf_dir):
 
 def wire_roundtrip_minhash(spark, sf_dir):
     cells = packed.pack(docs_by_lang(spark, sf_dir))
-    return packed.parse(cells, ["lang"], MIN_DOCS).minima.withColumn("low", u64.hex16(F.col("low")))
+    return _shown_minima(packed.parse(cells, ["lang"], MIN_DOCS), "lang")
 
 
 def wire_rejects(spark, sf_dir):
@@ -309,15 +326,109 @@ def incompatible_merge_rejected(spark, sf_dir):
     return judged.unpivot("event_type", list(others), "name", "refused")
 
 
+# --- SQL functions -------------------------------------------------------------------------------------------
+
+
+def sql_hll_users(spark, sf_dir):
+    """Distinct users by event type, all in SQL: tasks sketch their own rows, then the parts of a type are merged."""
+    register(spark)
+    rows = events(spark, sf_dir).select("event_type", F.col("h").alias("hash"))
+    parts = "SELECT * FROM sketch_hll(TABLE(SELECT * FROM {rows}), profile => 'small', domain => 'user:v1')"
+    merged = f"SELECT * FROM sketch_merge(TABLE({parts}) PARTITION BY event_type)"
+    return spark.sql(f"SELECT event_type, round(sketch_estimate(sketch), 6) AS estimate FROM ({merged})", rows=rows)
+
+
+def sql_bloom_probe(spark, sf_dir):
+    """The same as ``bloom_probe_packed``, by sketches that SQL builds, merges and probes."""
+    register(spark)
+    rows = events(spark, sf_dir).select("event_type", "user_id", "ts", F.col("h").alias("hash"))
+    parts = "SELECT * FROM sketch_bloom(TABLE(SELECT event_type, hash FROM {rows} WHERE day(ts) <= 2), profile => 'micro', domain => 'user:v1')"
+    merged = f"SELECT * FROM sketch_merge(TABLE({parts}) PARTITION BY event_type)"
+    users = "SELECT DISTINCT event_type, user_id, hash FROM {rows}"
+    probed = "SELECT event_type, user_id, coalesce(sketch_may_contain(sketch, hash), false) AS may_contain"
+    return spark.sql(f"{probed} FROM ({users}) LEFT JOIN ({merged}) USING (event_type)", rows=rows)
+
+
+def sql_minhash_jaccard(spark, sf_dir):
+    """Similarity of event types by their users, by signatures that SQL builds and compares."""
+    register(spark)
+    rows = events(spark, sf_dir).select("event_type", F.col("h").alias("hash"))
+    parts = "SELECT * FROM sketch_minhash(TABLE(SELECT * FROM {rows}), profile => 'k256', domain => 'user:v1')"
+    spark.sql(f"SELECT * FROM sketch_merge(TABLE({parts}) PARTITION BY event_type)", rows=rows).createOrReplaceTempView("_signatures")
+    return spark.sql(
+        "SELECT a.event_type AS left_event_type, b.event_type AS right_event_type, round(sketch_jaccard(a.sketch, b.sketch), 6) AS jaccard "
+        "FROM _signatures a JOIN _signatures b ON a.event_type < b.event_type"
+    )
+
+
+# --- cells of several kinds, and folders of them ----------------------------------------------------------------
+
+
+def daily_cells(spark, sf_dir) -> DataFrame:
+    """Packed sketches of several kinds in one column: users of each event type and day."""
+    rows = events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    keys = ["event_type", "day"]
+    frames = [hll.build(rows, keys, "h", USERS), bloom.build(rows, keys, "h", BLOOM_USERS), heavy.build(rows, keys, "h", "cents", HEAVY_USERS)]
+    cells = [packed.pack(f) for f in frames]
+    return cells[0].unionByName(cells[1]).unionByName(cells[2])
+
+
+def merge_unlike_cells(spark, sf_dir):
+    """Days merged by event type, each kind by itself, without naming any specification."""
+    frames = packed.parse_any(daily_cells(spark, sf_dir), ["event_type"])
+    shown = {"hll": lambda f: f.estimate().withColumn("value", F.round("estimate", 6)), "bloom": lambda f: f.summary().withColumn("value", F.col("set_bit_count").cast("double"))}
+    shown["heavy"] = lambda f: f.totals.withColumn("value", F.col("total_weight").cast("double"))
+    rows = [shown[KIND_NAMES[type(s)]](f).select("event_type", F.lit(KIND_NAMES[type(s)]).alias("kind"), F.lit(s.domain).alias("domain"), "value") for s, f in frames.items()]
+    return union(rows)
+
+
+def mixed_groups_refused(spark, sf_dir):
+    """Purchases of the first days were sketched under another profile: which groups can't be merged."""
+    rows = events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    odd = (F.col("event_type") == "purchase") & (F.day("day") <= 15)
+    cells = [packed.pack(hll.build(rows.where(side), ["event_type", "day"], "h", spec)) for side, spec in ((odd, HllSpec("micro", "user:v1")), (~odd, USERS))]
+    found = packed.mixed_groups(union(cells), ["event_type"])
+    return found.select("event_type", "kind", F.array_join("specifications", ", ").alias("specifications"))
+
+
+def sketch_source(spark, sf_dir):
+    """Daily sketches written to a folder in the ``sketch`` format in two writes, read back, and merged by event type."""
+    register_source(spark)
+    folder = shared_folder(spark, "sketches")
+    cells = packed.pack(hll.build(events(spark, sf_dir).withColumn("day", F.to_date("ts")), ["event_type", "day"], "h", USERS))
+    for side in ("day(day) <= 15", "day(day) > 15"):
+        cells.where(side).write.format("sketch").mode("append").save(folder)
+    found = spark.read.format("sketch").option("kind", "hll").load(folder)
+    return rounded(packed.parse(found, ["event_type"], USERS).estimate(), "estimate")
+
+
+# --- names and empties -------------------------------------------------------------------------------------------
+
+
+def grouped_by_inner_names(spark, sf_dir):
+    """Sketches grouped by columns that are called what sketches call their own parts."""
+    rows = events(spark, sf_dir).select("h", "cents", *[F.col("event_type").alias(c) for c in ("rank", "idx", "weight", "bucket", "part")])
+    distinct = rounded(hll.build(rows, ["rank", "idx"], "h", USERS).estimate(), "estimate").select("rank", "estimate")
+    total = heavy.build(rows, ["weight", "part"], "h", "cents", HEAVY_USERS).totals.select(F.col("weight").alias("rank"), "total_weight")
+    bits = bloom.build(rows, ["bucket"], "h", BLOOM_USERS).summary().select(F.col("bucket").alias("rank"), "set_bit_count")
+    return distinct.join(total, "rank").join(bits, "rank")
+
+
+def minhash_empty(spark, sf_dir):
+    """The signature of no rows, packed, read back and merged with one of all."""
+    whole = minhash.build(documents(spark, sf_dir), [], "h", MIN_DOCS)
+    none = minhash.build(documents(spark, sf_dir).where("lang = 'none'"), [], "h", MIN_DOCS)
+    read = packed.parse(packed.pack(none), [], MIN_DOCS)
+    found = [(n, f.signatures()) for n, f in (("empty", read), ("merged", read.merge(whole)))]
+    return union([s.select(F.lit(n).alias("name"), "populated_count", F.posexplode("signature").alias("i", "low")) for n, s in found]).withColumn("low", u64.hex16(F.col("low")))
+
+
 # --- streaming -----------------------------------------------------------------------------------------------
 
 
 def stream_daily_users(spark, sf_dir):
     """Daily registers of a stream over the events, written once and then estimated."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = windows.windowed(stream.withColumn("h", keyed("user_id", "user:v1")), "ts", "1 day", "1 hour")
@@ -338,8 +449,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         hll_registers_sparse, hll_registers_dense, hll_distinct_users_by_type, hll_distinct_docs_by_lang, hll_distinct_parts_dense, hll_distinct_orders_dense, hll_empty,
         hll_merge_windows, hll_representation, heavy_users_by_value, heavy_pruned_parts, heavy_nfp, heavy_default, heavy_empty, heavy_threshold, heavy_merge_flags,
         heavy_bounds_lookup, heavy_top, heavy_topk_share, heavy_guarantees, bloom_set_bits, bloom_fpr, bloom_merge, bloom_probe_parts,
-        bloom_probe_benchmark_in_docs, minhash_signature, minhash_merge, minhash_jaccard_types, wire_roundtrip_hll, wire_roundtrip_heavy,
+        bloom_probe_benchmark_in_docs, bloom_probe_packed, minhash_signature, minhash_merge, minhash_jaccard_types, wire_roundtrip_hll, wire_roundtrip_heavy,
         wire_roundtrip_bloom, wire_roundtrip_minhash, wire_rejects, incompatible_merge_rejected, stream_daily_users,
+        sql_hll_users, sql_bloom_probe, sql_minhash_jaccard, merge_unlike_cells, mixed_groups_refused, sketch_source, grouped_by_inner_names, minhash_empty,
     )
 }
 
@@ -364,7 +476,22 @@ d AS (SELECT g, coalesce(max(CASE WHEN rn = {HEAVY_PARTS.map_size + 1} THEN weig
 s AS (SELECT hash, sum(weight - cut)::BIGINT AS residual FROM w JOIN d USING (g) WHERE weight > cut GROUP BY 1),
 c AS (SELECT coalesce((SELECT residual FROM s ORDER BY residual DESC, hash LIMIT 1 OFFSET {HEAVY_PARTS.map_size}), 0)::BIGINT AS cut, (SELECT sum(cut)::BIGINT FROM d) AS e)
 SELECT {sql.hex16('hash')} AS hash, residual + e AS estimate, residual - cut AS lower_bound, residual + e AS upper_bound, e + cut AS error FROM s, c WHERE residual > cut"""
+    jaccards = f"WITH {ev}, s AS ({sql.minhash_minima('e', 'event_type', 'h', k256)}) SELECT a.event_type AS left_event_type, b.event_type AS right_event_type, round(sum((a.low = b.low)::INT) / {k256.k}.0, 6) AS jaccard FROM s a JOIN s b ON a.i = b.i AND a.event_type < b.event_type GROUP BY 1, 2"
+    probed = f"""WITH {ev}, held AS (SELECT DISTINCT position FROM {bits('event_type', "WHERE event_type = 'purchase'")})
+SELECT user_id, bool_and(held.position IS NOT NULL) AS may_contain FROM ({sql.bloom_positions('(SELECT DISTINCT user_id, h FROM e)', 'user_id', 'h', BLOOM_USERS)}) p LEFT JOIN held ON p.position = held.position GROUP BY 1"""
+    first_days = f"""WITH {ev}, held AS (SELECT DISTINCT event_type, position FROM {bits('event_type', 'WHERE day(ts) <= 2')})
+SELECT p.event_type, user_id, bool_and(held.position IS NOT NULL) AS may_contain FROM ({sql.bloom_positions('(SELECT DISTINCT event_type, user_id, h FROM e)', 'event_type, user_id', 'h', BLOOM_USERS)}) p LEFT JOIN held ON p.position = held.position AND p.event_type = held.event_type GROUP BY 1, 2"""
+    of_type = f"SELECT event_type, count(*)::DOUBLE AS value FROM {bits('event_type')} GROUP BY 1"
     return {
+        "bloom_probe_packed": first_days,
+        "sql_hll_users": users,
+        "sql_bloom_probe": first_days,
+        "sql_minhash_jaccard": jaccards,
+        "sketch_source": users,
+        "merge_unlike_cells": f"WITH {ev}, c AS ({sql.sparse_estimates('e', 'event_type', 'h', USERS)}), b AS ({of_type}) SELECT event_type, 'hll' AS kind, 'user:v1' AS domain, estimate AS value FROM c UNION ALL SELECT event_type, 'bloom', 'user:v1', value FROM b UNION ALL SELECT event_type, 'heavy', 'user:v1', sum(cents)::DOUBLE FROM e GROUP BY 1",
+        "mixed_groups_refused": "SELECT event_type, 'hll' AS kind, 'micro user:v1, small user:v1' AS specifications FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(DISTINCT day(ts) <= 15) = 2",
+        "grouped_by_inner_names": f"WITH {ev}, c AS ({sql.sparse_estimates('e', 'event_type', 'h', USERS)}), b AS ({of_type}) SELECT c.event_type AS rank, estimate, sum(cents)::BIGINT AS total_weight, any_value(b.value)::BIGINT AS set_bit_count FROM c JOIN b USING (event_type) JOIN e USING (event_type) GROUP BY 1, 2",
+        "minhash_empty": f"WITH {docs} SELECT 'merged' AS name, (SELECT count(*) FROM d0)::BIGINT AS populated_count, i, {sql.hex16('min(low)')} AS low FROM ({sql.minhash_minima('d0', 'lang', 'h', MIN_DOCS)}) GROUP BY i UNION ALL SELECT 'empty', 0::BIGINT, unnest(range({MIN_DOCS.k}))::INT, repeat('f', 16)",
         "canon_docs": f"SELECT doc_id, length({sql.canonical('text')})::BIGINT AS length, md5({sql.canonical('text')}) AS md5 FROM documents",
         "hash64_users": f"WITH {ev} SELECT DISTINCT user_id, {sql.hex16('h')} AS digest FROM e",
         "hash64_env_users": f"WITH {ev} SELECT DISTINCT user_id, {sql.hex16('h')} AS digest FROM e",
@@ -397,13 +524,12 @@ SELECT o_orderstatus, CASE WHEN n > {PARTS.promotion} THEN 'HLLPP_DENSE' ELSE 'H
         "bloom_set_bits": f"WITH {ev} SELECT event_type, position FROM {bits('event_type')}",
         "bloom_fpr": f"WITH {ev} SELECT event_type, n::BIGINT AS inserted_count, s::BIGINT AS set_bit_count, round({BLOOM_USERS.hashes} * ln(s / {BLOOM_USERS.bits}.0), 6) AS false_positive_estimate FROM (SELECT event_type, count(*) AS s FROM {bits('event_type')} GROUP BY 1) JOIN (SELECT event_type, count(*) AS n FROM e GROUP BY 1) USING (event_type)",
         "bloom_merge": f"WITH {ev} SELECT (SELECT count(*) FROM e)::BIGINT AS inserted_count, count(DISTINCT position)::BIGINT AS set_bit_count FROM {bits('event_type')}",
-        "bloom_probe_parts": f"""WITH {ev}, held AS (SELECT DISTINCT position FROM {bits('event_type', "WHERE event_type = 'purchase'")})
-SELECT user_id, bool_and(held.position IS NOT NULL) AS may_contain FROM ({sql.bloom_positions('(SELECT DISTINCT user_id, h FROM e)', 'user_id', 'h', BLOOM_USERS)}) p LEFT JOIN held ON p.position = held.position GROUP BY 1""",
+        "bloom_probe_parts": probed,
         "bloom_probe_benchmark_in_docs": f"""WITH {docs}, held AS (SELECT DISTINCT position FROM ({sql.bloom_positions('(SELECT DISTINCT 0 AS k, h FROM d0)', 'k', 'h', BLOOM_DOCS)})), b AS (SELECT item_id, {key('text', 'prompt:v1')} AS h FROM benchmark)
 SELECT item_id, bool_and(held.position IS NOT NULL) AS may_contain FROM ({sql.bloom_positions('b', 'item_id', 'h', BLOOM_DOCS)}) p LEFT JOIN held ON p.position = held.position GROUP BY 1""",
         "minhash_signature": signature,
         "minhash_merge": f"WITH {docs} SELECT (SELECT count(*) FROM d0)::BIGINT AS populated_count, i, {sql.hex16('min(low)')} AS low FROM ({sql.minhash_minima('d0', 'lang', 'h', MIN_DOCS)}) GROUP BY i",
-        "minhash_jaccard_types": f"WITH {ev}, s AS ({sql.minhash_minima('e', 'event_type', 'h', k256)}) SELECT a.event_type AS left_event_type, b.event_type AS right_event_type, round(sum((a.low = b.low)::INT) / {k256.k}.0, 6) AS jaccard FROM s a JOIN s b ON a.i = b.i AND a.event_type < b.event_type GROUP BY ALL",
+        "minhash_jaccard_types": jaccards,
         "wire_roundtrip_hll": users,
         "wire_roundtrip_heavy": f"{parts} {shown}",
         "wire_roundtrip_bloom": f"WITH {ev} SELECT event_type, position FROM {bits('event_type')}",

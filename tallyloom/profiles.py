@@ -128,3 +128,8 @@ class MinHashSpec(Spec):
     @property
     def k(self) -> int:
         return self.shape
+
+
+#: Names of the kinds, as SQL and manifests use them.
+KIND_NAMES = {HllSpec: "hll", HeavySpec: "heavy", BloomSpec: "bloom", MinHashSpec: "minhash"}
+KINDS = {name: kind for kind, name in KIND_NAMES.items()}

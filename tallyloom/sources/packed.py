@@ -7,14 +7,15 @@ no more.  Files are Parquet with a ``sketch`` column, or single ``.pb`` files re
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.errors import IncompatibleMergeError, SketchError
 from tallyloom.functions import u64
 from tallyloom.operators import bloom, heavy, hll, minhash
-from tallyloom.operators.frames import join_keys
-from tallyloom.profiles import BloomSpec, HeavySpec, HllSpec, MinHashSpec, Spec
+from tallyloom.operators.frames import join_keys, union
+from tallyloom.profiles import KIND_NAMES, KINDS, BloomSpec, HeavySpec, HllSpec, MinHashSpec, Spec
 from tallyloom.sources import wire
 
 
@@ -26,9 +27,9 @@ def pack_hll(frame: hll.HllFrame) -> DataFrame:
     def encode(dense: pd.Series, idx: pd.Series, rank: pd.Series) -> pd.Series:
         return pd.Series([wire.encode(spec, wire.HllState(bool(d), list(zip(map(int, i), map(int, r), strict=True)))) for d, i, r in zip(dense, idx, rank, strict=True)])
 
-    each = frame.grouped(F.array_sort(F.collect_list(F.struct("idx", "rank"))).alias("r"))
-    each = each.withColumn("r", F.coalesce("r", F.array().cast("array<struct<idx:int,rank:int>>")))
-    return each.select(*frame.keys, encode("dense", F.col("r.idx"), F.col("r.rank")).alias("sketch"))
+    each = frame.grouped(F.array_sort(F.collect_list(F.struct(F.col("_idx").alias("idx"), F.col("_rank").alias("rank")))).alias("_r"))
+    each = each.withColumn("_r", F.coalesce("_r", F.array().cast("array<struct<idx:int,rank:int>>")))
+    return each.select(*frame.keys, encode("_dense", F.col("_r.idx"), F.col("_r.rank")).alias("sketch"))
 
 
 def pack_heavy(frame: heavy.HeavyFrame) -> DataFrame:
@@ -38,9 +39,10 @@ def pack_heavy(frame: heavy.HeavyFrame) -> DataFrame:
     def encode(hashes: pd.Series, estimates: pd.Series, total: pd.Series, error: pd.Series) -> pd.Series:
         return pd.Series([wire.encode(spec, wire.HeavyState(list(zip(map(int, h), map(int, e), strict=True)), int(t), int(x))) for h, e, t, x in zip(hashes, estimates, total, error, strict=True)])
 
-    each = frame.entries.groupBy(*frame.keys).agg(F.collect_list(F.struct("hash", "estimate")).alias("r"))
-    joined = join_keys(frame.totals, each, frame.keys, "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<hash:bigint,estimate:bigint>>")))
-    return joined.select(*frame.keys, encode(F.col("r.hash"), F.col("r.estimate"), "total_weight", "max_error").alias("sketch"))
+    held = F.collect_list(F.struct(F.col("_hash").alias("hash"), F.col("_estimate").alias("estimate")))
+    each = frame.entries.groupBy(*frame.keys).agg(held.alias("_r"))
+    joined = join_keys(frame.totals, each, frame.keys, "left").withColumn("_r", F.coalesce("_r", F.array().cast("array<struct<hash:bigint,estimate:bigint>>")))
+    return joined.select(*frame.keys, encode(F.col("_r.hash"), F.col("_r.estimate"), "total_weight", "max_error").alias("sketch"))
 
 
 def pack_bloom(frame: bloom.BloomFrame) -> DataFrame:
@@ -57,9 +59,9 @@ def pack_bloom(frame: bloom.BloomFrame) -> DataFrame:
             out.append(wire.encode(spec, wire.BloomState(bytes(bits[:size]), int(n))))
         return pd.Series(out)
 
-    each = frame.buckets.groupBy(*frame.keys).agg(F.collect_list(F.struct("bucket", "bitmap")).alias("r"))
-    joined = join_keys(frame.counts, each, frame.keys)
-    return joined.select(*frame.keys, encode(F.col("r.bucket"), F.col("r.bitmap"), "inserted_count").alias("sketch"))
+    each = frame.buckets.groupBy(*frame.keys).agg(F.collect_list(F.struct(F.col("_bucket").alias("bucket"), F.col("_bitmap").alias("bitmap"))).alias("_r"))
+    joined = join_keys(frame.counts, each, frame.keys, "left").withColumn("_r", F.coalesce("_r", F.array().cast("array<struct<bucket:bigint,bitmap:binary>>")))
+    return joined.select(*frame.keys, encode(F.col("_r.bucket"), F.col("_r.bitmap"), "inserted_count").alias("sketch"))
 
 
 def pack_minhash(frame: minhash.MinHashFrame) -> DataFrame:
@@ -131,23 +133,80 @@ def parse(cells: DataFrame, keys: list[str], spec: Spec, column: str = "sketch")
         out = pd.DataFrame(rows, columns=["profile", "domain", "dense", "idx", "rank", "hash", "estimate", "total", "error", "bitset"])
         return out.astype({"dense": "boolean", "total": "Int64", "error": "Int64"})
 
-    parsed = cells.where(F.col(column).isNotNull()).select(*keys, decode(column).alias("p")).select(*keys, "p.*")
+    parsed = cells.where(F.col(column).isNotNull()).select(*keys, decode(column).alias("_p"))
     if kind is HllSpec:
-        rows = parsed.select(*keys, "dense", F.explode(F.arrays_zip("idx", "rank")).alias("r")).select(*keys, "dense", "r.idx", "r.rank")
+        each = parsed.select(*keys, F.col("_p.dense").alias("_dense"), F.explode(F.arrays_zip("_p.idx", "_p.rank")).alias("_r"))
+        rows = each.select(*keys, "_dense", F.col("_r.idx").alias("_idx"), F.col("_r.rank").alias("_rank"))
         return hll._settled(rows, keys, spec, parsed.select(*keys) if keys else None)
     if kind is HeavySpec:
-        totals = parsed.select(*keys, F.col("total").alias("total_weight"), F.col("error").alias("max_error"))
-        entries = parsed.select(*keys, "error", F.explode(F.arrays_zip("hash", "estimate")).alias("r"))
-        return heavy._cut(entries.select(*keys, F.col("r.hash").alias("hash"), (F.col("r.estimate") - F.col("error")).alias("weight")), totals, keys, spec)
-    counts = parsed.select(*keys, "total")
+        totals = parsed.select(*keys, F.col("_p.total").alias("total_weight"), F.col("_p.error").alias("max_error"))
+        entries = parsed.select(*keys, F.col("_p.error").alias("_error"), F.explode(F.arrays_zip("_p.hash", "_p.estimate")).alias("_r"))
+        return heavy._cut(entries.select(*keys, F.col("_r.hash").alias("_hash"), (F.col("_r.estimate") - F.col("_error")).alias("_weight")), totals, keys, spec)
     if kind is BloomSpec:
         n = -(-((spec.bits + 7) // 8) // 4096)
-        each = parsed.select(*keys, "bitset", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket"))
-        bits = F.substring(F.col("bitset"), F.col("bucket") * 4096 + 1, F.lit(4096))
-        whole = F.rpad(bits, 4096, F.unhex(F.lit("00")))
-        return bloom._combined(each.select(*keys, F.col("bucket").cast("long").alias("bucket"), whole.alias("bitmap")).where(F.bitmap_count("bitmap") > 0), counts.withColumnRenamed("total", "inserted_count"), keys, spec)
-    minima = parsed.select(*keys, F.posexplode("hash").alias("i", "low"))
-    return minhash._combined(minima, counts.withColumnRenamed("total", "populated_count"), keys, spec)
+        each = parsed.select(*keys, F.col("_p.bitset").alias("_bits"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_bucket"))
+        whole = F.rpad(F.substring(F.col("_bits"), F.col("_bucket") * 4096 + 1, F.lit(4096)), 4096, F.unhex(F.lit("00")))
+        buckets = each.select(*keys, F.col("_bucket").cast("long").alias("_bucket"), whole.alias("_bitmap")).where(F.bitmap_count("_bitmap") > 0)
+        return bloom._combined(buckets, parsed.select(*keys, F.col("_p.total").alias("inserted_count")), keys, spec)
+    minima = parsed.select(*keys, F.posexplode("_p.hash").alias("_i", "_low"))
+    return minhash._combined(minima, parsed.select(*keys, F.col("_p.total").alias("populated_count")), keys, spec)
+
+
+#: Bytes from the start of a sketch that hold its metadata whole.
+HEAD_BYTES = 256
+
+
+def described(cells: Column | str) -> Column:
+    """``kind, profile, domain`` of packed sketches, from their own bytes; only their first bytes leave the JVM.
+
+    Null for null; bytes whose metadata is none fail the query.
+    """
+
+    def read(heads: pa.Array) -> pa.Array:
+        found = [None if h is None else wire.specification(h) for h in heads.to_pylist()]
+        rows = [None if s is None else {"kind": KIND_NAMES[type(s)], "profile": s.profile, "domain": s.domain} for s in found]
+        return pa.array(rows, pa.struct([(c, pa.string()) for c in ("kind", "profile", "domain")]))
+
+    return F.arrow_udf(read, "kind string, profile string, domain string")(F.substring(cells, 1, HEAD_BYTES))
+
+
+def mixed_groups(cells: DataFrame, keys: list[str], column: str = "sketch") -> DataFrame:
+    """``keys, kind, specifications``: groups whose sketches of one kind can't be merged, as profile or domain differ."""
+    heads = cells.where(F.col(column).isNotNull()).select(*keys, described(column).alias("_is")).select(*keys, "_is.*")
+    each = heads.groupBy(*keys, "kind").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "profile", "domain"))).alias("specifications"))
+    return each.where(F.size("specifications") > 1)  # at most one for each profile and domain
+
+
+def parse_any(cells: DataFrame, keys: list[str], column: str = "sketch", apart: bool = False) -> dict[Spec, object]:
+    """Frames of packed sketches by their specifications, which the bytes tell; cells of equal keys are merged.
+
+    A column may hold several kinds, which never meet.  Sketches of one kind but of another profile or domain can't be
+    merged: a group with both raises ``IncompatibleMergeError``, unless they are to stay ``apart``.  The
+    specifications come to the driver (4 kinds, at most 4 profiles and 8 domains each), then each of
+    them reads the cells that are its own.
+    """
+    known = cells.where(F.col(column).isNotNull()).withColumn("_is", described(column))
+    found = known.select("_is.*").distinct().collect()
+    specs = [KINDS[r["kind"]](r["profile"], r["domain"]) for r in found]
+    if not apart and len({type(s) for s in specs}) < len(specs):
+        for group in mixed_groups(cells, keys, column).limit(1).collect():
+            where = ", ".join(f"{k}={group[k]!r}" for k in keys) or "the table"
+            raise IncompatibleMergeError(f"{where} has sketches of {' and '.join(group['specifications'])}")
+
+    def of(s: Spec) -> DataFrame:
+        own = (F.col("_is.kind") == KIND_NAMES[type(s)]) & (F.col("_is.profile") == s.profile) & (F.col("_is.domain") == s.domain)
+        return known.withColumn(column, F.when(own, F.col(column)))  # others are null to the decoder, wherever Spark puts the filter
+
+    return {s: parse(of(s), keys, s, column) for s in specs}
+
+
+def merge_cells(cells: DataFrame, keys: list[str], column: str = "sketch", apart: bool = False) -> DataFrame:
+    """``keys, kind, profile, domain, sketch``: the packed sketches of each group merged, without being told what they are."""
+    merged = [
+        pack(frame).select(*keys, F.lit(KIND_NAMES[type(spec)]).alias("kind"), F.lit(spec.profile).alias("profile"), F.lit(spec.domain).alias("domain"), "sketch")
+        for spec, frame in parse_any(cells, keys, column, apart).items()
+    ]
+    return union(merged) if merged else cells.where("false").select(*keys, *[F.lit("").alias(c) for c in ("kind", "profile", "domain")], column)
 
 
 def write_sketches(frame, path: str) -> None:

@@ -25,7 +25,7 @@ def windowed(events: DataFrame, time: str, width: str, late: str) -> DataFrame:
 
 
 def hll_registers(events: DataFrame, keys: list[str], hashed: Column | str, spec: HllSpec) -> DataFrame:
-    """``window, keys, dense, idx, rank`` as a streaming aggregation."""
+    """``window, keys, _dense, _idx, _rank`` as a streaming aggregation."""
     return hll.sparse_rows(events, ["window", *keys], hashed, spec)
 
 
@@ -58,7 +58,7 @@ class HeavyProcessor(StatefulProcessor):
             counters.total, counters.error = found["total"], found["error"]
             counters.estimates = {int(k): v for k, v in found["estimates"].items()}
         for pdf in rows:
-            for h, w in pdf.groupby("hash", sort=True)["weight"].sum().items():
+            for h, w in pdf.groupby("_hash", sort=True)["_weight"].sum().items():
                 counters.add(int(h), int(w))
         self.state.update((json.dumps({"total": counters.total, "error": counters.error, "estimates": counters.estimates}),))
         out = pd.DataFrame(sorted(counters.estimates.items()), columns=["hash", "estimate"])

@@ -216,7 +216,7 @@ def test_heavy_default_needs_no_single_task(spark):
             sums[i % 3000] = sums.get(i % 3000, 0) + i % 7 + 1
         cut = sorted(sums.values(), reverse=True)[1024]
         assert frame.totals.first()["max_error"] == cut
-        assert {r["hash"]: r["estimate"] for r in frame.entries.collect()} == {h: w for h, w in sums.items() if w > cut}
+        assert {r["_hash"]: r["_estimate"] for r in frame.entries.collect()} == {h: w for h, w in sums.items() if w > cut}
 
 
 def test_verdicts_tell_rows_apart(spark):
