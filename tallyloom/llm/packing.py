@@ -16,15 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, discard, id_text, small_keys, stored, with_ids
+from tallyloom.llm.common import bounded_batches, discard, small_keys, stored
 from tallyloom.llm.token_output import END_ID, encoder, slices
 
 CAPACITY = 1024
-PIECES = "doc_id string, piece int, start long, length long, ids binary, part int, place long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, place long"
 
 
 @dataclass
@@ -160,21 +161,39 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, d
     """
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end, seen = np.array([end_id], "<u4"), defaultdict(int)
-        for pdf in batches:
-            ids_of = iter(pdf["doc_id"])
-            for own in slices([t or "" for t in pdf["text"]]):
-                rows = []
-                for ids in encode(own):
-                    ids, number = np.concatenate([ids.astype("<u4"), end]), next(ids_of)
-                    for piece, (start, length) in enumerate(cut(len(ids), capacity)):
-                        rows.append((number, piece, start, length, ids[start : start + length].tobytes(), part, seen[length]))
-                        seen[length] += 1
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "part", "place"])
-
-    return stored(with_ids(docs.select(id_text(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, PIECES)), "pieces")
+        end, seen = np.array([end_id], encode.dtype), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            texts, at = batch.column("text").to_pylist(), 0
+            for own in slices([t or "" for t in texts]):
+                ids = encode(own)
+                bounds = [cut(len(x) + 1, capacity) for x in ids]
+                numbers = np.repeat(np.arange(at, at + len(own)), [len(b) for b in bounds])
+                start, length = np.array([p for b in bounds for p in b], np.int64).T
+                first = np.concatenate([np.arange(len(b)) for b in bounds])
+                # The pieces follow each other in the ids of all texts, which so are the data of the binary column.
+                whole = np.concatenate([x for own_ids in ids for x in (own_ids, end)]).astype("<u4")
+                offsets = np.concatenate([[0], np.cumsum(length) * 4]).astype(np.int32)
+                cells = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
+                columns = [batch.column("doc_id").take(pa.array(numbers)), pa.array(first.astype(np.int32)), pa.array(start), pa.array(length), cells]
+                columns += [pa.array(np.full(len(length), part, np.int32)), pa.array(_places(length, seen))]
+                yield pa.record_batch(columns, names=["doc_id", "piece", "start", "length", "ids", "part", "place"])
+                at += len(own)
+
+    return stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES), "pieces")
+
+
+def _places(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How many pieces of its length came before each one; ``seen`` counts those before, and goes on."""
+    order = np.argsort(lengths, kind="stable")
+    ranked = lengths[order]
+    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    sizes = np.diff(np.r_[starts, len(ranked)])
+    out = np.empty(len(lengths), np.int64)
+    out[order] = np.arange(len(ranked)) - np.repeat(starts, sizes) + seen[ranked]
+    seen[ranked[starts]] += sizes
+    return out
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
