@@ -19,7 +19,7 @@ from tallyloom.profiles import KIND_NAMES, BloomSpec, HeavySpec, HllSpec, MinHas
 from tallyloom.sources import packed
 from tallyloom.sources.datasource import register_source
 from tallyloom.sources.folders import shared_folder
-from tallyloom.streaming import windows
+from tallyloom.streaming import sessions, windows
 
 #: Public by design: it is in the plans and in the SQL below.
 SECRET = Secret(b"public-secret-of-the-queries")
@@ -442,6 +442,47 @@ def stream_daily_users(spark, sf_dir):
     return rounded(windows.hll_from_registers(found.drop("batch", "window"), ["day", "event_type"], USERS).estimate(), "estimate")
 
 
+def _event_stream(spark, sf_dir) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _appended(spark, rows: DataFrame, what: str) -> DataFrame:
+    """What a stream with state writes until it has read all there is."""
+    base, store = shared_folder(spark, what), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = rows.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(rows.schema).parquet(f"{base}/rows")
+
+
+def stream_user_sessions(spark, sf_dir):
+    """Distinct event types in each session of a user, for the sessions that ended by the watermark."""
+    stream = _event_stream(spark, sf_dir).withColumn("h", keyed("event_type", "tool:v1"))
+    found = _appended(spark, sessions.session_sketches(stream, ["user_id"], "ts", "6 hours", "1 hour", "h", PARTS), "sessions")
+    each = packed.parse(found, ["user_id", "start", "end"], PARTS).estimate()
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start", "end")]
+    return rounded(each.select("user_id", *shown, "estimate"), "estimate")
+
+
+def stream_heavy_windows(spark, sf_dir):
+    """Heavy hitters of each day, put out as the day ends: how many users break a promise of the bounds.  None may."""
+    rows = events(spark, sf_dir)
+    stream = _event_stream(spark, sf_dir).select("ts", keyed("user_id", "user:v1").alias("h"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    daily = windows.heavy_items_by_window(windows.windowed(stream, "ts", "1 day", "1 hour"), [], "h", "cents", HEAVY_USERS)
+    items = _appended(spark, daily, "heavy").withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
+    exact = rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("h").alias("hash")).agg(F.sum("cents").alias("exact"))
+    days = items.select("day", F.col("max_error").alias("error"), "total_weight").distinct()
+    judged = exact.join(days, "day").join(items.select("day", "hash", "estimate"), ["day", "hash"], "left")
+    below, above = F.coalesce(F.col("estimate") - F.col("error"), F.lit(0)), F.coalesce("estimate", "error")
+    wrong = F.count(F.when((F.col("exact") < below) | (F.col("exact") > above), 1))
+    return judged.groupBy("day", "total_weight").agg(wrong.alias("outside_bounds"), F.count(F.lit(1)).alias("users"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -451,7 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         heavy_bounds_lookup, heavy_top, heavy_topk_share, heavy_guarantees, bloom_set_bits, bloom_fpr, bloom_merge, bloom_probe_parts,
         bloom_probe_benchmark_in_docs, bloom_probe_packed, minhash_signature, minhash_merge, minhash_jaccard_types, wire_roundtrip_hll, wire_roundtrip_heavy,
         wire_roundtrip_bloom, wire_roundtrip_minhash, wire_rejects, incompatible_merge_rejected, stream_daily_users,
-        sql_hll_users, sql_bloom_probe, sql_minhash_jaccard, merge_unlike_cells, mixed_groups_refused, sketch_source, grouped_by_inner_names, minhash_empty,
+        sql_hll_users, sql_bloom_probe, sql_minhash_jaccard, merge_unlike_cells, mixed_groups_refused, sketch_source, grouped_by_inner_names, minhash_empty, stream_user_sessions, stream_heavy_windows,
     )
 }
 
@@ -481,9 +522,18 @@ SELECT {sql.hex16('hash')} AS hash, residual + e AS estimate, residual - cut AS
 SELECT user_id, bool_and(held.position IS NOT NULL) AS may_contain FROM ({sql.bloom_positions('(SELECT DISTINCT user_id, h FROM e)', 'user_id', 'h', BLOOM_USERS)}) p LEFT JOIN held ON p.position = held.position GROUP BY 1"""
     first_days = f"""WITH {ev}, held AS (SELECT DISTINCT event_type, position FROM {bits('event_type', 'WHERE day(ts) <= 2')})
 SELECT p.event_type, user_id, bool_and(held.position IS NOT NULL) AS may_contain FROM ({sql.bloom_positions('(SELECT DISTINCT event_type, user_id, h FROM e)', 'event_type, user_id', 'h', BLOOM_USERS)}) p LEFT JOIN held ON p.position = held.position AND p.event_type = held.event_type GROUP BY 1, 2"""
+    closed = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+    sessions_sql = f"""WITH k AS (SELECT user_id, ts, {key('event_type', 'tool:v1')} AS h FROM events),
+f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM k),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS number FROM f),
+b AS (SELECT user_id, h, min(ts) OVER w AS first, max(ts) OVER w + INTERVAL 6 HOUR AS last FROM n WINDOW w AS (PARTITION BY user_id, number)),
+s AS (SELECT user_id, strftime(first, '%Y-%m-%d %H:%M:%S.%f') AS "start", strftime(last, '%Y-%m-%d %H:%M:%S.%f') AS "end", h FROM b WHERE last < {closed})
+{sql.sparse_estimates('s', 'user_id, "start", "end"', 'h', PARTS)}"""
     of_type = f"SELECT event_type, count(*)::DOUBLE AS value FROM {bits('event_type')} GROUP BY 1"
     return {
         "bloom_probe_packed": first_days,
+        "stream_user_sessions": sessions_sql,
+        "stream_heavy_windows": f"SELECT strftime(ts, '%Y-%m-%d') AS day, sum(round(value * 100)::BIGINT)::BIGINT AS total_weight, 0::BIGINT AS outside_bounds, count(DISTINCT user_id)::BIGINT AS users FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY < {closed} GROUP BY 1",
         "sql_hll_users": users,
         "sql_bloom_probe": first_days,
         "sql_minhash_jaccard": jaccards,
