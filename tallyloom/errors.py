@@ -1,4 +1,19 @@
-"""What can go wrong, as exception classes; most are raised while a plan is built, before any job runs."""
+"""What can go wrong, as exception classes; most are raised while a plan is built, before any job runs.
+
+What only the rows can tell is raised by columns while a query runs, and reaches the driver as an error of Spark's; within
+``typed_errors()`` it is raised again as the class it stands for.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 class SketchError(ValueError):
@@ -51,3 +66,34 @@ class InvalidQueryModeError(SketchError):
 
 class WireError(SketchError):
     """The bytes are no canonical sketch."""
+
+
+def raised(kind: type[SketchError], text: str) -> Column:
+    """A column that fails the query with an error of this kind."""
+    return F.raise_error(F.lit(f"[{kind.__name__}] {text}"))
+
+
+def checked_sum(column: str) -> Column:
+    """The sum of a BIGINT column, which fails the query beyond 64 bits; 0 of no rows."""
+    total = F.try_sum(column)
+    return F.when(total.isNotNull(), total).when(F.count(column) > 0, raised(SketchOverflowError, f"the sum of {column.strip('_')}").cast("long")).otherwise(F.lit(0))
+
+
+def _classes(kind: type[SketchError] = SketchError) -> dict[str, type[SketchError]]:
+    found = {kind.__name__: kind}
+    for own in kind.__subclasses__():
+        found |= _classes(own)
+    return found
+
+
+@contextmanager
+def typed_errors() -> Iterator[None]:
+    """Errors that this library's columns and tasks raise inside a query come out as the classes above."""
+    try:
+        yield
+    except (PySparkException, Py4JJavaError) as e:
+        # As columns raise them, or as the last line of a worker's traceback.
+        for name, text in re.findall(r"(?:\[|\btallyloom\.errors\.)(\w+Error)(?:\]|:) ?([^\n]*)", str(e)):
+            if name in _classes():
+                raise _classes()[name](text) from e
+        raise

@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.errors import checked_sum
 from tallyloom.functions import u64
-from tallyloom.operators.frames import join_keys, named, require_mergeable, union
+from tallyloom.operators.frames import grouped_sets, join_keys, named, require_mergeable, union
 from tallyloom.profiles import BloomSpec
 
 BUCKET_BITS = 32768
@@ -44,6 +45,11 @@ class BloomFrame:
         """Merge over the keys that are left out."""
         return _combined(self.buckets.select(*keys, "_bucket", "_bitmap"), self.counts.select(*keys, "inserted_count"), keys, self.spec)
 
+    def grouping_sets(self, sets: list[list[str]]) -> BloomFrame:
+        """Merged over several sets of the keys at once, see ``grouped_sets``."""
+        parts = [grouped_sets(t, self.keys, sets) for t in (self.buckets, self.counts)]
+        return _combined(*parts, ["grouping_id", *self.keys], self.spec)
+
     def summary(self) -> DataFrame:
         """``keys, inserted_count, set_bit_count, false_positive_estimate``."""
         bits = self.buckets.groupBy(*self.keys).agg(F.sum(F.bitmap_count("_bitmap")).alias("set_bit_count"))
@@ -77,7 +83,7 @@ class BloomFrame:
 
 def _combined(buckets: DataFrame, counts: DataFrame, keys: list[str], spec: BloomSpec) -> BloomFrame:
     merged = buckets.groupBy(*keys, "_bucket").agg(F.bitmap_or_agg("_bitmap").alias("_bitmap"))
-    return BloomFrame(merged, counts.groupBy(*keys).agg(F.coalesce(F.sum("inserted_count"), F.lit(0)).alias("inserted_count")), keys, spec)
+    return BloomFrame(merged, counts.groupBy(*keys).agg(checked_sum("inserted_count").alias("inserted_count")), keys, spec)
 
 
 def bucket_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: BloomSpec) -> DataFrame:

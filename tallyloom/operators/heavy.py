@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.errors import InvalidQueryModeError
+from tallyloom.errors import InvalidQueryModeError, NegativeWeightError, checked_sum, raised
 from tallyloom.functions import u64
-from tallyloom.operators.counters import Counters
+from tallyloom.operators.counters import LARGEST, Counters
 from tallyloom.operators.frames import join_keys, named, require_mergeable, union
 from tallyloom.profiles import HeavySpec
 
@@ -116,11 +116,10 @@ def _first(summed: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 def _cut(residuals: DataFrame, totals: DataFrame, keys: list[str], spec: HeavySpec) -> HeavyFrame:
     """Sum by key, keep what lies above the weight ranked one past the last place."""
-    summed = residuals.groupBy(*keys, "_hash").agg(F.sum("_weight").alias("_weight")).where("_weight > 0")
+    summed = residuals.groupBy(*keys, "_hash").agg(checked_sum("_weight").alias("_weight")).where("_weight > 0")
     first = _first(summed, keys, spec.map_size)
     errors = first.where(F.col("_rank") == spec.map_size + 1).select(*keys, F.col("_weight").alias("_cut"))
-    none = F.lit(0).cast("long")  # the sums of no rows at all, which without keys are still a sketch
-    sums = totals.groupBy(*keys).agg(F.coalesce(F.sum("total_weight"), none).alias("total_weight"), F.coalesce(F.sum("max_error"), none).alias("_error"))
+    sums = totals.groupBy(*keys).agg(checked_sum("total_weight").alias("total_weight"), checked_sum("max_error").alias("_error"))
     sums = join_keys(sums, errors, keys, "left").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
     kept = join_keys(first, sums, keys).where("_weight > _cut")
     return HeavyFrame(
@@ -134,18 +133,24 @@ def _cut(residuals: DataFrame, totals: DataFrame, keys: list[str], spec: HeavySp
 def _weighed(df: DataFrame, keys: list[str], hashed: Column | str, weight: Column | str) -> DataFrame:
     """Rows with a weight; null hashes and weights add nothing, a negative weight fails the query."""
     w = named(weight).cast("long")
-    safe = F.when(w < 0, F.raise_error(F.lit("a weight is negative")).cast("long")).otherwise(w)
+    safe = F.when(w < 0, raised(NegativeWeightError, "a weight is negative").cast("long")).otherwise(w)
     return df.select(*keys, named(hashed).alias("_hash"), safe.alias("_weight")).where("_hash is not null and _weight is not null")
 
 
 def build(df: DataFrame, keys: list[str], hashed: Column | str, weight: Column | str, spec: HeavySpec) -> HeavyFrame:
     """Sketches from exact sums: one row for each key is shuffled, combined before."""
     rows = _weighed(df, keys, hashed, weight)
-    summed = rows.groupBy(*keys, "_hash").agg(F.sum("_weight").alias("_weight"))
-    totals = summed.groupBy(*keys).agg(F.sum("_weight").alias("total_weight"), F.lit(0).cast("long").alias("max_error"))
+    summed = rows.groupBy(*keys, "_hash").agg(checked_sum("_weight").alias("_weight"))
+    totals = summed.groupBy(*keys).agg(checked_sum("_weight").alias("total_weight"), F.lit(0).cast("long").alias("max_error"))
     return _cut(summed, totals, keys, spec)
 
 
+def summed(pdf: pd.DataFrame, by: list[str], weight: str) -> pd.Series:
+    """Weights by key; where 64 bits might not do, as Python's integers, so that an overflow is told and not wrapped."""
+    own = pdf[weight].astype(object) if len(pdf) * int(pdf[weight].max()) > LARGEST else pdf[weight]
+    return own.groupby([pdf[c] for c in by], dropna=False, sort=True).sum()
+
+
 def build_bounded(df: DataFrame, keys: list[str], hashed: Column | str, weight: Column | str, spec: HeavySpec, batch: int = 4096) -> HeavyFrame:
     """Sketches in one pass with bounded memory: each task keeps a map for each group, then they merge.
 
@@ -158,7 +163,7 @@ def build_bounded(df: DataFrame, keys: list[str], hashed: Column | str, weight:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups: dict[tuple, Counters] = {}
         for pdf in batches:
-            sums = pdf.groupby([*keys, "_hash"], dropna=False, sort=True)["_weight"].sum()
+            sums = summed(pdf, [*keys, "_hash"], "_weight")
             for index, w in sums.items():
                 index = index if isinstance(index, tuple) else (index,)
                 own = tuple(None if pd.isna(k) else k for k in index[:-1])

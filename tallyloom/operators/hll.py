@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import u64
-from tallyloom.operators.frames import join_keys, named, require_mergeable, union
+from tallyloom.operators.frames import grouped_sets, join_keys, named, require_mergeable, union
 from tallyloom.profiles import LINEAR_LIMITS, HllSpec
 
 SPARSE, DENSE = "HLLPP_SPARSE", "HLLPP_DENSE"
@@ -121,6 +121,11 @@ class HllFrame:
         """Merge over the keys that are left out."""
         return _settled(self.registers.select(*keys, "_dense", "_idx", "_rank"), keys, self.spec, None if self.groups is None else self.groups.select(*keys))
 
+    def grouping_sets(self, sets: list[list[str]]) -> HllFrame:
+        """Merged over several sets of the keys at once, see ``grouped_sets``."""
+        groups = None if self.groups is None else grouped_sets(self.groups.select(*self.keys), self.keys, sets)
+        return _settled(grouped_sets(self.registers, self.keys, sets), ["grouping_id", *self.keys], self.spec, groups)
+
     def grouped(self, *aggregates: Column) -> DataFrame:
         """``keys, _dense`` and the aggregates of every sketch's registers; those of an empty one are null."""
         if not self.keys:

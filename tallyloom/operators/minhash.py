@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
+from tallyloom.errors import checked_sum
 from tallyloom.functions import u64
-from tallyloom.operators.frames import join_keys, named, require_mergeable, union
+from tallyloom.operators.frames import grouped_sets, join_keys, named, require_mergeable, union
+from tallyloom.operators.parts import MinHashPart
 from tallyloom.profiles import MinHashSpec
 
 REPRESENTATION = "MINHASH_SIGNATURE"
@@ -32,6 +38,11 @@ class MinHashFrame:
         """Merge over the keys that are left out."""
         return _combined(self.minima.select(*keys, "_i", "_low"), self.counts.select(*keys, "populated_count"), keys, self.spec)
 
+    def grouping_sets(self, sets: list[list[str]]) -> MinHashFrame:
+        """Merged over several sets of the keys at once, see ``grouped_sets``."""
+        parts = [grouped_sets(t, self.keys, sets) for t in (self.minima, self.counts)]
+        return _combined(*parts, ["grouping_id", *self.keys], self.spec)
+
     def signatures(self) -> DataFrame:
         """``keys, populated_count, signature``: the minima in order, all ones where nothing was added."""
         ordered = F.array_sort(F.collect_list(F.struct("_i", "_low")))
@@ -59,7 +70,7 @@ def similarity(a: Column, b: Column, n_a: Column, n_b: Column, spec: MinHashSpec
 def _combined(minima: DataFrame, counts: DataFrame, keys: list[str], spec: MinHashSpec) -> MinHashFrame:
     low = u64.ordered(F.min(u64.ordered(F.col("_low"))))
     merged = minima.groupBy(*keys, "_i").agg(low.alias("_low"))
-    return MinHashFrame(merged, counts.groupBy(*keys).agg(F.coalesce(F.sum("populated_count"), F.lit(0)).alias("populated_count")), keys, spec)
+    return MinHashFrame(merged, counts.groupBy(*keys).agg(checked_sum("populated_count").alias("populated_count")), keys, spec)
 
 
 def minima_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: MinHashSpec) -> DataFrame:
@@ -70,8 +81,43 @@ def minima_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: MinH
     return each.groupBy(*keys, "_i").agg(u64.ordered(F.min(u64.ordered(F.col("_low")))).alias("_low"))
 
 
+#: Groups whose minima a task holds at once.
+HELD = 256
+
+
+def _partial(rows: DataFrame, keys: list[str], spec: MinHashSpec) -> DataFrame:
+    """``keys, populated_count, lows``: the minima of each task's rows, an array for each group that it has."""
+    schema = rows.select(*keys).schema.add("populated_count", LongType()).add("lows", ArrayType(LongType()))
+
+    def handed_on(held: dict[tuple, MinHashPart], types: list[pa.DataType]) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in held], t) for i, t in enumerate(types)]
+        lows = pa.array([p.low.view(np.int64).tolist() for p in held.values()], pa.list_(pa.int64()))
+        return pa.record_batch([*columns, pa.array([p.count for p in held.values()], pa.int64()), lows], names=[*keys, "populated_count", "lows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, MinHashPart] = {}
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            grouped = pa.Table.from_batches([batch]).group_by(keys, use_threads=False).aggregate([("_h", "list")])
+            owners = list(zip(*(grouped.column(k).to_pylist() for k in keys), strict=True)) if keys else [()]
+            for key, values in zip(owners, grouped.column("_h_list"), strict=True):
+                held.setdefault(key, MinHashPart(spec)).add(values.values.to_numpy().view(np.uint64))
+            if len(held) > HELD:
+                yield handed_on(held, types)
+                held = {}
+        if held:
+            yield handed_on(held, types)
+
+    return rows.select(*keys, "_h").mapInArrow(run, schema)
+
+
 def build(df: DataFrame, keys: list[str], hashed: Column | str, spec: MinHashSpec) -> MinHashFrame:
-    """Sketches of the hashes in ``hashed``: counted with repeats, then each distinct hash is spread once."""
-    rows = df.where(named(hashed).isNotNull()).select(*keys, named(hashed).alias("_h"))
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("populated_count"))
-    return MinHashFrame(minima_rows(rows.distinct(), keys, "_h", spec), counts, keys, spec)
+    """Sketches of the hashes in ``hashed``, counted with repeats.
+
+    Tasks reduce their rows to minima first, by arrays of hashes, so an array of ``k`` numbers is shuffled for each
+    task and group, however many rows and distinct hashes there are.  Null hashes add nothing.
+    """
+    rows = df.where(named(hashed).isNotNull()).select(*keys, named(hashed).cast("long").alias("_h"))
+    partial = _partial(rows, keys, spec)
+    return _combined(partial.select(*keys, F.posexplode("lows").alias("_i", "_low")), partial.select(*keys, "populated_count"), keys, spec)

@@ -402,6 +402,31 @@ def sketch_source(spark, sf_dir):
     return rounded(packed.parse(found, ["event_type"], USERS).estimate(), "estimate")
 
 
+# --- grouping sets -------------------------------------------------------------------------------------------------
+
+CUBE = [["event_type", "day"], ["event_type"], ["day"], []]
+
+
+def _daily(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+
+
+def hll_cube(spark, sf_dir):
+    """Distinct users by event type and day, by either, and of all, from one build."""
+    found = hll.build(_daily(spark, sf_dir), ["event_type", "day"], "h", USERS).grouping_sets(CUBE)
+    return rounded(found.estimate(), "estimate")
+
+
+def bloom_rollup(spark, sf_dir):
+    found = bloom.build(_daily(spark, sf_dir), ["event_type", "day"], "h", BLOOM_USERS).grouping_sets([CUBE[0], CUBE[1], CUBE[3]])
+    return found.summary().select("grouping_id", "event_type", "day", "inserted_count", "set_bit_count")
+
+
+def minhash_rollup(spark, sf_dir):
+    found = minhash.build(documents(spark, sf_dir), ["lang", "source"], "h", MIN_DOCS).grouping_sets([["lang"], ["source"], []])
+    return found.minima.select("grouping_id", "lang", "source", F.col("_i").alias("i"), u64.hex16(F.col("_low")).alias("low"))
+
+
 # --- names and empties -------------------------------------------------------------------------------------------
 
 
@@ -492,7 +517,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         heavy_bounds_lookup, heavy_top, heavy_topk_share, heavy_guarantees, bloom_set_bits, bloom_fpr, bloom_merge, bloom_probe_parts,
         bloom_probe_benchmark_in_docs, bloom_probe_packed, minhash_signature, minhash_merge, minhash_jaccard_types, wire_roundtrip_hll, wire_roundtrip_heavy,
         wire_roundtrip_bloom, wire_roundtrip_minhash, wire_rejects, incompatible_merge_rejected, stream_daily_users,
-        sql_hll_users, sql_bloom_probe, sql_minhash_jaccard, merge_unlike_cells, mixed_groups_refused, sketch_source, grouped_by_inner_names, minhash_empty, stream_user_sessions, stream_heavy_windows,
+        sql_hll_users, sql_bloom_probe, sql_minhash_jaccard, merge_unlike_cells, mixed_groups_refused, sketch_source, grouped_by_inner_names, minhash_empty, hll_cube, bloom_rollup, minhash_rollup, stream_user_sessions, stream_heavy_windows,
     )
 }
 
@@ -534,6 +559,14 @@ s AS (SELECT user_id, strftime(first, '%Y-%m-%d %H:%M:%S.%f') AS "start", strfti
         "bloom_probe_packed": first_days,
         "stream_user_sessions": sessions_sql,
         "stream_heavy_windows": f"SELECT strftime(ts, '%Y-%m-%d') AS day, sum(round(value * 100)::BIGINT)::BIGINT AS total_weight, 0::BIGINT AS outside_bounds, count(DISTINCT user_id)::BIGINT AS users FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY < {closed} GROUP BY 1",
+        "hll_cube": f"""WITH {ev}, r AS ({sql.sparse_registers("(SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM e)", 'event_type, day', 'h', USERS)})
+SELECT grouping(event_type, day)::BIGINT AS grouping_id, event_type, day, round({sql.linear(1 << USERS.sp, 'count(DISTINCT idx)')}, 6) AS estimate FROM r GROUP BY CUBE (event_type, day)""",
+        "bloom_rollup": f"""WITH {ev}, d AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM e), b AS ({sql.bloom_positions('(SELECT DISTINCT event_type, day, h FROM d)', 'event_type, day', 'h', BLOOM_USERS)}),
+n AS (SELECT grouping(event_type, day)::BIGINT AS grouping_id, event_type, day, count(*)::BIGINT AS inserted_count FROM d GROUP BY ROLLUP (event_type, day)),
+s AS (SELECT grouping(event_type, day)::BIGINT AS grouping_id, event_type, day, count(DISTINCT position)::BIGINT AS set_bit_count FROM b GROUP BY ROLLUP (event_type, day))
+SELECT n.*, set_bit_count FROM n JOIN s ON n.grouping_id = s.grouping_id AND n.event_type IS NOT DISTINCT FROM s.event_type AND n.day IS NOT DISTINCT FROM s.day""",
+        "minhash_rollup": f"""WITH {docs}, m AS ({sql.minhash_minima('d0', 'lang, source', 'h', MIN_DOCS)})
+SELECT grouping(lang, source)::BIGINT AS grouping_id, lang, source, i, {sql.hex16('min(low)')} AS low FROM m GROUP BY GROUPING SETS ((lang, i), (source, i), (i))""",
         "sql_hll_users": users,
         "sql_bloom_probe": first_days,
         "sql_minhash_jaccard": jaccards,

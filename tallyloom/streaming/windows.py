@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tallyloom.errors import NegativeWeightError, raised
 from tallyloom.operators import bloom, heavy, hll, minhash
 from tallyloom.operators.frames import named
 from tallyloom.profiles import BloomSpec, HeavySpec, HllSpec, MinHashSpec
@@ -78,7 +79,7 @@ class HeavyProcessor(StatefulProcessor):
         for pdf in rows:
             if not len(pdf):  # a batch of timers alone comes as a frame without columns
                 continue
-            for h, w in pdf.groupby("hash_", sort=True)["weight_"].sum().items():
+            for h, w in heavy.summed(pdf, ["hash_"], "weight_").items():
                 counters.add(int(h), int(w))
             end_ms = int(pdf["end_ms_"].iloc[0]) if self.windowed else None
         if not counters.total and not before:
@@ -135,7 +136,7 @@ def heavy_items_by_window(events: DataFrame, keys: list[str], hashed: Column | s
     placed = events.select("*", F.unix_micros("window.start").alias("_start_us"), F.unix_millis("window.end").alias("end_ms_"))
     own = ["_start_us", *keys]
     w = named(weight).cast("long")
-    safe = F.when(w < 0, F.raise_error(F.lit("a weight is negative")).cast("long")).otherwise(w)
+    safe = F.when(w < 0, raised(NegativeWeightError, "a weight is negative").cast("long")).otherwise(w)
     rows = placed.select(*own, time, "end_ms_", named(hashed).alias("hash_"), safe.alias("weight_")).where("hash_ is not null and weight_ is not null")
     found = rows.groupBy(*own).transformWithStateInPandas(HeavyProcessor(spec, own, True), f"{_typed(rows, own)}, {ITEMS}", "Append", "EventTime")
     return found.select(F.timestamp_micros("_start_us").alias("window_start"), *keys, "hash", "estimate", "max_error", "total_weight")

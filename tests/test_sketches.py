@@ -229,3 +229,74 @@ def test_verdicts_tell_rows_apart(spark):
 def test_negative_weights_are_refused():
     with pytest.raises(errors.NegativeWeightError):
         heavy.Counters(4).add(1, -1)
+
+
+def test_errors_inside_queries(spark):
+    largest = (1 << 63) - 1
+    spec = HeavySpec("micro")
+    cases = [
+        (errors.NegativeWeightError, lambda: heavy.build(spark.createDataFrame([(1, -1)], "h long, w long"), [], "h", "w", spec).totals),
+        (errors.SketchOverflowError, lambda: heavy.build(spark.createDataFrame([(1, largest), (2, 1)], "h long, w long"), [], "h", "w", spec).totals),
+        (errors.SketchOverflowError, lambda: heavy.build(spark.createDataFrame([(1, largest), (1, 1)], "h long, w long"), [], "h", "w", spec).items()),
+        (errors.SketchOverflowError, lambda: heavy.build_bounded(spark.createDataFrame([(1, largest), (1, 1)], "h long, w long").coalesce(1), [], "h", "w", spec).totals),
+    ]
+    for kind, state in ((BloomSpec("micro"), wire.BloomState(b"\0" * 17_972, largest)), (MinHashSpec("micro"), wire.MinHashState([1] * 64, largest))):
+        cells = spark.createDataFrame([(bytearray(wire.encode(kind, state)),)] * 2, "sketch binary")
+        cases.append((errors.SketchOverflowError, lambda cells=cells, kind=kind: packed.parse(cells, [], kind).counts))
+    cells = spark.createDataFrame([(bytearray(b"no sketch"),)], "sketch binary")
+    cases.append((errors.WireError, lambda: packed.parse(cells, [], MICRO).registers))
+    for kind, make in cases:
+        with pytest.raises(kind), errors.typed_errors():
+            make().collect()
+    with pytest.raises(ZeroDivisionError), errors.typed_errors():
+        raise ZeroDivisionError
+
+
+def test_cells_of_several_kinds(spark):
+    some = hashes(spark, splitmix(1, 300)).withColumn("g", F.when(F.col("h") % 2 == 0, "a"))
+    frames = [hll.build(some, ["g"], "h", MICRO), minhash.build(some, ["g"], "h", MinHashSpec("micro")), bloom.build(some, ["g"], "h", BloomSpec("micro"))]
+    cells = packed.pack(frames[0]).unionByName(packed.pack(frames[1])).unionByName(packed.pack(frames[2]))
+    twice = cells.unionByName(cells).unionByName(cells.select("g", F.lit(None).cast("binary").alias("sketch")))
+    key = lambda rows: {(r["g"], r["sketch"][:8].hex(), len(r["sketch"])) for r in rows}
+    merged = packed.merge_cells(twice, ["g"]).collect()
+    assert len(merged) == 6 and {(r["g"], r["kind"], r["profile"], r["domain"]) for r in merged} == {(g, k, "micro", "prompt:v1") for g in ("a", None) for k in ("hll", "minhash", "bloom")}
+    assert {bytes(r["sketch"]) for r in merged if r["kind"] == "hll"} == {bytes(r["sketch"]) for r in packed.pack(frames[0]).collect()} and key(merged)
+    other = packed.pack(hll.build(some, ["g"], "h", HllSpec("small")))
+    mixed = cells.unionByName(other.where("g = 'a'"))
+    assert [tuple(r) for r in packed.mixed_groups(mixed, ["g"]).collect()] == [("a", "hll", ["micro prompt:v1", "small prompt:v1"])]
+    with pytest.raises(errors.IncompatibleMergeError):
+        packed.merge_cells(mixed, ["g"])
+    assert packed.merge_cells(mixed, ["g"], apart=True).count() == 7
+    assert packed.merge_cells(cells.where("false"), ["g"]).count() == 0
+
+
+def test_sketch_source(spark, tmp_path):
+    import json
+    import os
+
+    from tallyloom.sources.datasource import register_source
+
+    register_source(spark)
+    path = str(tmp_path / "cells")
+    some = hashes(spark, splitmix(2, 400)).withColumn("g", (F.col("h") % 7).cast("string"))
+    cells = packed.pack(hll.build(some, ["g"], "h", MICRO)).repartition(3)
+    more = packed.pack(minhash.build(some, ["g"], "h", MinHashSpec("micro")))
+    cells.write.format("sketch").mode("append").save(path)
+    more.write.format("sketch").mode("append").save(path)
+    rows = lambda df: sorted((r["g"], bytes(r["sketch"])) for r in df.collect())
+    read = spark.read.format("sketch")
+    assert rows(read.load(path)) == sorted(rows(cells) + rows(more))
+    assert rows(spark.read.format("sketch").option("kind", "minhash").load(path)) == rows(more)
+    assert spark.read.format("sketch").option("profile", "default").load(path).count() == 0
+    manifest = json.loads((tmp_path / "cells" / "manifest.json").read_text())
+    assert sum(s["rows"] for s in manifest["shards"]) == cells.count() + more.count()
+    bad = cells.unionByName(spark.createDataFrame([("x", bytearray(b"no sketch"))], "g string, sketch binary"))
+    with pytest.raises(errors.WireError), errors.typed_errors():
+        bad.write.format("sketch").mode("append").save(path)
+    assert json.loads((tmp_path / "cells" / "manifest.json").read_text()) == manifest and read.load(path).count() == cells.count() + more.count()
+    with pytest.raises(Exception, match="other columns"):
+        cells.withColumn("more", F.lit(1)).write.format("sketch").mode("append").save(path)
+    cells.limit(2).write.format("sketch").mode("overwrite").save(path)
+    assert read.load(path).count() == 2
+    listed = {s["file"] for s in json.loads((tmp_path / "cells" / "manifest.json").read_text())["shards"]}
+    assert listed <= set(os.listdir(path))
