@@ -26,6 +26,8 @@ Q, BUDGET = 10, 0.06
 BLOCK_CHARS = 4_000_000
 #: Characters of text that are counted together, and slots of the first, hashed count.
 PIECE_CHARS, SLOTS = 400_000, 1 << 20
+#: Pairs of equal q-grams that are held at once.
+HITS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id string, item_id string, start long, end long, edits int"
 
@@ -98,6 +100,26 @@ class Index:
         return Index([i for i, _ in kept], items, q, edits, m - q + 1 - q * edits, distinct, np.r_[first, len(order)], owner[order], at[order], bitmap, short)
 
 
+def _hits(where: np.ndarray, place: np.ndarray, index: Index, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Item, band and slot of every pair of equal q-grams of text and items, ``HITS`` pairs at a time or little more.
+
+    A q-gram that repeats in the text and in an item makes pairs as the product of both, so they are never held
+    all at once.
+    """
+    each = index.first[place + 1] - index.first[place]
+    ends = np.cumsum(each)
+    start = 0
+    while start < len(where):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + HITS, "right")))
+        own, some = slice(start, stop), each[start:stop]
+        entry = np.repeat(index.first[place[own]] - np.r_[0, np.cumsum(some)[:-1]], some) + np.arange(some.sum())
+        item = index.owner[entry]
+        band = (np.repeat(where[own], some) - index.at[entry] + longest) // (index.edits[item] + 1)
+        yield item, band, (item * 1_000_003 + band) & (SLOTS - 1)
+        start = stop
+
+
 def candidate_bands(symbols: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
     """Item, first and last diagonal of every band whose shared q-grams reach the bound."""
     grams = gram_hashes(symbols, index.q)
@@ -108,16 +130,15 @@ def candidate_bands(symbols: np.ndarray, index: Index) -> list[tuple[int, int, i
     where, place = where[same], place[same]
     if not len(where):
         return []
-    each = index.first[place + 1] - index.first[place]
-    entry = np.repeat(index.first[place] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())
-    item = index.owner[entry]
     longest = max(map(len, index.items))
-    band = (np.repeat(where, each) - index.at[entry] + longest) // (index.edits[item] + 1)
-    slot = (item * 1_000_003 + band) & (SLOTS - 1)
-    count = np.bincount(slot, minlength=SLOTS)
-    likely = count[slot] + np.maximum(count[slot - 1], count[(slot + 1) & (SLOTS - 1)]) >= index.least[item]
-    keys, n = np.unique((item[likely] << 40) + band[likely], return_counts=True)
-    found = dict(zip(keys.tolist(), n.tolist(), strict=True))
+    count = np.zeros(SLOTS, np.int64)
+    for _, _, slot in _hits(where, place, index, longest):
+        count += np.bincount(slot, minlength=SLOTS)
+    found: dict[int, int] = {}
+    for item, band, slot in _hits(where, place, index, longest):
+        likely = count[slot] + np.maximum(count[slot - 1], count[(slot + 1) & (SLOTS - 1)]) >= index.least[item]
+        for key, n in zip(*map(np.ndarray.tolist, np.unique((item[likely] << 40) + band[likely], return_counts=True)), strict=True):
+            found[key] = found.get(key, 0) + n
     out = []
     for key, own in found.items():
         item_no, b = key >> 40, key & ((1 << 40) - 1)

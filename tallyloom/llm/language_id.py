@@ -133,14 +133,14 @@ def _counted(sample: DataFrame) -> DataFrame:
 def learn_trees(docs: DataFrame, *, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, most_nodes: int = MOST_NODES) -> Trees:
     """Context trees of every non-null value of ``lang``.
 
-    Counting takes about ``sample_rows`` rows of each language at most, chosen by a hash of the id, with
-    their whole texts; of a language's nodes the ``most_nodes`` most frequent are kept, which bounds the
+    Counting takes about ``sample_rows`` rows of each language at most, chosen by a hash of id and text, with
+    their whole texts; repeated rows count once there; of a language's nodes the ``most_nodes`` most frequent are kept, which bounds the
     model.  What a rarer node would have coded takes an escape and a shorter context instead.  No language
     loses nodes to another, and one without any letter in its sample has none and is never predicted.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null")
-    counts = _counted(thinned(rows, ["lang"], "doc_id", sample_rows).select("text", "lang"))
+    counts = _counted(thinned(rows, ["lang"], ["doc_id", "text"], sample_rows).select("text", "lang"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "context", "symbol")  # of a bounded sample
     frequent = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_nodes).collect()
     found = [(r["lang"], bytes(r["context"]), r["symbol"], r["n"]) for r in frequent]

@@ -183,10 +183,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, label: str, doc_id: str
     """
     bounded_batches(docs.sparkSession)
     rows = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    chosen = F.broadcast(stored(thinned(rows, ["label"], "doc_id", sample_rows), "toxic-labels"))
+    chosen = F.broadcast(stored(thinned(rows, ["label"], ["doc_id"], sample_rows), "toxic-labels"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sample = stored(texts.join(chosen, "doc_id").select("text", "label"), "toxic-sample")
-    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = lambda: {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sizes()
+    if max(n.values(), default=0) > sample_rows:  # many texts share an id
+        whole, sample = sample, stored(thinned(sample, ["label"], ["text"], sample_rows), "toxic-sample")
+        discard(whole)
+        n = sizes()
     if len(n) < 2:
         return Lexicon({})
     weight = F.log((F.col("toxic_use") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean_use") + 0.5) / (n[0] + 1.0))

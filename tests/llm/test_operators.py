@@ -484,3 +484,32 @@ def test_large_ids_beside_null_ones(spark):
         assert sorted(str(r["doc_id"]) for r in result.select("doc_id").collect()) == expected, name
     hits = decontamination.contaminated(table, items).select("doc_id", "item_id").collect()
     assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in hits) == sorted((i, j) for i in expected for j in (str(2**60 + 7), "None"))
+
+
+# --- learning on rows whose ids say nothing, and repetitive texts ----------------------------------------------
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 5, lambda i: i if i % 3 else None])
+def test_learning_with_null_and_equal_ids(spark, ids):
+    rng = np.random.default_rng(3)
+    pools = {"xx": "kalo mira tuve sano peli", "yy": "brugt skov hjem vand stol"}
+    rows = [(ids(i), " ".join(rng.choice(pools[g].split(), 6)) + f" {i}", g) for i, g in enumerate(("xx", "yy") * 300)]
+    rows += [(ids(i), "kalo mira kalo", "xx") for i in range(0, 300, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language_id.learn_trees(df, sample_rows=40)
+    assert trees.languages == ["xx", "yy"]
+    found = language_id.predict(df, trees).join(df.select("text", "lang").distinct().withColumnRenamed("text", "t"), F.lit(False), "left").select("lang_pred").collect()
+    assert Counter(r["lang_pred"] for r in found) == Counter(g for *_, g in rows)
+    labels = spark.createDataFrame([(ids(i), int(i % 2)) for i in range(600)] + [(5, 0), (5, 1)], "doc_id long, toxic int")
+    docs_ = spark.createDataFrame([(5, ("vilebad " if i % 2 else "nice ") + f"w{i} some words here", None) for i in range(500)], "doc_id long, text string, lang string")
+    lexicon = toxicity.learn_lexicon(docs_, labels, label="toxic", sample_rows=50)
+    assert toxicity.score_texts(docs_, lexicon).count() == 500
+
+
+def test_repetitive_texts_are_compared_in_slices(monkeypatch):
+    index = decontamination.Index.of(["1", "2"], ["a " * 60, "the quick brown fox jumps over it"], decontamination.Q, decontamination.BUDGET)
+    texts = ["a " * 700 + "the quick brown fox jumps over it " + "a " * 50, "a " * 59, "a " * 60, "b " * 400]
+    whole = [decontamination.found_in(decontamination.normalised(t), index) for t in texts]
+    assert [sorted(f) for f in whole] == [[0, 1], [0], [0], []]
+    monkeypatch.setattr(decontamination, "HITS", 100)
+    assert [decontamination.found_in(decontamination.normalised(t), index) for t in texts] == whole
