@@ -99,10 +99,14 @@ def _partial(rows: DataFrame, keys: list[str], spec: MinHashSpec) -> DataFrame:
         types: list[pa.DataType] = []
         for batch in batches:
             types = [batch.schema.field(k).type for k in keys]
-            grouped = pa.Table.from_batches([batch]).group_by(keys, use_threads=False).aggregate([("_h", "list")])
-            owners = list(zip(*(grouped.column(k).to_pylist() for k in keys), strict=True)) if keys else [()]
-            for key, values in zip(owners, grouped.column("_h_list"), strict=True):
-                held.setdefault(key, MinHashPart(spec)).add(values.values.to_numpy().view(np.uint64))
+            if keys:
+                grouped = pa.Table.from_batches([batch]).group_by(keys, use_threads=False).aggregate([("_h", "list")])
+                owners = zip(*(grouped.column(k).to_pylist() for k in keys), strict=True)
+                each = [(key, values.values) for key, values in zip(owners, grouped.column("_h_list"), strict=True)]
+            else:
+                each = [((), batch.column("_h"))]
+            for key, values in each:
+                held.setdefault(key, MinHashPart(spec)).add(values.to_numpy().view(np.uint64))
             if len(held) > HELD:
                 yield handed_on(held, types)
                 held = {}
