@@ -4,6 +4,7 @@ Each pass hashes every vector with random hyperplanes, sorts all by the concaten
 with a bounded window of neighbours in that order: first by how many bits differ, then, for the few pairs left,
 by the exact cosine.  Verified pairs are joined over the passes into components.  Inside a component every link
 is then counted exactly, so that a crowd larger than the window loses none: links never leave a component.
+Loose crowds, whose vectors are near each other but seldom linked, are compared whole.
 
 Only hashes and node numbers travel and are sorted; vectors are fetched for candidates alone.  The number of
 passes grows with the logarithm of the number of vectors, so that a lone pair at the threshold is missed no more
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import bounded_batches, discard, overlapping_blocks, stored, with_rank
@@ -31,6 +32,8 @@ PASSES, MISSED = 16, 1e-3
 FIRST_PASSES = 4
 #: Neighbours that are compared in one task, beside the window around them.
 BLOCK = 8192
+#: Ranks of a pass that are compared with each other at once where vectors crowd; a part of ``BLOCK``.
+CHUNK = 1024
 #: Components of more distinct vectors than this are counted by blocks of at most this many.
 CROWD = 512
 SEED = 11
@@ -69,8 +72,7 @@ def _keyed(classes: DataFrame, passes: int) -> DataFrame:
 
 def _window_pairs(ranked: DataFrame, threshold: float, window: int) -> DataFrame:
     """``u, v``, once each, of neighbours in a window whose bits differ little; rows of one ``component`` are no pairs."""
-    share = math.acos(threshold) / math.pi
-    far = math.ceil(BITS * share + 4 * math.sqrt(BITS * share * (1 - share)))
+    far = _farthest(threshold)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
@@ -100,6 +102,84 @@ def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return stored(both.select("u", "v", "a", "b").mapInPandas(run, "u long, v long"), "vector-links")
 
 
+def _farthest(threshold: float) -> int:
+    """Bits by which the hashes of a pair at the threshold differ, but for one in many thousands."""
+    share = math.acos(threshold) / math.pi
+    return math.ceil(BITS * share + 4 * math.sqrt(BITS * share * (1 - share)))
+
+
+def _crowded_chunks(placed: DataFrame, threshold: float, window: int) -> DataFrame:
+    """``pass, dim, chunk, last``, stored: stretches of a pass where windows are full of near hashes and still not enough.
+
+    A window is full if even its last neighbour may be near, and belongs to another component.  Neighbouring
+    chunks of ``CHUNK`` ranks with such windows are one stretch, which ends with the chunk ``last``.
+    """
+    far = _farthest(threshold)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        bits, part = pdf["bits"].to_numpy(np.int64).view(np.uint64), pdf["component"].to_numpy(np.int64)
+        order = pdf["dim"].to_numpy(np.int64) << 32 | pdf["pass"].to_numpy(np.int64)
+        full = np.zeros(len(pdf), bool)
+        if len(pdf) > window:
+            full[window:] = (np.bitwise_count(bits[:-window] ^ bits[window:]) <= far) & (order[:-window] == order[window:]) & (part[:-window] != part[window:])
+        own = pdf.assign(full=full)[full & pdf["own"].to_numpy(bool)]
+        counted = own.assign(chunk=own["rank"] // CHUNK).groupby(["pass", "dim", "chunk"], as_index=False)["full"].sum()
+        return counted.astype({"full": "int64"})
+
+    counted = overlapping_blocks(placed, BLOCK, window).groupBy("block").applyInPandas(run, "pass int, dim int, chunk long, full long")
+    chunks = counted.groupBy("pass", "dim", "chunk").agg(F.sum("full").alias("full")).where(F.col("full") >= window)
+    within = Window.partitionBy("pass", "dim")  # a row for each chunk
+    stretch = F.col("chunk") - F.row_number().over(within.orderBy("chunk"))
+    stretches = chunks.withColumn("stretch", stretch).withColumn("last", F.max("chunk").over(Window.partitionBy("pass", "dim", "stretch")))
+    return stored(stretches.select("pass", "dim", "chunk", "last"), "crowded-chunks")
+
+
+def _crowd_links(placed: DataFrame, crowded: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """``u, v``, stored: components joined by a link between vectors of one stretch of one pass, all pairs of it compared."""
+    rows = placed.withColumn("chunk", F.floor(F.col("rank") / CHUNK).cast("long")).join(crowded, ["pass", "dim", "chunk"])
+    rows = rows.join(classes.select("node", "vector"), "node").select("pass", "dim", "chunk", "last", "component", "vector")
+    left = rows.withColumn("other", F.explode(F.sequence("chunk", "last"))).drop("last")
+    reach = crowded.select("pass", "dim", F.col("chunk").alias("first"), F.explode(F.sequence("chunk", "last")).alias("chunk"))
+    right = rows.drop("last").join(reach, ["pass", "dim", "chunk"])
+    right = right.select(*[F.col(c).alias(f"m_{c}") for c in right.columns])
+
+    def run(queries: pd.DataFrame, all_of: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(all_of):
+            return pd.DataFrame({"u": [], "v": []}).astype("int64")
+        linked = _unit(queries["vector"]) @ _unit(all_of["m_vector"]).T >= threshold
+        a, b = queries["component"].to_numpy(np.int64), all_of["m_component"].to_numpy(np.int64)
+        linked &= a[:, None] != b[None, :]
+        i, j = np.nonzero(linked)
+        return pd.DataFrame({"u": np.minimum(a[i], b[j]), "v": np.maximum(a[i], b[j])}).drop_duplicates()
+
+    pairs = left.groupBy("pass", "dim", "chunk", "other").cogroup(right.groupBy("m_pass", "m_dim", "m_first", "m_chunk"))
+    return stored(pairs.applyInPandas(run, "u long, v long").distinct(), "crowd-links")
+
+
+def _joined_crowds(ranked: DataFrame, found: DataFrame, classes: DataFrame, threshold: float, passes: int, window: int) -> DataFrame:
+    """``node, component``, stored, with the components of crowds joined that bounded windows left apart.
+
+    Where vectors crowd without linking, a window sees too few of the many that are near, so there whole stretches are
+    compared, a pass after the other until one joins nothing new.  That costs the square of a crowd, and is spent on
+    crowds of many components only: near copies are one component by then.
+    """
+    for p in range(passes):
+        placed = ranked.where(F.col("pass") == p).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = stored(placed, "crowd-pass")
+        crowded = _crowded_chunks(placed, threshold, window)
+        links = _crowd_links(placed, crowded, classes, threshold) if not crowded.isEmpty() else None
+        done = links is None or links.isEmpty()
+        if not done:
+            own = found.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v")
+            last, found = found, components(own.unionByName(links), "u", "v")
+            discard(last)
+        discard(placed, crowded, *([links] if links is not None else []))
+        if done:
+            break
+    return found
+
+
 def _components(classes: DataFrame, threshold: float, passes: int, window: int) -> DataFrame:
     """``node, component``, stored, over the links that the passes find."""
     ranked = with_rank(_keyed(classes, passes), ["dim", "pass", "bits", "node"])
@@ -109,7 +189,9 @@ def _components(classes: DataFrame, threshold: float, passes: int, window: int)
     placed = ranked.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = _verified(_window_pairs(placed, threshold, window), classes, threshold)
     whole = components(links.unionByName(more), "u", "v")
-    discard(ranked, links, found, more)
+    discard(links, found, more)
+    whole = _joined_crowds(ranked, whole, classes, threshold, passes, window)
+    discard(ranked)
     return whole
 
 
@@ -180,7 +262,8 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     is the smallest id reachable by links, the row's own included, ``kept`` says that it is the row's own.
 
     ``passes`` follows from the number of vectors by default.  Links of sparse vectors are found with the
-    probability stated above, more often the closer they are; inside a component none is lost.
+    probability stated above, more often the closer they are; inside a component none is lost, and where windows are
+    full of vectors that are near but not linked, whole stretches of the order are compared.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, and
     vectors of different lengths don't link.  Equal vectors count as so many rows but are compared once.

@@ -513,3 +513,30 @@ def test_repetitive_texts_are_compared_in_slices(monkeypatch):
     assert [sorted(f) for f in whole] == [[0, 1], [0], [0], []]
     monkeypatch.setattr(decontamination, "HITS", 100)
     assert [decontamination.found_in(decontamination.normalised(t), index) for t in texts] == whole
+
+
+@pytest.mark.parametrize(("cosine", "beside"), [(0.92, 0), (0.91, 900)])
+def test_loose_crowds_lose_no_links(spark, cosine, beside):
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centre, n, dims = unit(rng.standard_normal((1, 64))), 1300, 64
+    crowd = unit(np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * unit(rng.standard_normal((n, dims))))
+    x = np.r_[crowd, unit(rng.standard_normal((beside, dims)))] if beside else crowd
+    linked = x @ x.T >= embedding_dedup.THRESHOLD
+    np.fill_diagonal(linked, False)
+    parent = list(range(len(x)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = sorted((root(int(i)), root(int(j))))
+        parent[b] = a
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = embedding_dedup.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
+    assert linked.sum() > 200
+    assert found["n_links"].tolist() == linked.sum(1).tolist()
+    assert found["component_id"].tolist() == [root(i) for i in range(len(x))]
