@@ -10,6 +10,7 @@ like go even if the neighbour differs there, and lines of an article stay even i
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
@@ -102,8 +103,13 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()  # names in the stack, so that a tag that closes nothing looks for nothing
     kind, at, end = OPEN, 0, len(html)
 
+    def close_from(k: int) -> None:
+        opened.subtract(x for x, _ in stack[k:])
+        del stack[k:]
+
     def flush() -> None:
         if held:
             if line := " ".join(unescape("".join(held)).split()):
@@ -126,12 +132,12 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
         if not inline:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
                     if kind != stack[k][1]:
                         flush()
                     kind = stack[k][1]
-                    del stack[k:]
+                    close_from(k)
                     break
                 if inline and stack[k][0] not in INLINE:
                     break  # it closes nothing of this block
@@ -147,7 +153,7 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
             for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
                 if stack[k][0] in ended:
                     kind = stack[k][1]
-                    del stack[k:]
+                    close_from(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
@@ -155,6 +161,7 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
         if inner != kind:
             flush()
         stack.append((name, kind))
+        opened[name] += 1
         kind = inner
     flush()
     return out
