@@ -16,6 +16,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -30,7 +31,7 @@ CACHE_PIECES = 300_000
 #: Pieces encoded in one call, and how a byte-level vocabulary writes a blank.
 GROUP, BLANK = 64, "\u0120"
 #: Characters of text that are cut into pieces at once; a longer text is cut alone.
-SLICE_CHARS = 500_000
+SLICE_CHARS = 4_000_000
 
 MANIFEST = "part int, path string, index_path string, n_docs long, n_tokens long"
 
@@ -73,30 +74,42 @@ class PieceEncoder:
             out += [raw[a * size : b * size] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
         return out
 
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The encoding of each of distinct pieces with a blank before it; empty where a piece has none of its own."""
+        found = list(map(self.pieces.get, pieces))
+        wanted = [w for w, b in zip(pieces, found, strict=True) if b is None]
+        plain = [w for w in wanted if w and not w[0].isspace()]
+        fresh = dict.fromkeys(wanted, b"") | dict(zip(plain, self._encode_pieces(plain), strict=True))
+        if len(self.pieces) + len(fresh) <= CACHE_PIECES:
+            self.pieces.update(fresh)
+        return [fresh[w] if b is None else b for w, b in zip(pieces, found, strict=True)]
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_pieces:
             return [np.frombuffer(b, self.dtype) for b in self._encode(texts)]
-        cut = [t.split(" ") for t in texts]
-        found = [list(map(self.pieces.get, c)) for c in cut]  # the first piece of a text has no blank ahead
-        wanted: set[str] = set()
-        for c, own in zip(cut, found, strict=True):
-            own[0] = b"-"
-            if None in own:
-                wanted.update(w for w, b in zip(c, own, strict=True) if b is None)
-        if wanted:
-            plain = [w for w in wanted if w and not w[0].isspace()]
-            fresh = dict.fromkeys(wanted, b"") | dict(zip(plain, self._encode_pieces(plain), strict=True))
-            for c, own in zip(cut, found, strict=True):
-                if None in own:
-                    own[:] = [fresh[w] if b is None else b for w, b in zip(c, own, strict=True)]
-            if len(self.pieces) + len(fresh) <= CACHE_PIECES:
-                self.pieces.update(fresh)
-        out = []
-        for head, own, text in zip(self._encode([c[0] for c in cut]), found, texts, strict=True):
-            own[0] = head
-            # An empty encoding is that of a piece that has none of its own; that of an empty text is right.
-            out += self._encode([text]) if b"" in own[1:] else [b"".join(own)]
-        return [np.frombuffer(b, self.dtype) for b in out]
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        firsts = cut.offsets.to_numpy()
+        distinct = pc.dictionary_encode(cut.flatten())
+        blobs = self._known(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which = distinct.indices.to_numpy().astype(np.int64)
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        lacking = (sizes == 0)[which]
+        # The first piece of a text has no blank ahead, so it is encoded as the text's own.
+        lacking[firsts[:-1]] = False
+        which[firsts[:-1]] = len(blobs) + np.arange(len(texts))
+        heads = self._encode([t[: k if (k := t.find(" ")) >= 0 else len(t)] for t in texts])
+        sizes = np.r_[sizes, np.fromiter(map(len, heads), np.int64, len(heads))] // self.dtype.itemsize
+        ids, starts = np.frombuffer(b"".join(blobs + heads), self.dtype), np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        whole = ids[np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        bounds = np.r_[0, ends[firsts[1:] - 1]].tolist()
+        out = [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for k in np.flatnonzero(np.logical_or.reduceat(lacking, firsts[:-1])).tolist():
+            out[k] = np.frombuffer(self._encode([texts[k]])[0], self.dtype)
+        return out
 
 
 def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
