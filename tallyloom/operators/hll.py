@@ -163,7 +163,7 @@ class HllFrame:
         return self.registers.where("not _dense").select(*self.keys, F.col("_idx").alias("idx"), F.col("_rank").alias("rank"))
 
     def dense_registers(self) -> DataFrame:
-        return self.registers.where("_dense").select(*self.keys, "_idx", "_rank")
+        return self.registers.where("_dense").select(*self.keys, F.col("_idx").alias("idx"), F.col("_rank").alias("rank"))
 
 
 def _settled(rows: DataFrame, keys: list[str], spec: HllSpec, groups: DataFrame | None = None) -> HllFrame:
