@@ -114,7 +114,7 @@ def small_keys(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def thinned(rows: DataFrame, by: list[str], key: list[str], each: int) -> DataFrame:
+def thinned(rows: DataFrame, by: list[str], key: str | list[str], each: int) -> DataFrame:
     """A sample of ``each`` rows for every value of ``by``, all of them if there are no more: those of the
     smallest hashes of the columns ``key``, and so the same in every run.  Rows that agree in ``key`` count as one.
 
@@ -122,7 +122,7 @@ def thinned(rows: DataFrame, by: list[str], key: list[str], each: int) -> DataFr
     are wanted, so what is ranked is bounded however frequent a value is.  Null equals null in ``by``.
     """
     same = lambda c: F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    hashed = rows.withColumn("_hash", F.xxhash64(*key, F.lit(23)))
+    hashed = rows.withColumn("_hash", F.xxhash64(*([key] if isinstance(key, str) else key), F.lit(23)))
     distinct = hashed.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_hash").distinct()
     sizes = small_table(stored(distinct.groupBy(*[f"_by_{c}" for c in by]).agg(F.count(F.lit(1)).alias("_n")), "label-sizes"))
     top = F.lit(2.0**63) * (F.least(F.lit(1.0), F.lit(2.0 * each + 50) / F.col("_n")) * 2 - 1)
