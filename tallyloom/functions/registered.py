@@ -8,6 +8,9 @@ All columns of the table but ``hash`` (and ``weight``) are keys.  Without ``PART
 sketches of its own rows, so nothing is shuffled but sketches: a hot key, which ``PARTITION BY`` would put in
 one task, is split that way, and ``sketch_merge(TABLE(...) PARTITION BY key)`` puts the parts together.  A
 task holds ``HELD`` sketches at most and hands on what it has when there are more keys.
+
+``sketch_hll`` and ``sketch_merge`` take ``keep_sparse => true``: distinct counts then keep sparse registers however many, in
+several cells a key, which ``sketch_estimate_all(collect_list(sketch))`` counts together.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from tallyloom.functions import u64
 from tallyloom.functions.canonical import canonical_text
 from tallyloom.functions.keyed import EnvSecret, digest64
 from tallyloom.operators import hll
-from tallyloom.operators.parts import Part, may_contain, new_part
+from tallyloom.operators.parts import HllPart, Part, may_contain, new_part
 from tallyloom.profiles import KIND_NAMES, BloomSpec, HeavySpec, HllSpec, MinHashSpec, Spec
 from tallyloom.sources import wire
 
@@ -50,8 +53,7 @@ def _columns(table: AnalyzeArgument, needed: dict[str, type]) -> list[StructFiel
 
 def _spec(kind: type[Spec], profile: AnalyzeArgument | None, domain: AnalyzeArgument | None) -> Spec:
     for name, own in (("profile", profile), ("domain", domain)):
-        if own is not None and not own.isConstantExpression:
-            raise SketchError(f"{name} is a constant")
+        _constant(name, own)
     return kind(**{name: own.value for name, own in (("profile", profile), ("domain", domain)) if own is not None})
 
 
@@ -59,6 +61,7 @@ class _Groups:
     """Parts by key, with the rows that wait to be added to them."""
 
     def __init__(self) -> None:
+        self.keep_sparse = False
         self.parts: dict[tuple, tuple[Spec, Part]] = {}
         self.waiting: dict[tuple, list[tuple[int, int]]] = {}
         self.gathered = 0
@@ -69,20 +72,26 @@ class _Groups:
 
     def settle(self, spec: Spec) -> None:
         for key, rows in self.waiting.items():
-            part = self.parts.setdefault(key, (spec, new_part(spec)))[1]
+            part = self._held(key, spec)[1]
             values = np.array([v for v, _ in rows], np.int64).view(np.uint64)
             part.add(*((values, np.array([w for _, w in rows], object)) if isinstance(spec, HeavySpec) else (values,)))
         self.waiting, self.gathered = {}, 0
 
+    def _held(self, key: tuple, spec: Spec) -> tuple[Spec, Part]:
+        if key not in self.parts:
+            self.parts[key] = (spec, HllPart(spec, self.keep_sparse) if isinstance(spec, HllSpec) else new_part(spec))
+        return self.parts[key]
+
     def absorb(self, key: tuple, cell: bytes) -> None:
         spec, state = wire.decode_any(cell)
-        held, part = self.parts.setdefault((*key, type(spec).__name__), (spec, new_part(spec)))
+        held, part = self._held((*key, type(spec).__name__), spec)
         held.require_same(spec)
         part.absorb(state)
 
     def packed(self, keys: int) -> Iterator[tuple]:
         for key, (spec, part) in self.parts.items():
-            yield (*key[:keys], wire.encode(spec, part.state()))
+            for state in part.states() if isinstance(part, HllPart) else [part.state()]:
+                yield (*key[:keys], wire.encode(spec, state))
         self.parts = {}
 
 
@@ -116,7 +125,17 @@ def _builder(kind: type[Spec]) -> type:
                 self.groups.settle(self.spec)
                 yield from self.groups.packed(len(self.names))
 
-    return Build
+    class BuildHll(Build):
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, profile: AnalyzeArgument | None = None, domain: AnalyzeArgument | None = None, keep_sparse: AnalyzeArgument | None = None) -> AnalyzeResult:
+            _constant("keep_sparse", keep_sparse)
+            return Build.analyze(rows, profile, domain)
+
+        def eval(self, rows: Row, profile: str | None = None, domain: str | None = None, keep_sparse: bool = False) -> Iterator[tuple]:
+            self.groups.keep_sparse = bool(keep_sparse)
+            yield from Build.eval(self, rows, profile, domain)
+
+    return BuildHll if kind is HllSpec else Build
 
 
 class Merge:
@@ -126,10 +145,12 @@ class Merge:
         self.groups, self.names = _Groups(), []
 
     @staticmethod
-    def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+    def analyze(rows: AnalyzeArgument, keep_sparse: AnalyzeArgument | None = None) -> AnalyzeResult:
+        _constant("keep_sparse", keep_sparse)
         return AnalyzeResult(StructType([*_columns(rows, {"sketch": BinaryType}), StructField("sketch", BinaryType())]))
 
-    def eval(self, rows: Row) -> Iterator[tuple]:
+    def eval(self, rows: Row, keep_sparse: bool = False) -> Iterator[tuple]:
+        self.groups.keep_sparse = bool(keep_sparse)
         self.names = [n for n in rows.__fields__ if n != "sketch"]
         if rows["sketch"] is not None:
             self.groups.absorb(tuple(rows[n] for n in self.names), bytes(rows["sketch"]))
@@ -140,6 +161,11 @@ class Merge:
         yield from self.groups.packed(len(self.names))
 
 
+def _constant(name: str, own: AnalyzeArgument | None) -> None:
+    if own is not None and not own.isConstantExpression:
+        raise SketchError(f"{name} is a constant")
+
+
 def _estimate(spec: HllSpec, state: wire.HllState) -> float:
     ranks = np.array([r for _, r in state.registers], float)
     return hll.estimate_of(spec, state.dense, len(ranks), float(np.exp2(-ranks).sum()))
@@ -149,7 +175,8 @@ def register(spark: SparkSession) -> None:
     """Register the functions in ``spark``: table functions, and scalar ones over packed sketches.
 
     ``sketch_canonical(text)``, ``sketch_hash64(text, domain, variable)`` with the secret in the executors'
-    environment; ``sketch_kind, sketch_profile, sketch_domain``; ``sketch_estimate`` of a distinct count,
+    environment; ``sketch_kind, sketch_profile, sketch_domain``; ``sketch_estimate`` of a distinct count, and
+    ``sketch_estimate_all`` of one in an array of cells,
     ``sketch_items`` of heavy hitters, ``sketch_may_contain(sketch, hash)``, ``sketch_jaccard(sketch, sketch)``;
     ``sketch_error`` tells why bytes are no sketch.  All give null for null; bytes that are no sketch of the kind
     fail the query.
@@ -181,6 +208,15 @@ def register(spark: SparkSession) -> None:
     def estimate(cell):
         return _estimate(*wire.decode(cell, HllSpec))
 
+    def estimate_all(cells):
+        part = None
+        for cell in cells:
+            spec, state = wire.decode(cell, HllSpec)
+            part = HllPart(spec, True) if part is None else part
+            part.spec.require_same(spec)
+            part.absorb(state)
+        return None if part is None else _estimate(part.spec, part.state())
+
     def items(cell):
         _, state = wire.decode(cell, HeavySpec)
         ordered = sorted(state.entries, key=lambda e: (-e[1], e[0]))
@@ -220,6 +256,7 @@ def register(spark: SparkSession) -> None:
     put("sketch_profile", over(pa.string(), lambda cell: wire.specification(cell).profile))
     put("sketch_domain", over(pa.string(), lambda cell: wire.specification(cell).domain))
     put("sketch_estimate", over(pa.float64(), estimate))
+    put("sketch_estimate_all", over(pa.float64(), estimate_all))
     put("sketch_items", over(ITEMS, items))
     put("sketch_jaccard", over(pa.float64(), jaccard))
     put("sketch_error", over(pa.string(), error))

@@ -2,7 +2,8 @@
 
 A sketch is the set of rows ``(keys, _dense, _idx, _rank)`` of its group.  Building is one hash aggregation by
 ``max``, which Spark combines before the shuffle, so a hot group never meets in one task; merging is the
-same aggregation over a union.  The rows of a group number ``2**p`` at most once it is dense.
+same aggregation over a union.  The rows of a group number ``2**p`` at most once it is dense.  With ``keep_sparse`` large
+groups aren't made dense: they keep the precision of sparse registers, in ``2**sp`` rows at most.
 """
 
 from __future__ import annotations
@@ -102,29 +103,31 @@ class HllFrame:
 
     ``registers`` has ``keys, _dense, _idx, _rank``; the names of all inner columns start with ``_``, so that keys may be
     called anything else.  ``groups`` names groups that may have no register; without keys there is one sketch, empty or not.
+    With ``keep_sparse`` a group is dense only if a part of it was.
     """
 
     registers: DataFrame
     keys: list[str]
     spec: HllSpec
     groups: DataFrame | None = None
+    keep_sparse: bool = False
 
     def merge(self, *others: HllFrame) -> HllFrame:
-        """Groups of equal keys become one; a group is dense if any part is, or the union is large."""
+        """Groups of equal keys become one; a group is dense if any part is, or the union is large and not all keep sparse ones."""
         require_mergeable(self, list(others))
         parts = [self, *others]
         groups = [p.groups for p in parts if p.groups is not None]
         groups += [p.registers.select(*self.keys) for p in parts if groups and p.groups is None]
-        return _settled(union([p.registers for p in parts]), self.keys, self.spec, union(groups) if groups else None)
+        return _settled(union([p.registers for p in parts]), self.keys, self.spec, union(groups) if groups else None, all(p.keep_sparse for p in parts))
 
     def rollup(self, keys: list[str]) -> HllFrame:
         """Merge over the keys that are left out."""
-        return _settled(self.registers.select(*keys, "_dense", "_idx", "_rank"), keys, self.spec, None if self.groups is None else self.groups.select(*keys))
+        return _settled(self.registers.select(*keys, "_dense", "_idx", "_rank"), keys, self.spec, None if self.groups is None else self.groups.select(*keys), self.keep_sparse)
 
     def grouping_sets(self, sets: list[list[str]]) -> HllFrame:
         """Merged over several sets of the keys at once, see ``grouped_sets``."""
         groups = None if self.groups is None else grouped_sets(self.groups.select(*self.keys), self.keys, sets)
-        return _settled(grouped_sets(self.registers, self.keys, sets), ["grouping_id", *self.keys], self.spec, groups)
+        return _settled(grouped_sets(self.registers, self.keys, sets), ["grouping_id", *self.keys], self.spec, groups, self.keep_sparse)
 
     def grouped(self, *aggregates: Column) -> DataFrame:
         """``keys, _dense`` and the aggregates of every sketch's registers; those of an empty one are null."""
@@ -159,6 +162,12 @@ class HllFrame:
         """``keys, estimate``; 0 for an empty sketch."""
         return self.summary().select(*self.keys, "estimate")
 
+    def linear_estimate(self) -> DataFrame:
+        """``keys, representation_mode, dense_nonzero_count, estimate`` by linear counting whatever the load: infinite once no register is empty."""
+        occupied, m = F.greatest("sparse_count", "dense_nonzero_count"), F.when(F.col("representation_mode") == DENSE, 1 << self.spec.p).otherwise(1 << self.spec.sp)
+        estimate = F.when(occupied >= m, F.lit(math.inf)).otherwise(m * -F.log1p(-occupied / m))
+        return self.summary().select(*self.keys, "representation_mode", "dense_nonzero_count", estimate.alias("estimate"))
+
     def sparse_registers(self) -> DataFrame:
         return self.registers.where("not _dense").select(*self.keys, F.col("_idx").alias("idx"), F.col("_rank").alias("rank"))
 
@@ -166,14 +175,15 @@ class HllFrame:
         return self.registers.where("_dense").select(*self.keys, F.col("_idx").alias("idx"), F.col("_rank").alias("rank"))
 
 
-def _settled(rows: DataFrame, keys: list[str], spec: HllSpec, groups: DataFrame | None = None) -> HllFrame:
+def _settled(rows: DataFrame, keys: list[str], spec: HllSpec, groups: DataFrame | None = None, keep_sparse: bool = False) -> HllFrame:
     merged = rows.groupBy(*keys, "_dense", "_idx").agg(F.max("_rank").alias("_rank"))
-    sizes = merged.groupBy(*keys).agg((F.max("_dense") | (F.count(F.lit(1)) > spec.promotion)).alias("_to_dense"))
+    large = F.lit(False) if keep_sparse else F.count(F.lit(1)) > spec.promotion
+    sizes = merged.groupBy(*keys).agg((F.max("_dense") | large).alias("_to_dense"))
     placed = join_keys(merged, sizes, keys)
     idx, rank = to_dense(F.col("_idx"), F.col("_rank"), spec)
     promote = F.col("_to_dense") & ~F.col("_dense")
     placed = placed.select(*keys, F.col("_to_dense").alias("_dense"), F.when(promote, idx).otherwise(F.col("_idx")).alias("_idx"), F.when(promote, rank).otherwise(F.col("_rank")).alias("_rank"))
-    return HllFrame(placed.groupBy(*keys, "_dense", "_idx").agg(F.max("_rank").alias("_rank")), keys, spec, groups)
+    return HllFrame(placed.groupBy(*keys, "_dense", "_idx").agg(F.max("_rank").alias("_rank")), keys, spec, groups, keep_sparse)
 
 
 def sparse_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: HllSpec) -> DataFrame:
@@ -183,9 +193,10 @@ def sparse_rows(df: DataFrame, keys: list[str], hashed: Column | str, spec: HllS
     return rows.groupBy(*keys, "_dense", "_idx").agg(F.max("_rank").alias("_rank"))
 
 
-def build(df: DataFrame, keys: list[str], hashed: Column | str, spec: HllSpec) -> HllFrame:
+def build(df: DataFrame, keys: list[str], hashed: Column | str, spec: HllSpec, keep_sparse: bool = False) -> HllFrame:
     """Sketches of the 64-bit hashes in ``hashed``; null hashes add nothing, and no group by themselves."""
-    return _settled(sparse_rows(df, keys, hashed, spec), keys, spec)
+    rows = sparse_rows(df, keys, hashed, spec)
+    return HllFrame(rows, keys, spec, keep_sparse=True) if keep_sparse else _settled(rows, keys, spec)
 
 
 def standard_error(spec: HllSpec) -> float:

@@ -37,15 +37,19 @@ def bit_lengths(x: np.ndarray) -> np.ndarray:
 
 
 class HllPart:
-    def __init__(self, spec: HllSpec) -> None:
-        self.spec = spec
+    """Sparse registers are a dict while they are few; with ``keep_sparse`` an array of all holds more, else dense ones do."""
+
+    def __init__(self, spec: HllSpec, keep_sparse: bool = False) -> None:
+        self.spec, self.keep_sparse = spec, keep_sparse
         self.sparse: dict[int, int] = {}
+        self.wide: np.ndarray | None = None
         self.dense: np.ndarray | None = None
 
     def _registers(self, idx: np.ndarray, rank: np.ndarray) -> None:
         """Ranks at the precision that the part has."""
-        if self.dense is not None:
-            np.maximum.at(self.dense, idx, rank.astype(np.uint8))
+        held = self.wide if self.dense is None else self.dense
+        if held is not None:
+            np.maximum.at(held, idx, rank.astype(np.uint8))
             return
         order = np.lexsort((rank, idx))
         idx, rank = idx[order], rank[order]
@@ -54,7 +58,19 @@ class HllPart:
             if r > self.sparse.get(i, 0):
                 self.sparse[i] = r
         if len(self.sparse) > self.spec.promotion:
-            self.force_dense()
+            if self.keep_sparse:
+                own = np.array(list(self.sparse.items()), np.int64)
+                self.wide, self.sparse = np.zeros(1 << self.spec.sp, np.uint8), {}
+                self.wide[own[:, 0]] = own[:, 1]
+            else:
+                self.force_dense()
+
+    def _sparse_rows(self) -> np.ndarray:
+        """Indices and ranks of the sparse registers, in their order."""
+        if self.wide is not None:
+            at = np.flatnonzero(self.wide)
+            return np.column_stack([at, self.wide[at].astype(np.int64)])
+        return np.array(sorted(self.sparse.items()), np.int64).reshape(-1, 2)
 
     def _to_dense(self, idx: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         extra = self.spec.sp - self.spec.p
@@ -63,8 +79,8 @@ class HllPart:
 
     def force_dense(self) -> None:
         if self.dense is None:
-            own = np.array(sorted(self.sparse.items()), np.int64).reshape(-1, 2)
-            self.dense, self.sparse = np.zeros(self.spec.dense_bytes, np.uint8), {}
+            own = self._sparse_rows()
+            self.dense, self.sparse, self.wide = np.zeros(self.spec.dense_bytes, np.uint8), {}, None
             self._registers(*self._to_dense(own[:, 0], own[:, 1]))
 
     def add(self, hashes: np.ndarray) -> None:
@@ -84,10 +100,17 @@ class HllPart:
 
     def state(self) -> wire.HllState:
         if self.dense is None:
-            return wire.HllState(False, sorted(self.sparse.items()))
+            return wire.HllState(False, [(i, r) for i, r in self._sparse_rows().tolist()])
         at = np.flatnonzero(self.dense)
         return wire.HllState(True, list(zip(at.tolist(), self.dense[at].tolist(), strict=True)))
 
+    def states(self) -> list[wire.HllState]:
+        """The state, in as many as the wire format needs for sparse registers."""
+        whole, n = self.state(), self.spec.promotion
+        if whole.dense or len(whole.registers) <= n:
+            return [whole]
+        return [wire.HllState(False, whole.registers[a : a + n]) for a in range(0, len(whole.registers), n)]
+
 
 class BloomPart:
     def __init__(self, spec: BloomSpec) -> None:

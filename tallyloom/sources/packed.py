@@ -20,7 +20,7 @@ from tallyloom.sources import wire
 
 
 def pack_hll(frame: hll.HllFrame) -> DataFrame:
-    """``keys, sketch``."""
+    """``keys, sketch``; a large group that keeps sparse registers has several cells, none with more than the format allows."""
     spec = frame.spec
 
     @F.pandas_udf("binary")
@@ -29,6 +29,10 @@ def pack_hll(frame: hll.HllFrame) -> DataFrame:
 
     each = frame.grouped(F.array_sort(F.collect_list(F.struct(F.col("_idx").alias("idx"), F.col("_rank").alias("rank")))).alias("_r"))
     each = each.withColumn("_r", F.coalesce("_r", F.array().cast("array<struct<idx:int,rank:int>>")))
+    if frame.keep_sparse:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_r"), F.lit(1)), F.lit(spec.promotion))
+        cut = F.when(F.col("_dense"), F.array("_r")).otherwise(F.transform(starts, lambda at: F.slice("_r", at, spec.promotion)))
+        each = each.select(*frame.keys, "_dense", F.explode(cut).alias("_r"))
     return each.select(*frame.keys, encode("_dense", F.col("_r.idx"), F.col("_r.rank")).alias("sketch"))
 
 
@@ -102,8 +106,9 @@ def verdict(cells: Column | str, spec: Spec) -> Column:
 _PARSED = "profile string, domain string, dense boolean, idx array<int>, rank array<int>, hash array<bigint>, estimate array<bigint>, total bigint, error bigint, bitset binary"
 
 
-def parse(cells: DataFrame, keys: list[str], spec: Spec, column: str = "sketch"):
-    """The frame of packed sketches; cells of equal keys are merged.
+def parse(cells: DataFrame, keys: list[str], spec: Spec, column: str = "sketch", keep_sparse: bool = False):
+    """The frame of packed sketches; cells of equal keys are merged, and those of distinct counts become dense only if a
+    cell is, where ``keep_sparse`` says so.
 
     Bytes that are no canonical sketch of this kind fail the query, and so do sketches whose profile or
     domain isn't that of ``spec``: they couldn't be merged.  ``verdict`` tells such rows apart beforehand.
@@ -137,7 +142,7 @@ def parse(cells: DataFrame, keys: list[str], spec: Spec, column: str = "sketch")
     if kind is HllSpec:
         each = parsed.select(*keys, F.col("_p.dense").alias("_dense"), F.explode(F.arrays_zip("_p.idx", "_p.rank")).alias("_r"))
         rows = each.select(*keys, "_dense", F.col("_r.idx").alias("_idx"), F.col("_r.rank").alias("_rank"))
-        return hll._settled(rows, keys, spec, parsed.select(*keys) if keys else None)
+        return hll._settled(rows, keys, spec, parsed.select(*keys) if keys else None, keep_sparse)
     if kind is HeavySpec:
         totals = parsed.select(*keys, F.col("_p.total").alias("total_weight"), F.col("_p.error").alias("max_error"))
         entries = parsed.select(*keys, F.col("_p.error").alias("_error"), F.explode(F.arrays_zip("_p.hash", "_p.estimate")).alias("_r"))
@@ -177,7 +182,7 @@ def mixed_groups(cells: DataFrame, keys: list[str], column: str = "sketch") -> D
     return each.where(F.size("specifications") > 1)  # at most one for each profile and domain
 
 
-def parse_any(cells: DataFrame, keys: list[str], column: str = "sketch", apart: bool = False) -> dict[Spec, object]:
+def parse_any(cells: DataFrame, keys: list[str], column: str = "sketch", apart: bool = False, keep_sparse: bool = False) -> dict[Spec, object]:
     """Frames of packed sketches by their specifications, which the bytes tell; cells of equal keys are merged.
 
     A column may hold several kinds, which never meet.  Sketches of one kind but of another profile or domain can't be
@@ -197,7 +202,7 @@ def parse_any(cells: DataFrame, keys: list[str], column: str = "sketch", apart:
         own = (F.col("_is.kind") == KIND_NAMES[type(s)]) & (F.col("_is.profile") == s.profile) & (F.col("_is.domain") == s.domain)
         return known.withColumn(column, F.when(own, F.col(column)))  # others are null to the decoder, wherever Spark puts the filter
 
-    return {s: parse(of(s), keys, s, column) for s in specs}
+    return {s: parse(of(s), keys, s, column, keep_sparse) for s in specs}
 
 
 def merge_cells(cells: DataFrame, keys: list[str], column: str = "sketch", apart: bool = False) -> DataFrame:

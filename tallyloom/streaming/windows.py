@@ -38,9 +38,9 @@ def minhash_minima(events: DataFrame, keys: list[str], hashed: Column | str, spe
     return minhash.minima_rows(events, ["window", *keys], hashed, spec)
 
 
-def hll_from_registers(rows: DataFrame, keys: list[str], spec: HllSpec) -> hll.HllFrame:
+def hll_from_registers(rows: DataFrame, keys: list[str], spec: HllSpec, keep_sparse: bool = False) -> hll.HllFrame:
     """The sketches in rows that a stream wrote; rows that an update superseded are merged away."""
-    return hll._settled(rows, keys, spec)
+    return hll._settled(rows, keys, spec, keep_sparse=keep_sparse)
 
 
 class HeavyProcessor(StatefulProcessor):
