@@ -37,8 +37,8 @@ COUNT_CLASSES = EXACT_COUNTS + 64
 BLOCK_CHARS = 12_000_000
 #: The E-step cuts longer documents here; scores never cut.
 SEGMENT = 256
-#: Training documents, about, of the rounds that only find a starting point; then rounds over all.
-START_DOCS, START_ROUNDS, FULL_ROUNDS = 2000, 12, 2
+#: Baum-Welch rounds, each over all training documents.
+FULL_ROUNDS = 10
 SMOOTHING = 0.1
 END = xxhash.xxh64_intdigest(b"")  # no word is empty
 
@@ -324,15 +324,10 @@ def score_texts(docs: DataFrame, *, train: str, doc_id: str = "doc_id", text: st
     scored = stored(scored, "lm-classes")
 
     learn = scored.where("not held_out")
-    n_learn = learn.count()
     prior = (mass + 1e-6) / (mass + 1e-6).sum()
     prior[0] = max(prior[0], 1e-4)
     model = _first_model(prior / prior.sum(), states)
-    if n_learn:
-        some = learn.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(max(1, n_learn // START_DOCS))) == 0)
-        some = stored(some.select("classes", "edge").repartition(8), "lm-start")
-        for _ in range(START_ROUNDS):
-            model = _round(model, some, 8, prior)
+    if not learn.isEmpty():
         tasks = learn.rdd.getNumPartitions()
         for _ in range(full_rounds):
             model = _round(model, learn, tasks, prior)

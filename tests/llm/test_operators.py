@@ -540,3 +540,16 @@ def test_loose_crowds_lose_no_links(spark, cosine, beside):
     assert linked.sum() > 200
     assert found["n_links"].tolist() == linked.sum(1).tolist()
     assert found["component_id"].tolist() == [root(i) for i in range(len(x))]
+
+
+def test_hmm_learns_from_all_training_documents(spark, monkeypatch):
+    seen = []
+
+    def counted(model, sequences, tasks, prior):
+        seen.append(sequences.count())
+        return model
+
+    monkeypatch.setattr(hmm_lm, "_round", counted)
+    df = spark.range(4500).selectExpr("id AS doc_id", "concat('word ', id % 7) AS text")
+    assert hmm_lm.score_texts(df, train="doc_id % 10 <> 0").count() == 4500
+    assert set(seen) == {4050}
