@@ -3,7 +3,8 @@
 A session's extent isn't known before it ends, and an event between two sessions makes them one.  So registers can't be
 grouped by session beforehand; a state for each key holds its open sessions, each as one bounded sketch, and
 joining sessions merges their sketches.  When the watermark passes a session's end its sketch is put out and its
-state is gone, so the state holds open sessions only.  Rows behind the watermark come too late for any session: Spark
+state is gone, so the state holds open sessions only.  A key has one entry of state and one timer, for its session that
+ends first, however many are open: each costs a call from the state's store.  Rows behind the watermark come too late for any session: Spark
 drops them before the state sees them and counts them, see ``late_rows``.
 """
 
@@ -24,53 +25,76 @@ from tallyloom.sources import wire
 
 
 class SessionProcessor(StatefulProcessor):
-    """``sessions``: the start of each open session of the key, with its end and its packed sketch."""
+    """``sessions``: starts, ends and packed sketches of the key's open sessions, and its timer."""
 
     def __init__(self, spec: Spec, keys: list[str], gap_us: int) -> None:
         self.spec, self.keys, self.gap = spec, keys, gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sessions = handle.getMapState("sessions", "start long", "end long, sketch binary")
+        self.sessions = handle.getValueState("sessions", "starts array<long>, ends array<long>, sketches array<binary>, timer long")
+
+    def _open(self) -> tuple[list[list], int | None]:
+        found = self.sessions.get()
+        if found is None:
+            return [], None
+        starts, ends, sketches, timer = found
+        return [[s, e, bytes(b)] for s, e, b in zip(starts, ends, sketches, strict=True)], timer
+
+    def _keep(self, open_ones: list[list], timer: int | None) -> None:
+        """``timer`` is the one that is set by now."""
+        if not open_ones:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.sessions.clear()
+            return
+        first = min(s[1] for s in open_ones) // 1000 + 1
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        starts, ends, sketches = zip(*open_ones, strict=True)
+        self.sessions.update((list(starts), list(ends), list(sketches), first))
 
     def _added(self, part: Part, rows: pd.DataFrame) -> None:
         hashes = rows["hash_"].to_numpy(np.int64).view(np.uint64)
         part.add(*((hashes, rows["weight_"].to_numpy(object)) if isinstance(part, HeavyPart) else (hashes,)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        open_ones = [[start, end, bytes(sketch)] for (start,), (end, sketch) in self.sessions.iterator()]
-        before = {start: end for start, end, _ in open_ones}
+        open_ones, timer = self._open()
         for pdf in rows:
             if not len(pdf):  # a batch of timers alone comes as a frame without columns
                 continue
             pdf = pdf.sort_values("us_", kind="stable")
-            at = pdf["us_"].to_numpy(np.int64)
+            at, earlier, done = pdf["us_"].to_numpy(np.int64), sorted(open_ones, key=lambda s: -s[0]), []
             cuts = np.flatnonzero(np.diff(at) > self.gap) + 1
             for own in np.split(np.arange(len(at)), cuts):
                 start, end = int(at[own[0]]), int(at[own[-1]]) + self.gap
                 part = new_part(self.spec)
                 self._added(part, pdf.iloc[own])
-                apart = []
-                for session in open_ones:
-                    if session[0] <= end and start <= session[1]:
-                        start, end = min(start, session[0]), max(end, session[1])
-                        part.absorb(wire.decode(session[2], type(self.spec))[1])
+                waiting = []
+                while done and done[-1][1] >= start:  # a run before this one may have reached it by an earlier session
+                    waiting.append(done.pop())
+                while earlier and earlier[-1][0] <= end:
+                    session = earlier.pop()
+                    if session[1] < start:
+                        done.append(session)
                     else:
-                        apart.append(session)
-                open_ones = [*apart, [start, end, wire.encode(self.spec, part.state())]]
-        for start in before.keys() - {s[0] for s in open_ones}:
-            self.sessions.removeKey((start,))
-        for start, end, sketch in open_ones:
-            self.sessions.updateValue((start,), (end, sketch))
-            if before.get(start) != end:
-                self.handle.registerTimer(end // 1000 + 1)
+                        waiting.append(session)
+                        end = max(end, session[1])
+                for session in waiting:
+                    start, end = min(start, session[0]), max(end, session[1])
+                    part.absorb(wire.decode(session[2], type(self.spec))[1])
+                done.append([start, end, wire.encode(self.spec, part.state())])
+            open_ones = [*done, *earlier]
+        self._keep(open_ones, timer)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ended = [(start, end, bytes(sketch)) for (start,), (end, sketch) in self.sessions.iterator() if end <= passed]
-        for start, _, _ in ended:
-            self.sessions.removeKey((start,))
+        open_ones, _ = self._open()
+        ended = [tuple(s) for s in open_ones if s[1] <= passed]
+        self._keep([s for s in open_ones if s[1] > passed], None)  # the timer that called is gone
         if ended:
             out = pd.DataFrame(ended, columns=["start_us", "end_us", "sketch"])
             for name, value in zip(self.keys, key, strict=True):

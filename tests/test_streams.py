@@ -57,6 +57,18 @@ def test_sessions(spark, tmp_path, spec):
     assert left["numRowsTotal"] <= 2  # the one session that is open, and its timer
 
 
+def test_open_sessions_of_a_key_share_one_entry_and_one_timer(spark, tmp_path):
+    path, spec = str(tmp_path / "in"), HllSpec("micro")
+    make = lambda s: sessions.session_sketches(s, ["g"], "t", "10 minutes", "1000 minutes", "h", spec)
+    write(spark, path, "1", [("a", 20 * k, k, 1) for k in range(40)])  # all are open
+    last = run(spark, make, path, tmp_path, "out")
+    assert last.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
+    write(spark, path, "2", [("a", 20 * k + 10, k, 1) for k in range(0, 39, 2)] + [("b", 5000, 1, 1)])  # joins them in twos, then ends them
+    run(spark, make, path, tmp_path, "out")
+    out = spark.read.schema("g string, start timestamp, end timestamp, sketch binary").parquet(f"{tmp_path}/out").collect()
+    assert sorted((r["start"], r["end"]) for r in out) == [(BASE + dt.timedelta(minutes=40 * k), BASE + dt.timedelta(minutes=40 * k + 30)) for k in range(20)]
+
+
 def test_heavy_windows(spark, tmp_path):
     path, spec = str(tmp_path / "in"), HeavySpec("micro")
     make = lambda s: windows.heavy_items_by_window(windows.windowed(s, "t", "1 hour", "10 minutes"), ["g"], "h", "w", spec)
