@@ -16,6 +16,8 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 #: Rows and bytes of one Arrow batch.  Whole texts travel in these batches, and a worker holds several copies.
 ARROW_ROWS, ARROW_BYTES = 1000, "8m"
+#: Rows that a task reads of a file at once.  A column of texts is one array then, which is doubled until it holds them.
+READ_ROWS = 512
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +25,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of this session small enough for very long texts."""
+    """Keep Arrow batches of this session, and what it reads of files at once, small enough for very long texts."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

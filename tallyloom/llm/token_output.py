@@ -8,6 +8,8 @@ file is padded, where the mask is false.  A second Arrow file lists the file's d
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import uuid
 from collections.abc import Iterator
@@ -49,9 +51,9 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        kind = json.loads(self.tokenizer.to_str())
-        split = kind.get("pre_tokenizer") or {}
-        self.by_pieces = kind.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        # Of this part alone: the whole tokenizer as text, parsed, takes more memory than the tokenizer.
+        split = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer is not None else {}
+        self.by_pieces = self.tokenizer.normalizer is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.pieces: dict[str, bytes] = {}
         self.leads = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids of tokens that start with a blank
         for token, number in self.tokenizer.get_vocab().items():
@@ -132,6 +134,14 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Give the memory of this worker's encoders back to the system: workers live on, and the tasks after these need it."""
+    if _encoders:
+        _encoders.clear()
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps it for itself
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class SequenceFile:
     """Writes one data file, batch by batch; holds less than a batch of ids."""
 
@@ -241,6 +251,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     placed = manifest.withColumn("base", F.coalesce(before, F.lit(0)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_encoders()  # all files are written by now
         for pdf in batches:
             for file in pdf.itertuples():
                 index, stream = _opened(file.index_path), read_sequences(file.path)
