@@ -330,6 +330,21 @@ def test_shingle_dedup_against_brute_force(spark, bucket):
     assert len(kept) < simhash.keep_one(docs(spark, texts)).count()  # two bits of 64 leave both copies of many pairs
 
 
+def test_shingle_dedup_loses_no_link_of_a_crowd(spark):
+    rng, size = np.random.default_rng(5), 600
+    base, texts = [f"w{x}" for x in range(size)], []
+    for k in range(160):  # all alike at about 0.76, few pairs at 0.8
+        own = list(base)
+        for at in rng.integers(0, size, 8):
+            own[at] = f"c{k}-{at}"
+        texts.append(own)
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(size - 4)) for w in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if _similar(sets[a], sets[b])]
+    assert links
+    kept = shingle_dedup.keep_one(docs(spark, [" ".join(w) for w in texts])).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(_classes(len(texts), links)))
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------
 
 
