@@ -451,6 +451,29 @@ def test_embedding_dedup_against_brute_force(spark):
         assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in range(200, 205))
 
 
+def test_embedding_passes_are_on_disk_a_few_at_a_time(spark, monkeypatch):
+    seen, ranked = [], embedding_dedup.with_rank
+
+    def counted(rows, order):
+        seen.append(rows.count())
+        return ranked(rows, order)
+
+    monkeypatch.setattr(embedding_dedup, "with_rank", counted)
+    monkeypatch.setattr(embedding_dedup, "PASS_ROWS", 300, raising=False)
+    monkeypatch.setattr(embedding_dedup, "FETCHED", 10, raising=False)
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([c + 0.03 * rng.standard_normal((3, 24)) for c in rng.standard_normal((40, 24))])
+    vectors[:60] = vectors[:60].astype(np.float32)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    least = _classes(len(vectors), [(a, b) for a in range(len(vectors)) for b in range(a) if near[a, b]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = sorted(embedding_dedup.near_duplicates(df, passes=6).collect(), key=lambda r: r["vec_id"])
+    assert [r["n_links"] for r in found] == (near.sum(1) - 1).tolist()
+    assert [r["component_id"] for r in found] == least
+    assert max(seen) <= 300
+
+
 # --- 10 --------------------------------------------------------------------------------------------------
 
 
